@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import sitelines, splitting, textnorm
-from folioforge.session import table
+from folioforge.llm import mixing, neardup, packing, reading, scans, sitelines, splitting, textnorm
+from folioforge.llm.tokens import token_count
+from folioforge.session import stage, table
 
 BLOCK = ("block", "text_blocks")
 CHUNK = ("chunk", "chunks")
@@ -27,6 +28,20 @@ def _limited(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "section").join(F.broadcast(limits), "item_kind")
 
 
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    chunks = neardup.text_sketches(table(spark, d, "chunks"), "chunk")
+    tables = neardup.table_sketches(table(spark, d, "table_blocks"), "table")
+    return neardup.copy_groups(chunks.unionByName(tables), {"chunk": 0.55, "table": 0.65})
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.copy_pairs(_copies(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     items = _limited(spark, d)
     return splitting.split_items(items.where(F.length("content") > F.col("max_chars"))).where("n_pieces > 1").select("item_kind", "item_id").distinct()
@@ -54,7 +69,40 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return textnorm.with_canonical(_items(spark, d), "content").select("item_kind", "item_id", "canonical", "forms")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.defects(table(spark, d, "text_blocks")).select("block_id", "defect")
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, tokens of the whole texts, counted once."""
+    return stage(table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sized(spark, d).select(F.col("doc_id").alias("item_id"), "tokens"), table(spark, d, "pack_specs")).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused(p7_containers(spark, d))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*mixing.mix(_sized(spark, d), table(spark, d, "mix_targets")))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).where("level = 'demanding'").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical, p5_found, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
 
 ORACLES = {
     "p2_found": """SELECT DISTINCT item_kind, item_id FROM (
