@@ -5,15 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the executors, once an application: their Python may start without its path."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        here = Path(__file__).resolve().parent
+        with tempfile.TemporaryDirectory() as tmp:
+            path = f"{tmp}/folioforge_code.zip"
+            with zipfile.ZipFile(path, "w") as z:
+                for f in sorted(here.rglob("*.py")):
+                    z.write(f, f.relative_to(here.parent))
+            spark.sparkContext.addPyFile(path)
+    return spark
 
 
 def local_session(cores: int = 8, shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("folioforge")
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -28,7 +46,7 @@ def local_session(cores: int = 8, shuffle: int = 8, memory: str = "8g") -> Spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +76,7 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors, and keeps
     column pruning. Removed when the process ends."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
