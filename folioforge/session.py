@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,12 +21,13 @@ def ship(spark: SparkSession) -> SparkSession:
     if app not in _SHIPPED:
         _SHIPPED.add(app)
         here = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as tmp:
-            path = f"{tmp}/folioforge_code.zip"
-            with zipfile.ZipFile(path, "w") as z:
-                for f in sorted(here.rglob("*.py")):
-                    z.write(f, f.relative_to(here.parent))
-            spark.sparkContext.addPyFile(path)
+        tmp = tempfile.mkdtemp(prefix="folioforge-code-")  # Spark's file server reads it as long as the driver lives
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        path = f"{tmp}/folioforge_{app.replace('-', '_')}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        spark.sparkContext.addPyFile(path)
     return spark
 
 
