@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import mixing, neardup, packing, reading, scans, sitelines, splitting, textnorm
+from folioforge.llm import mixing, neardup, packing, pii, reading, scans, sitelines, splitting, textnorm
 from folioforge.llm.tokens import token_count
 from folioforge.session import stage, table
 
@@ -73,6 +73,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.defects(table(spark, d, "text_blocks")).select("block_id", "defect")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(pii.text_items(table(spark, d, "text_blocks"), table(spark, d, "table_blocks")), table(spark, d, "name_lexicon"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_texts(table(spark, d, "text_blocks"), table(spark, d, "name_lexicon"))
+
+
+def p6_redacted_tables(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted_tables(table(spark, d, "table_blocks"), table(spark, d, "name_lexicon"))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, source, tokens of the whole texts, counted once."""
     return stage(table(spark, d, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens")))
@@ -102,7 +114,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("level = 'demanding'").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical, p5_found, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical, p5_found, p6_found, p6_redacted, p6_redacted_tables, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
 
 ORACLES = {
     "p2_found": """SELECT DISTINCT item_kind, item_id FROM (
