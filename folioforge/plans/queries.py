@@ -1 +1,697 @@
-QUERIES, ORACLES = {}, {}
+"""Registered queries of the core and, where SQL can say the same, their twins in ANSI SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.functions import classify as C
+from folioforge.functions import text as X
+from folioforge.operators import blocks as B
+from folioforge.operators import evaluation as E
+from folioforge.operators import retrieval as R
+from folioforge.operators import store as S
+from folioforge.operators import tables as T
+from folioforge.operators import telemetry as M
+from folioforge.operators.validation import validate
+from folioforge.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def blocks_of(spark: SparkSession, d: str) -> DataFrame:
+    """Text blocks, each id once."""
+    return table(spark, d, "text_blocks").dropDuplicates(["id"])
+
+
+def tables_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "table_blocks").dropDuplicates(["id"])
+
+
+def chunks_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").dropDuplicates(["id"])
+
+
+_BLOCKS = "(SELECT DISTINCT ON (id) * FROM text_blocks)"
+_TABLES = "(SELECT DISTINCT ON (id) * FROM table_blocks)"
+_CHUNKS = "(SELECT DISTINCT ON (id) * FROM chunks)"
+
+
+def _any(col: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+@query(
+    """SELECT file_name, regexp_replace(regexp_replace(lower(trim(file_name)), '\\s+', '_', 'g'), '[^a-z0-9_฀-๿-]', '', 'g') AS doc_key,
+       translate(regexp_replace(file_name, '\\.[^.]*$', ''), ' -', '__') AS stem FROM doc_metadata"""
+)
+def sanitize_doc_id(spark, d):
+    return table(spark, d, "doc_metadata").select("file_name", X.sanitize_id(F.col("file_name")).alias("doc_key"), X.file_stem_id(F.col("file_name")).alias("stem"))
+
+
+@query(
+    """SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(regexp_replace(t, '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g'), chr(160), ' '), '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10) || chr(9))) AS digest
+       FROM (SELECT doc_id, text || chr(10) || chr(10) || chr(10) || '  end ' AS t FROM documents)"""
+)
+def normalize_ws(spark, d):
+    t = F.concat("text", F.lit("\n\n\n  end "))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.normalize_whitespace(t)).alias("digest"))
+
+
+@query()
+def clean_blocks(spark, d):
+    b = blocks_of(spark, d).select("id", X.printable(F.col("content")).alias("printable"), X.thai_spacing(F.col("content")).alias("spaced"), X.thai_one_line(F.col("content")).alias("line"), X.markdown_text(F.col("content")).alias("md"))
+    return b.where("spaced <> ''")
+
+
+@query(
+    f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(h, '<script.*?</script>', '', 'gis'), '\\son\\w+\\s*=', ' data-blocked-event=', 'gi'), 'javascript:', 'blocked:', 'gi') AS safe,
+       trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS bare,
+       array_to_string(list_transform(regexp_extract_all(h, '(?is)<th[^>]*>(.*?)</th>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', ' ', 'g'))), ' ') AS headers
+       FROM (SELECT id, coalesce(html_content, '') || '<script>alert(1)</script><th class="a"><b>Total</b></th><a onclick = "x" href="JavaScript:y">z</a>' AS h FROM {_TABLES})"""
+)
+def html_sanitize(spark, d):
+    h = F.concat(F.coalesce("html_content", F.lit("")), F.lit('<script>alert(1)</script><th class="a"><b>Total</b></th><a onclick = "x" href="JavaScript:y">z</a>'))
+    return tables_of(spark, d).select("id", X.sanitize_html(h).alias("safe"), X.strip_tags(h).alias("bare"), X.html_headers(h).alias("headers"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN length(html_content) <= 300 THEN html_content WHEN contains(left(html_content, 300), '</tr>')
+       THEN left(html_content, 300 - strpos(reverse(left(html_content, 300)), '>rt/<') + 1) ELSE left(html_content, 300) END AS cut FROM {_TABLES} WHERE html_content IS NOT NULL"""
+)
+def html_truncate(spark, d):
+    return tables_of(spark, d).where("html_content is not null").select("id", X.truncate_html(F.col("html_content"), 300).alias("cut"))
+
+
+@query(
+    f"""SELECT id, left(trim(regexp_replace(regexp_replace(l, '^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[A-Za-z][.)])\\s+', ''), '[ \\t]+', ' ', 'g')), 150) AS title,
+       CASE WHEN trim(coalesce(section, '')) = '' THEN 'General' WHEN length(trim(section)) > 50 THEN left(trim(section), 47) || '...' ELSE trim(section) END AS shown
+       FROM (SELECT id, section, regexp_replace(split_part(content, chr(10), 1), '[^\\x20-\\x7E฀-๿]', '', 'g') AS l FROM {_BLOCKS})"""
+)
+def section_titles(spark, d):
+    line = F.regexp_replace(F.split("content", "\n")[0], r"[^\x20-\x7E฀-๿]", "")
+    return blocks_of(spark, d).select("id", X.section_title(line).alias("title"), X.display_section(F.col("section")).alias("shown"))
+
+
+@query("""SELECT t AS token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents) GROUP BY t""")
+def tokenize_counts(spark, d):
+    per = R.postings(table(spark, d, "documents"))
+    return per.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@query(
+    f"""SELECT id, regexp_matches(content, '[A-Za-z0-9_฀-๿]{{3,}}') AS words, len(regexp_extract_all(content, '[A-Za-z0-9฀-๿]')) >= 2 AS marks, regexp_matches(content, '[\\p{{L}}\\p{{N}}]') AS any_sign FROM {_BLOCKS}"""
+)
+def meaningful(spark, d):
+    c = F.col("content")
+    return blocks_of(spark, d).select("id", X.meaningful_words(c).alias("words"), X.meaningful_marks(c).alias("marks"), X.meaningful_any(c).alias("any_sign"))
+
+
+@query(
+    f"""SELECT id, translate(content, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS arabic, translate(content, '0123456789', '๐๑๒๓๔๕๖๗๘๙') AS thai FROM {_BLOCKS} WHERE regexp_matches(content, '[0-9๐-๙]')"""
+)
+def digit_scripts(spark, d):
+    c = F.col("content")
+    return blocks_of(spark, d).where(c.rlike("[0-9๐-๙]")).select("id", X.to_arabic_digits(c).alias("arabic"), X.to_thai_digits(c).alias("thai"))
+
+
+@query()
+def query_variants(spark, d):
+    q = table(spark, d, "qa_log").select("query").distinct()
+    probe = F.concat("query", F.lit(" ปี ๒๕๖๙ งวดที่ห้า 2026"))
+    return q.select("query", F.posexplode(X.query_variants(probe)).alias("place", "variant"))
+
+
+@query(f"SELECT DISTINCT query, length(trim(query)) >= 15 AND regexp_matches(lower(query), '{C.PLANNER}') AS plans FROM qa_log")
+def planner_gate(spark, d):
+    return table(spark, d, "qa_log").select("query", C.needs_planning(F.col("query")).alias("plans")).distinct()
+
+
+@query(
+    """SELECT line_no, CAST(json_extract(o, '$.k') AS INTEGER) AS k, CAST(json_extract(o, '$.retry') AS BOOLEAN) AS retry
+       FROM (SELECT line_no, nullif(regexp_extract('The call said: ' || coalesce(ctx, 'nothing') || ' - end.', '\\{[^{}]*\\}'), '') AS o FROM cost_log)"""
+)
+def json_lenient(spark, d):
+    prose = F.concat(F.lit("The call said: "), F.coalesce("ctx", F.lit("nothing")), F.lit(" - end."))
+    return table(spark, d, "cost_log").select("line_no", X.lenient_json(prose, "k int, retry boolean").alias("o")).select("line_no", "o.k", "o.retry")
+
+
+@query(
+    f"""SELECT c.id, CASE WHEN s.summary IS NULL THEN c.content ELSE '[Doc: ' || c.doc_id || coalesce(' | Section: ' || c.metadata.section, '') || ']' || chr(10) || s.summary || chr(10) || chr(10) || c.content END AS prefixed, c.content AS stripped
+       FROM {_CHUNKS} c LEFT JOIN (SELECT doc_id, max(file_name) AS summary FROM doc_metadata GROUP BY doc_id) s USING (doc_id)"""
+)
+def contextual_prefix(spark, d):
+    names = table(spark, d, "doc_metadata").groupBy("doc_id").agg(F.max("file_name").alias("summary"))
+    c = chunks_of(spark, d).join(names, "doc_id", "left")
+    full = X.with_context(F.col("content"), F.col("doc_id"), F.col("summary"), F.col("metadata.section"))
+    return c.select("id", full.alias("prefixed")).withColumn("stripped", X.strip_context(F.col("prefixed")))
+
+
+@query(
+    f"""SELECT doc_id, left(string_agg(part, chr(10) ORDER BY id), 3000) AS sample FROM (
+         SELECT doc_id, id, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+           SELECT doc_id, id, left(trim(content), 600) AS part FROM {_CHUNKS})) WHERE before < 3000 GROUP BY doc_id"""
+)
+def summary_sample(spark, d):
+    part = chunks_of(spark, d).select("doc_id", "id", F.substring(F.trim("content"), 1, 600).alias("part"))
+    # Six hundred characters a chunk: the sample ends within a document's first chunks, found without sorting the rest.
+    w = Window.partitionBy("doc_id").orderBy("id")
+    first = part.withColumn("before", F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before < 3000")
+    joined = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "part"))).alias("p"))
+    return joined.select("doc_id", F.substring(F.array_join(F.transform("p", lambda x: x["part"]), "\n"), 1, 3000).alias("sample"))
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+_T = "lower(coalesce(content, '') || ' ' || coalesce(section, ''))"
+_HITS = ", ".join(f"CASE WHEN regexp_matches({_T}, '{p}') THEN '{n}' END" for n, (p, _s, _q) in sorted(C.INTENTS.items(), key=lambda x: -x[1][1]))
+_PRIO = " ".join(f"WHEN x = '{n}' THEN {q}" for n, (_p, _s, q) in C.INTENTS.items())
+
+
+@query(
+    f"""SELECT id, array_to_string(names, ',') AS intents, list_aggregate(list_transform(names, lambda x: (CASE {_PRIO} ELSE 1 END)::VARCHAR || x), 'max')[2:] AS primary_intent,
+       CASE {' '.join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in C.SCOPES)} ELSE 'general' END AS scope
+       FROM (SELECT id, {_T} AS t, CASE WHEN len(list_filter([{_HITS}], lambda x: x IS NOT NULL)) = 0 THEN ['general'] ELSE list_filter([{_HITS}], lambda x: x IS NOT NULL)[:5] END AS names FROM {_BLOCKS})"""
+)
+def intent_tags(spark, d):
+    c, s = F.col("content"), F.col("section")
+    b = blocks_of(spark, d).select("id", C.intents(c, s).alias("names"), C.answer_scope(c, s).alias("scope"))
+    return b.select("id", F.array_join("names", ",").alias("intents"), C.primary_intent(F.col("names")).alias("primary_intent"), "scope")
+
+
+@query(
+    f"""SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '{C.MONEY}'), regexp_extract_all(t, '{C.YEAR}', 1), regexp_extract_all(t, '{C.THAI_NAME}'))))[:10], '|') AS entities
+       FROM (SELECT id, left(replace(lower(coalesce(content, '') || ' 12,500.50 baht ' || coalesce(section, '')), chr(160), ' '), 5000) AS t FROM {_BLOCKS} WHERE regexp_matches(content, '^[\\x0A\\x20-\\x7E฀-๙]*$'))"""
+)
+def entity_lists(spark, d):
+    b = blocks_of(spark, d).where(F.col("content").rlike(r"^[\x0A\x20-\x7E฀-๙]*$"))
+    names = C.entities(F.concat(F.coalesce("content", F.lit("")), F.lit(" 12,500.50 baht")), F.col("section"))
+    return b.select("id", F.array_join(names, "|").alias("entities"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN regexp_matches(upper(content), '^(WARNING|CAUTION|DANGER|คำเตือน|ข้อควรระวัง)[:\\s]') THEN 'warning'
+       WHEN regexp_matches(upper(content), '^(NOTE|NOTICE|IMPORTANT|หมายเหตุ|สำคัญ|ข้อสังเกต)[:\\s]') THEN 'note'
+       WHEN regexp_matches(content, '(?i)^(\\d+\\.|Step\\s+\\d+|ขั้นตอนที่\\s+\\d+|[A-Z]\\.)\\s') THEN 'step' ELSE 'normal' END AS kind,
+       array_to_string(list_filter([{', '.join(f"CASE WHEN {_any(_T, w)} THEN '{n}' END" for n, w in C.LAYOUT_INTENTS.items())}], lambda x: x IS NOT NULL), ',') AS intents,
+       array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower(content), '{w}') THEN '{w}' END" for w in C.LAYOUT_ENTITIES)}], lambda x: x IS NOT NULL), ',') AS parts FROM {_BLOCKS}"""
+)
+def layout_tags(spark, d):
+    c = F.col("content")
+    return blocks_of(spark, d).select("id", C.block_type(c).alias("kind"), F.array_join(C.layout_intents(c, F.col("section")), ",").alias("intents"), F.array_join(C.layout_entities(c), ",").alias("parts"))
+
+
+_QI = " ".join(
+    f"WHEN regexp_matches(lower(query), '(?:{p}{'|' + C.QUERY_MORE[n] if n in C.QUERY_MORE else ''})') THEN '{n}'" for n, (p, _s, _q) in sorted(C.INTENTS.items(), key=lambda x: -x[1][1])
+)
+
+
+@query(f"SELECT DISTINCT query, CASE {_QI} END AS intent FROM qa_log")
+def query_intent(spark, d):
+    return table(spark, d, "qa_log").select("query", C.query_intent(F.col("query")).alias("intent")).distinct()
+
+
+_DT = {n: " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws) for n, ws in C.DOC_TYPES.items()}
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN greatest({', '.join(f's_{n}' for n in _DT)}) = 0 THEN 'generic' {' '.join(f"WHEN s_{n} = greatest({', '.join(f's_{m}' for m in _DT)}) THEN '{n}'" for n in _DT)} END AS kind
+       FROM (SELECT doc_id, {', '.join(f'{e} AS s_{n}' for n, e in _DT.items())} FROM documents)"""
+)
+def doc_classify(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.document_type(F.col("text")).alias("kind"))
+
+
+_BARE = "replace(content, ' ', '')"
+
+
+@query(
+    f"""SELECT id, pos, CASE WHEN {_any(_BARE, C.QNA_HINTS)} OR {_any('lower(content)', C.EXAM)} THEN 'qna'
+       WHEN (h AND (pos < 10 OR coalesce(page, 0) <= 2)) OR (pos = 0 AND length(content) <= 120) THEN 'header'
+       {' '.join(f"WHEN {_any('lower(content)', w)} THEN '{n}'" for n, w in C.SECTIONS)} ELSE 'other' END AS section_rule
+       FROM (SELECT *, coalesce(extra['is_heading'] = 'true', false) AS h, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 1), id) - 1 AS INT) AS pos FROM {_BLOCKS})"""
+)
+def section_rules(spark, d):
+    heading = F.coalesce(F.col("extra")["is_heading"] == "true", F.lit(False))
+    b = B.positions(blocks_of(spark, d).select("id", "doc_id", "page", "content", heading.alias("h")))
+    return b.select("id", "pos", C.section_rule(F.col("content"), F.col("h"), F.col("pos"), F.col("page")).alias("section_rule"))
+
+
+@query()
+def role_rules(spark, d):
+    heading = F.coalesce(F.col("extra")["is_heading"] == "true", F.lit(False))
+    return blocks_of(spark, d).select("id", C.text_role(F.col("content"), F.lower("section"), heading).alias("text_role"))
+
+
+# --- tables ---------------------------------------------------------------------------------------------------------
+_HC = "CASE " + " ".join(f"WHEN contains(h, '{k}') THEN '{n}'" for ks, n in C.HEADERS for k in ks) + " ELSE h END"
+
+
+@query(
+    f"""SELECT id, string_agg({_HC}, '|' ORDER BY k) AS names,
+       any_value(CASE WHEN {_any('j', ('date', 'วันที่'))} AND {_any('j', ('amount', 'ยอด', 'debit', 'credit', 'balance', 'price'))} THEN 'transaction_table' WHEN {_any('j', ('summary', 'สรุป', 'total', 'รวม'))} THEN 'summary_table' ELSE 'other_table' END) AS table_role
+       FROM (SELECT id, unnest(range(len(columns))) AS k, trim(lower(unnest(columns))) AS h, lower(array_to_string(columns, ' ')) AS j FROM {_TABLES} WHERE len(columns) > 0) GROUP BY id"""
+)
+def header_canon(spark, d):
+    t = tables_of(spark, d).where("size(columns) > 0")
+    return t.select("id", F.array_join(F.transform("columns", C.header_name), "|").alias("names"), C.table_role(F.col("columns")).alias("table_role"))
+
+
+_AMOUNT = """CASE WHEN regexp_matches(a, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$') THEN TRY_CAST(a AS DOUBLE) END"""
+
+
+@query(
+    f"""SELECT DISTINCT cell, {_AMOUNT} AS amount FROM (SELECT cell, CASE WHEN regexp_matches(s, '^\\(.*\\)$') THEN '-' || s[2:-2] ELSE s END AS a FROM (
+       SELECT cell, regexp_replace(cell, '[,฿\\s]', '', 'g') AS s FROM (SELECT unnest(flatten(rows)) AS cell FROM table_blocks) WHERE cell IS NOT NULL))"""
+)
+def amounts(spark, d):
+    cells = table(spark, d, "table_blocks").select(F.explode(F.flatten("rows")).alias("cell")).where("cell is not null").distinct()
+    return cells.select("cell", X.amount(F.col("cell")).alias("amount"))
+
+
+@query()
+def table_transactions(spark, d):
+    return T.transactions(tables_of(spark, d).select("id", "columns", "rows"))
+
+
+@query()
+def table_column_aggregates(spark, d):
+    return T.column_aggregates(tables_of(spark, d))
+
+
+@query()
+def table_texts(spark, d):
+    t = tables_of(spark, d)
+    c, r, m = F.col("columns"), F.col("rows"), F.col("markdown")
+    summary = F.col("extra")["summary"]
+    return t.select(
+        "id", T.to_markdown(c, r).alias("md"), T.to_html(c, r).alias("html"), T.semantic_rows(c, r).alias("semantic"), T.embed_text(F.col("name"), summary, m, c, r).alias("embed_text"),
+        T.chunk_text(m, c, r).alias("chunk_text"), T.unified_text(F.col("name"), F.col("category"), summary, c, m, r).alias("unified"),
+    )
+
+
+@query()
+def table_headers(spark, d):
+    bare = tables_of(spark, d).select("id", T.inferred_header(F.array().cast("array<string>"), F.col("rows")).alias("x"))
+    return bare.select("id", F.array_join("x.columns", "|").alias("header"), F.size("x.rows").alias("n_rows"))
+
+
+@query()
+def table_html(spark, d):
+    p = T.parsed_html(tables_of(spark, d))
+    return p.select("id", F.array_join("columns", "|").alias("header"), F.size("rows").alias("n_rows"), "complex_body", "complex_header")
+
+
+@query(
+    f"""SELECT table_id, i, text, CAST(part AS BIGINT) AS part, coalesce(head, 'Generic Section') AS head FROM (SELECT *, sum(CAST(regexp_matches(text, 'รายการ|total|Total') AS INT)) OVER w AS part,
+       last_value(CASE WHEN regexp_matches(text, 'รายการ|total|Total') THEN text END IGNORE NULLS) OVER w AS head
+       FROM (SELECT id AS table_id, CAST(unnest(range(len(rows))) AS INT) AS i, array_to_string(unnest(rows), ' ') AS text FROM {_TABLES})
+       WINDOW w AS (PARTITION BY table_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT regexp_matches(text, 'รายการ|total|Total')"""
+)
+def split_tables(spark, d):
+    rows = tables_of(spark, d).select(F.col("id").alias("table_id"), F.posexplode("rows").alias("i", "row")).select("table_id", "i", F.array_join("row", " ").alias("text"))
+    return T.split_by_headers(rows, "รายการ|total|Total")
+
+
+# --- retrieval ------------------------------------------------------------------------------------------------------
+ASKED = [(1, "the mandatory delivery of the corrected database"), (2, "insurance committee shipment"), (3, "ใบแจ้งหนี้ report manual total")]
+PROBES = (0, 1, 2)
+
+
+def _bm25_sql(queries: list[tuple[int, str]], top: int = 30) -> str:
+    rows = ", ".join(f"({i}, '{q}')" for i, q in queries)
+    return f"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
+      st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+      dfs AS (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS token FROM tok) GROUP BY token),
+      raw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfs, st),
+      idf AS (SELECT token, CASE WHEN idf < 0 THEN (SELECT 0.25 * avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+      q AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM (VALUES {rows}) v(query_id, query)) GROUP BY ALL),
+      hit AS (SELECT doc_id, token, len(any_value(t)) AS dl, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS token FROM tok) WHERE token IN (SELECT token FROM q) GROUP BY doc_id, token),
+      sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM hit JOIN q USING (token) JOIN idf USING (token), st GROUP BY query_id, doc_id),
+      bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM sc QUALIFY rank <= {top}),
+      bm25 AS (SELECT query_id, doc_id, score, rank FROM bm WHERE score > 0)"""
+
+
+def _vec_sql(ids: tuple[int, ...], where: str = "TRUE", top: int = 30) -> str:
+    return f"""vec AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS doc_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 5) AS score,
+      CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN {ids if len(ids) > 1 else f'({ids[0]})'}) q WHERE {where} QUALIFY rank <= {top})"""
+
+
+def _vectors(spark: SparkSession, d: str, ids: tuple[int, ...] = PROBES) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return v, v.where(F.col("doc_id").isin(*ids)).select((F.col("doc_id") + 1).alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query(_bm25_sql(ASKED) + " SELECT * FROM bm25")
+def bm25_topk(spark, d):
+    return R.bm25(table(spark, d, "documents"), ASKED)
+
+
+@query("WITH " + _vec_sql(PROBES) + " SELECT query_id, doc_id, score, rank FROM vec")
+def vector_topk(spark, d):
+    return R.vector_topk(*_vectors(spark, d))
+
+
+@query("WITH " + _vec_sql(PROBES, "e.label = 3") + " SELECT query_id, doc_id, score, rank FROM vec")
+def vector_filtered_topk(spark, d):
+    return R.vector_topk(*_vectors(spark, d), where=F.col("label") == 3)
+
+
+_RRF = "SELECT doc_id, round(sum(1.0 / (60 + rank)), 8) AS rrf FROM ({lists}) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 10"
+
+
+def _rrf_sql(lists: str) -> str:
+    return f" SELECT doc_id, rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc_id) AS INT) AS rank FROM ({_RRF.format(lists=lists)})"
+
+
+@query(_bm25_sql(ASKED[:1]) + ", " + _vec_sql((0,)) + _rrf_sql("SELECT doc_id, rank FROM bm25 UNION ALL SELECT doc_id, rank FROM vec"))
+def hybrid_rrf(spark, d):
+    """The flagship: the best documents of a lexical and a dense search, fused by reciprocal rank."""
+    v, q = _vectors(spark, d, (0,))
+    return R.rrf(R.bm25(table(spark, d, "documents"), ASKED[:1]), R.vector_topk(v, q))
+
+
+@query(_bm25_sql(ASKED) + ", " + _vec_sql(PROBES) + _rrf_sql("SELECT doc_id, rank FROM bm25 UNION ALL SELECT doc_id, rank FROM vec"))
+def multi_query_rrf(spark, d):
+    return R.rrf(R.bm25(table(spark, d, "documents"), ASKED), R.vector_topk(*_vectors(spark, d)))
+
+
+@query(
+    _bm25_sql(ASKED[1:2])
+    + """ SELECT doc_id, round(s + CASE WHEN hit THEN 0.3 ELSE 0 END, 6) AS final FROM (SELECT b.doc_id, rank, round(score / 20, 6) AS s, contains(lower(text), 'payment') AS hit FROM bm25 b JOIN documents USING (doc_id))
+          WHERE s >= 0.05 OR NOT (SELECT bool_or(score / 20 >= 0.05) FROM bm25) ORDER BY final DESC, rank LIMIT 5"""
+)
+def rerank_boost(spark, d):
+    docs = table(spark, d, "documents")
+    found = R.bm25(docs, ASKED[1:2])
+    tagged = F.broadcast(found).join(docs.select("doc_id", F.when(F.contains(F.lower("text"), F.lit("payment")), F.array(F.lit("financial"))).otherwise(F.array().cast("array<string>")).alias("intents")), "doc_id")
+    return R.threshold_boost(tagged.select("doc_id", F.round(F.col("score") / 20, 6).alias("score"), "intents", F.col("rank").alias("prev_rank")), "financial")
+
+
+_MATCHED = f"(SELECT id AS chunk_id, doc_id, page, left(content, 700) AS content, hash_rank AS rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY length(content) DESC, id) AS INT) AS hash_rank FROM {_CHUNKS}) WHERE hash_rank <= 40)"
+
+
+@query(
+    f"""WITH m AS (SELECT * FROM {_MATCHED} QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY rank) = 1),
+      p AS (SELECT m.*, c.id AS near_id, left(c.content, 700) AS near FROM m LEFT JOIN {_CHUNKS} c ON c.doc_id = m.doc_id AND c.page IS NOT DISTINCT FROM m.page AND left(c.content, 700) <> m.content),
+      r AS (SELECT *, sum(length(near)) OVER (PARTITION BY chunk_id ORDER BY near_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM p)
+      SELECT doc_id, page, chunk_id, rank, content || coalesce(string_agg(chr(10) || chr(10) || near, '' ORDER BY near_id) FILTER (length(content) + running <= 3000), '') AS "window" FROM r GROUP BY doc_id, page, chunk_id, rank, content"""
+)
+def page_window(spark, d):
+    c = chunks_of(spark, d).select("doc_id", "page", F.col("id").alias("chunk_id"), F.substring("content", 1, 700).alias("content"), F.length("content").alias("n"))
+    top = c.orderBy(F.desc("n"), "chunk_id").limit(40)  # the matches of a search stand in as the longest chunks
+    matched = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "chunk_id"))).drop("n")
+    return R.page_window(matched, c.drop("n"))
+
+
+@query(
+    f"""SELECT string_agg('[Source ' || rank || '] doc=' || doc_id || ' page=' || coalesce(CAST(page AS VARCHAR), '?') || chr(10) || left(content, 800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+       FROM (SELECT *, row_number() OVER (ORDER BY length(content) DESC, id) AS rank FROM {_CHUNKS} QUALIFY rank <= 5)"""
+)
+def context_build(spark, d):
+    top = chunks_of(spark, d).orderBy(F.desc(F.length("content")), "id").limit(5)
+    return R.context(top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length("content")), "id"))), 800)
+
+
+@query(f"SELECT id, doc_id, lower(trim(source)) AS source FROM {_CHUNKS} WHERE source IN ('table') AND doc_type IN ('invoice', 'contract') AND coalesce(CAST(page AS VARCHAR), '') <> ''")
+def filtered_chunks(spark, d):
+    c = R.post_filter(chunks_of(spark, d), sources=["table"], doc_types=["invoice", "contract"]).where(F.coalesce(F.col("page").cast("string"), F.lit("")) != "")
+    return c.select("id", "doc_id", F.lower(F.trim("source")).alias("source"))
+
+
+@query("SELECT DISTINCT doc_id, file_name FROM doc_metadata WHERE contains(lower(file_name), 'invoice') OR contains(lower(doc_id), '0042')")
+def doc_search(spark, d):
+    m = table(spark, d, "doc_metadata")
+    return m.where(F.lower("file_name").contains("invoice") | F.lower("doc_id").contains("0042")).select("doc_id", "file_name").distinct()
+
+
+# --- telemetry ------------------------------------------------------------------------------------------------------
+_K = "coalesce(nullif(lower(trim({c})), ''), 'unknown')"
+_LOG = f"(SELECT {_K.format(c='endpoint')} AS endpoint, {_K.format(c='provider')} AS provider, {_K.format(c='model')} AS model, coalesce(cost_usd, 0) AS cost FROM cost_log)"
+
+
+@query(
+    f"""SELECT CASE WHEN grouping(endpoint, provider, model) = 7 THEN 'total' WHEN grouping(endpoint) = 0 THEN 'endpoint' WHEN grouping(provider) = 0 THEN 'provider' ELSE 'model' END AS dimension,
+       coalesce(endpoint, provider, model, 'all') AS key, count(*) AS calls, round(sum(cost), 6) AS cost FROM {_LOG} GROUP BY GROUPING SETS ((), (endpoint), (provider), (model))"""
+)
+def cost_grouping_sets(spark, d):
+    return M.grouping_sets(table(spark, d, "cost_log"))
+
+
+@query("SELECT coalesce(user_id, '0') AS user_id, count(*) AS calls, round(sum(coalesce(cost_usd, 0)), 6) AS cost FROM cost_log GROUP BY 1")
+def cost_per_user(spark, d):
+    return M.per_user(table(spark, d, "cost_log"))
+
+
+@query("SELECT count(*) AS calls, round(sum(coalesce(cost_usd, 0)), 6) AS cost FROM cost_log WHERE ts >= TIMESTAMPTZ '2024-09-01 12:00:00+00'")
+def cost_session(spark, d):
+    log = table(spark, d, "cost_log").where(F.col("ts") >= F.expr("timestamp '2024-09-01 12:00:00 UTC'"))
+    return log.agg(F.count("*").alias("calls"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost"))
+
+
+@query("SELECT line_no FROM cost_log WHERE CAST(ts AT TIME ZONE 'UTC' AS DATE) > (SELECT max(CAST(ts AT TIME ZONE 'UTC' AS DATE)) - 1 FROM cost_log)")
+def cost_last_days(spark, d):
+    return M.last_days(table(spark, d, "cost_log"), 1).select("line_no")
+
+
+@query("SELECT line_no, endpoint, user_id FROM cost_log ORDER BY ts DESC, line_no DESC LIMIT 50")
+def recent_calls(spark, d):
+    return M.recent(table(spark, d, "cost_log"), 50).select("line_no", "endpoint", "user_id")
+
+
+@query(
+    """SELECT line_no, round(coalesce(prompt_tokens, 0) * coalesce(p.rate_input_per_m, 0) / 1e6 + coalesce(completion_tokens, 0) * coalesce(p.rate_output_per_m, 0) / 1e6, 8) AS unit_cost
+       FROM (SELECT line_no, prompt_tokens, completion_tokens, CASE line_no % 4 WHEN 0 THEN model WHEN 1 THEN 'x/' || model WHEN 2 THEN 'X/' || upper(model) ELSE 'other' END AS m, model FROM cost_log) c
+       LEFT JOIN model_prices p ON lower(regexp_replace(c.m, '^[^/]+/', '')) = lower(p.model)"""
+)
+def price_lookup(spark, d):
+    k = F.col("line_no") % 4
+    asked = F.when(k == 0, F.col("model")).when(k == 1, F.concat(F.lit("x/"), "model")).when(k == 2, F.concat(F.lit("X/"), F.upper("model"))).otherwise("other")
+    return M.priced(table(spark, d, "cost_log").withColumn("model", asked), table(spark, d, "model_prices")).select("line_no", "unit_cost")
+
+
+@query(
+    """SELECT day, cost, CASE WHEN cost / 5.0 >= 0.9 THEN 'high' WHEN cost / 5.0 >= 0.5 THEN 'warn' ELSE 'ok' END AS level
+       FROM (SELECT CAST(ts AT TIME ZONE 'UTC' AS DATE) AS day, round(sum(coalesce(cost_usd, 0)), 6) AS cost FROM cost_log GROUP BY 1)"""
+)
+def cost_level(spark, d):
+    return M.daily_level(table(spark, d, "cost_log"), 5.0)
+
+
+@query(
+    """SELECT day, CAST(hour AS INT) AS hour, calls, round(sum(cost) OVER (PARTITION BY day ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_cost
+       FROM (SELECT CAST(ts AT TIME ZONE 'UTC' AS DATE) AS day, hour(ts AT TIME ZONE 'UTC') AS hour, count(*) AS calls, sum(coalesce(cost_usd, 0)) AS cost FROM cost_log GROUP BY ALL)"""
+)
+def cost_running(spark, d):
+    return M.running_by_day(table(spark, d, "cost_log"))
+
+
+@query("SELECT min(line_no) AS line_no, count(*) AS copies FROM cost_log GROUP BY ts, endpoint, provider, model, prompt_tokens, completion_tokens, rate_input_per_m, rate_output_per_m, cost_usd, user_id, ctx")
+def cost_deduplicated(spark, d):
+    log = table(spark, d, "cost_log")
+    return log.groupBy(*[c for c in log.columns if c != "line_no"]).agg(F.min("line_no").alias("line_no"), F.count("*").alias("copies")).select("line_no", "copies")
+
+
+@query("SELECT c_custkey, coalesce(o.n, 0) AS orders, coalesce(o.total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+def users_left_totals(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    c = table(spark, d, "customer").select("c_custkey")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+@query("SELECT event_type, quantile_disc_x AS p95 FROM (SELECT event_type, list_sort(list(value))[greatest(1, CAST(floor(count(value) * 0.95) AS INT))] AS quantile_disc_x FROM events WHERE value IS NOT NULL GROUP BY 1)")
+def latency_p95(spark, d):
+    return M.p95_distributed(table(spark, d, "events"), "event_type", "value")
+
+
+@query(
+    """SELECT coalesce(lower(intent), 'none') AS intent, count(*) AS n, round(avg(CASE WHEN contains(lower(coalesce(answer, '')), 'the') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(coalesce(answer, '')), 'ตาม') THEN 0.5 ELSE 0 END), 3) AS keyword_recall,
+       round(avg(CAST(list_has_any(doc_ids, ['doc_00000001', 'doc_00000002', 'doc_00000003']) AS DOUBLE)), 3) AS doc_match FROM qa_log GROUP BY 1"""
+)
+def eval_summary(spark, d):
+    qa = table(spark, d, "qa_log")
+    r = qa.select(
+        F.coalesce(F.lower("intent"), F.lit("none")).alias("intent"), E.keyword_recall(F.col("answer"), F.array(F.lit("The"), F.lit("ตาม"))).alias("recall"),
+        E.doc_match(F.col("doc_ids"), F.array(F.lit("doc_00000001"), F.lit("doc_00000002"), F.lit("doc_00000003"))).alias("match"), F.lit(None).cast("double").alias("judge"), F.lit(None).cast("double").alias("latency"),
+    )
+    return E.summary(r, "intent").select("intent", "n", "keyword_recall", "doc_match")
+
+
+@query("SELECT mktsegment, pct, CASE WHEN pct >= 80 THEN 'excellent' WHEN pct >= 70 THEN 'good' WHEN pct >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT c_mktsegment AS mktsegment, round(avg(c_custkey % 6) * 20, 4) AS pct FROM customer GROUP BY 1)")
+def grade_bucket(spark, d):
+    g = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.round(F.avg(F.col("c_custkey") % 6) * 20, 4).alias("pct"))
+    return g.withColumn("grade", C.grade(F.col("pct")))
+
+
+@query("""SELECT event_id, CASE WHEN regexp_matches(lower(event_type), 'error|exception|traceback|fail') THEN 'error' WHEN contains(lower(event_type), 'warn') THEN 'warning' WHEN contains(lower(event_type), 'debug') THEN 'debug' ELSE 'info' END AS level, '$' || printf('%.2f', value) AS usd FROM events WHERE value >= 1""")
+def log_levels(spark, d):
+    return table(spark, d, "events").where("value >= 1").select("event_id", C.log_level(F.col("event_type")).alias("level"), X.usd(F.col("value")).alias("usd"))
+
+
+# --- windows and stores ---------------------------------------------------------------------------------------------
+@query(
+    f"""SELECT id, last_value(CASE WHEN coalesce(extra['is_heading'], 'false') = 'true' THEN nullif(content, '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY coalesce(page, 1), id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM {_BLOCKS}"""
+)
+def section_ffill(spark, d):
+    heading = F.when(F.coalesce(F.col("extra")["is_heading"], F.lit("false")) == "true", F.nullif("content", F.lit("")))
+    return B.carried(blocks_of(spark, d).select("id", "doc_id", "page", heading.alias("h")), F.col("h"), "carried", inclusive=True).select("id", "carried")
+
+
+@query()
+def filled_sections(spark, d):
+    return B.filled_sections(blocks_of(spark, d).select("id", "doc_id", "page", "content", "extra")).select("id", "filled_section")
+
+
+@query()
+def merged_blocks(spark, d):
+    return B.merged(blocks_of(spark, d)).select("doc_id", "page", "id", "kind", "blocks", F.md5("content").alias("digest"))
+
+
+@query()
+def semantic_chunks(spark, d):
+    return B.chunks(blocks_of(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT doc_id, page, id, length(content) AS n, row_number() OVER (PARTITION BY doc_id, page ORDER BY id) AS k FROM {_BLOCKS} WHERE page IS NOT NULL),
+      r AS (SELECT doc_id, page, id, k, n, 0 AS chunk FROM b WHERE k = 1 UNION ALL
+            SELECT b.doc_id, b.page, b.id, b.k, CASE WHEN r.n + b.n > 1200 THEN b.n ELSE r.n + b.n END, CASE WHEN r.n + b.n > 1200 THEN chunk + 1 ELSE chunk END FROM r JOIN b ON b.doc_id = r.doc_id AND b.page = r.page AND b.k = r.k + 1)
+      SELECT doc_id, page, id, chunk FROM r"""
+)
+def size_chunker(spark, d):
+    return B.size_chunks(blocks_of(spark, d).where("page is not null"))
+
+
+@query(f"SELECT doc_id, page, id, tail_chars FROM (SELECT doc_id, page, id, CAST(sum(length(content)) OVER (PARTITION BY doc_id, page ORDER BY id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tail_chars FROM {_BLOCKS}) WHERE tail_chars <= 150")
+def overlap_tail(spark, d):
+    return B.overlap_tail(blocks_of(spark, d))
+
+
+@query(f"SELECT min(id) AS id, md5(content) AS fingerprint, doc_id, count(*) AS copies FROM {_BLOCKS} GROUP BY doc_id, md5(content)")
+def dedupe_md5(spark, d):
+    return B.first_copies(blocks_of(spark, d), "doc_id")
+
+
+@query(f"SELECT id, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CAST(trunc(coalesce(bbox[2], 0) / 12) AS INT), coalesce(bbox[1], 0), id) AS INT) AS place FROM {_BLOCKS}")
+def reading_order(spark, d):
+    return B.reading_order(blocks_of(spark, d)).select("id", "place")
+
+
+@query(
+    f"""SELECT id, med AS median_size, CASE WHEN length(t) < 200 AND regexp_matches(t, '[\\p{{L}}\\p{{M}}]') AND size > 1.5 * med THEN 'H1' WHEN length(t) < 200 AND regexp_matches(t, '[\\p{{L}}\\p{{M}}]') AND size > 1.2 * med THEN 'H2' END AS level
+       FROM (SELECT b.id, trim(content) AS t, coalesce(TRY_CAST(extra['font_size'] AS DOUBLE), 10) AS size, median(coalesce(TRY_CAST(extra['font_size'] AS DOUBLE), 10)) OVER (PARTITION BY doc_id, page) AS med FROM {_BLOCKS} b WHERE page IS NOT NULL)"""
+)
+def median_heading(spark, d):
+    return B.font_headings(blocks_of(spark, d).where("page is not null")).select("id", "median_size", "level")
+
+
+@query(f"SELECT id, CASE WHEN bbox[4] < 0.07 * 842.0 THEN 'header' WHEN bbox[2] > 0.93 * 842.0 THEN 'footer' ELSE 'body' END AS margin FROM {_BLOCKS}")
+def margin_flags(spark, d):
+    return B.margins(blocks_of(spark, d)).select("id", "margin")
+
+
+@query(
+    f"""SELECT doc_id, CAST(page AS INT) AS page, '<!-- page ' || page || ' -->' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY id) AS markdown FROM (
+       SELECT doc_id, coalesce(page, 1) AS page, id, CASE role WHEN 'title' THEN '# ' || content WHEN 'section_header' THEN '## ' || content WHEN 'warning_note' THEN '> ⚠️ ' || content WHEN 'list_item' THEN '- ' || content WHEN 'qna_question' THEN '**Q:** ' || content ELSE content END AS line FROM {_BLOCKS})
+       GROUP BY doc_id, page"""
+)
+def page_markdown(spark, d):
+    return B.markdown(table(spark, d, "text_blocks"))
+
+
+@query(
+    f"""WITH b AS (SELECT id, doc_id, page, bbox FROM {_BLOCKS} WHERE bbox IS NOT NULL AND page IS NOT NULL), t AS (SELECT id, doc_id, page, bbox FROM {_TABLES} WHERE bbox IS NOT NULL AND page IS NOT NULL),
+      p AS (SELECT doc_id, page, t.id AS region_id, b.id AS box_id, round(greatest(0, least(b.bbox[3], t.bbox[3]) - greatest(b.bbox[1], t.bbox[1])) * greatest(0, least(b.bbox[4], t.bbox[4]) - greatest(b.bbox[2], t.bbox[2])) / ((t.bbox[3] - t.bbox[1]) * (t.bbox[4] - t.bbox[2])), 6) AS share FROM b JOIN t USING (doc_id, page))
+      SELECT doc_id, page, region_id, max(share) AS share, arg_min(box_id, (-share, box_id)) AS box_id FROM p WHERE share > 0 GROUP BY doc_id, page, region_id"""
+)
+def best_region(spark, d):
+    def boxes(t: DataFrame, p: str, name: str) -> DataFrame:
+        return t.where("bbox is not null and page is not null").select("doc_id", "page", F.col("id").alias(name), *(F.try_element_at("bbox", F.lit(k + 1)).alias(f"{p}{c}") for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+    return B.best_region(boxes(blocks_of(spark, d), "b", "box_id"), boxes(tables_of(spark, d), "r", "region_id"))
+
+
+def _dup(t: str, code: str) -> str:
+    return f"SELECT min(doc_id) AS doc_id, id AS item_id, 'warning' AS level, '{code}' AS code FROM {t} WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1"
+
+
+_E = "coalesce(trim({c}), '') = ''"
+_TXT = [("warning", "TEXT_PAGE_INVALID", "page <= 0"), ("warning", "TEXT_PAGE_OUT_OF_RANGE", "page > n AND n > 0"), ("info", "TEXT_BLOCK_VERY_LONG", "length(content) > 8000"), ("info", "TEXT_BLOCK_VERY_SHORT", "length(trim(content)) < 2"), ("warning", "TEXT_BBOX_INVALID", "len(bbox) <> 4"), ("info", "TEXT_NO_SECTION", _E.format(c="section")), ("info", "TEXT_NO_ROLE", _E.format(c="role"))]
+_TBL = [("warning", "TABLE_PAGE_INVALID", "page <= 0"), ("warning", "TABLE_PAGE_OUT_OF_RANGE", "page > n AND n > 0"), ("warning", "TABLE_NO_HEADER", "coalesce(len(columns), 0) = 0 AND coalesce(len(rows), 0) > 0"), ("warning", "TABLE_NO_ROWS", "coalesce(len(rows), 0) = 0 AND coalesce(len(columns), 0) > 0"), ("warning", "TABLE_BBOX_INVALID", "len(bbox) <> 4"), ("info", "TABLE_NO_CATEGORY", _E.format(c="category")), ("info", "TABLE_NO_ROLE", _E.format(c="role"))]
+_DOC = [("warning", "MISSING_FILE_NAME", _E.format(c="file_name")), ("error", "MISSING_DOC_ID", _E.format(c="doc_id")), ("warning", "MISSING_PAGE_COUNT", "page_count IS NULL AND max_page IS NOT NULL"), ("warning", "INVALID_PAGE_COUNT", "page_count <= 0"), ("warning", "PAGE_COUNT_MISMATCH", "page_count > 0 AND max_page > page_count"), ("error", "NO_TEXT_BLOCKS", "NOT has_text")]
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id, max(page_count) AS n FROM doc_metadata GROUP BY 1), top AS (SELECT doc_id, max(page) AS max_page FROM (SELECT doc_id, page FROM text_blocks UNION ALL SELECT doc_id, page FROM table_blocks) GROUP BY 1),
+      d AS (SELECT doc_metadata.*, max_page, doc_id IN (SELECT doc_id FROM text_blocks) AS has_text FROM doc_metadata LEFT JOIN top USING (doc_id)), x AS (SELECT * FROM text_blocks LEFT JOIN m USING (doc_id)), b AS (SELECT * FROM table_blocks LEFT JOIN m USING (doc_id)) """
+    + " UNION ALL ".join(
+        [f"SELECT doc_id, CAST(NULL AS VARCHAR) AS item_id, '{lv}' AS level, '{c}' AS code FROM d WHERE {w}" for lv, c, w in _DOC]
+        + [f"SELECT doc_id, id, '{lv}', '{c}' FROM x WHERE {w}" for lv, c, w in _TXT]
+        + [f"SELECT doc_id, id, '{lv}', '{c}' FROM b WHERE {w}" for lv, c, w in _TBL]
+        + [_dup("text_blocks", "DUPLICATE_TEXT_ID"), _dup("table_blocks", "DUPLICATE_TABLE_ID")]
+        + ["SELECT doc_id, id, 'warning', 'ROW_LEN_MISMATCH' FROM (SELECT doc_id, id, len(columns) AS n, unnest(rows) AS r FROM table_blocks WHERE len(columns) > 0) WHERE len(r) <> n"]
+    )
+)
+def validate_docs(spark, d):
+    return validate(table(spark, d, "doc_metadata"), table(spark, d, "text_blocks"), table(spark, d, "table_blocks"))
+
+
+@query("SELECT coalesce(source, 'total') AS source, count(*) AS n FROM chunks GROUP BY ROLLUP (source)")
+def chunks_by_source(spark, d):
+    return S.counts_with_total(table(spark, d, "chunks"), "source")
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, upper(text) FROM documents WHERE doc_id % 3 = 0")
+def upsert_chunks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return S.upsert(docs, docs.where("doc_id % 3 = 0").select("doc_id", F.upper("text").alias("text")), "doc_id")
+
+
+@query("SELECT DISTINCT doc_id, page, 'text' AS kind FROM text_blocks WHERE page IS NOT NULL UNION ALL SELECT DISTINCT doc_id, page, 'table' FROM table_blocks t WHERE page IS NOT NULL AND NOT EXISTS (SELECT 1 FROM text_blocks b WHERE b.doc_id = t.doc_id AND b.page = t.page)")
+def anti_page_merge(spark, d):
+    pages = lambda name, kind: table(spark, d, name).where("page is not null").select("doc_id", "page").distinct().withColumn("kind", F.lit(kind))
+    return S.merge_missing(pages("text_blocks", "text"), pages("table_blocks", "table"), "doc_id", "page")
+
+
+@query("SELECT doc_id, count(*) AS n FROM text_blocks WHERE doc_id IN (SELECT doc_id FROM doc_metadata WHERE lower(trim(source)) = 'scanner') GROUP BY doc_id")
+def semi_filter_docs(spark, d):
+    keep = table(spark, d, "doc_metadata").where(F.lower(F.trim("source")) == "scanner").select("doc_id").distinct()
+    return table(spark, d, "text_blocks").join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, file_name, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY left(ingested_at, 19) DESC, file_name DESC, source DESC) AS k FROM doc_metadata) WHERE k = 1")
+def latest_metadata(spark, d):
+    m = table(spark, d, "doc_metadata").select("doc_id", F.struct(F.substring("ingested_at", 1, 19).alias("at"), "file_name", "source").alias("x"))
+    return m.groupBy("doc_id").agg(F.max("x").alias("x")).select("doc_id", "x.file_name", "x.source")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY CASE source WHEN 'table' THEN 0 ELSE 1 END) AS k FROM chunks) WHERE k = 1")
+def preferred_variant(spark, d):
+    c = table(spark, d, "chunks").select("doc_id", "source")
+    return S.preferred(c, "doc_id", F.when(F.col("source") == "table", 0).otherwise(1))
+
+
+@query("SELECT intent, query, answer, CAST(back AS INT) AS back FROM (SELECT coalesce(intent, 'none') AS intent, query, answer, row_number() OVER (PARTITION BY coalesce(intent, 'none') ORDER BY ts DESC, query DESC) AS back FROM (SELECT DISTINCT ts, query, answer, intent FROM qa_log)) WHERE back <= 5")
+def history_tail(spark, d):
+    qa = table(spark, d, "qa_log").select("ts", "query", "answer", F.coalesce("intent", F.lit("none")).alias("intent")).distinct()
+    w = Window.partitionBy("intent").orderBy(F.desc("ts"), F.desc("query"))
+    return qa.withColumn("back", F.row_number().over(w)).where("back <= 5").select("intent", "query", "answer", "back")
+
+
+@query("SELECT id, doc_type, source, page, array_to_string(metadata.entities, ',') AS entities, array_to_string(metadata.intent, ',') AS intents FROM chunks")
+def flat_metadata(spark, d):
+    return table(spark, d, "chunks").select("id", "doc_type", "source", "page", X.flatten_list(F.col("metadata.entities")).alias("entities"), X.flatten_list(F.col("metadata.intent")).alias("intents"))
