@@ -6,7 +6,7 @@ still too long after the level above; the atoms are packed greedily up to the li
 Pieces are spans of the text, so dropping each piece's overlap and joining gives the text back.
 
 Defined results: null text gives no piece; empty text and text within the limit give one piece; repeated rows repeat;
-extra columns are kept (an ``item`` column set whose names clash with the added ones is renamed by the caller).
+extra columns are kept, and ones named like an added column are replaced.
 """
 
 from __future__ import annotations

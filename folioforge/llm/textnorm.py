@@ -87,7 +87,8 @@ def spellings(c: str) -> dict[str, str]:
 
 
 def resolve_token(token: str) -> tuple[str, str | None]:
-    """The token in one script, and 'mixed', 'whole' or None. A token whose script sets have no common member is left."""
+    """The token in one script, and 'mixed' (a Latin word with other letters), 'other' (a word of another script with foreign
+    letters), 'whole' or None. A token whose script sets have no common member is left."""
     letters = [c for c in token if c.isalpha()]
     own = {script_of(c) for c in letters}
     if own == {"LATIN"}:
@@ -99,7 +100,7 @@ def resolve_token(token: str) -> tuple[str, str | None]:
     if not common:
         return token, None
     script = "LATIN" if "LATIN" in common else max(sorted(common), key=lambda s: sum(script_of(c) == s for c in letters))
-    return "".join(spellings(c)[script] if c.isalpha() else c for c in token), "mixed" if "LATIN" in own else None
+    return "".join(spellings(c)[script] if c.isalpha() else c for c in token), "mixed" if script == "LATIN" else "other"
 
 
 def canonical(text: str) -> tuple[str, list[str]]:
