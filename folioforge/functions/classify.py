@@ -90,7 +90,8 @@ def intents(text: Column, section: Column, most: int = 5) -> Column:
     t = _combined(text, section)
     ordered = sorted(INTENTS.items(), key=lambda x: -x[1][1])
     hit = F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(n)) for n, (p, _s, _q) in ordered)))
-    return F.when(F.size(hit) == 0, F.array(F.lit(GENERAL[0]))).otherwise(F.slice(hit, 1, most))
+    # Inside a transform the matches are found once.
+    return F.transform(F.array(hit), lambda h: F.when(F.size(h) == 0, F.array(F.lit(GENERAL[0]))).otherwise(F.slice(h, 1, most)))[0]
 
 
 def primary_intent(names: Column) -> Column:

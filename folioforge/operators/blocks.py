@@ -163,7 +163,7 @@ def chunks(blocks: DataFrame) -> DataFrame:
     raw = F.array_join(F.transform("b", lambda x: x["content"]), "\n")
     sign = lambda x: F.when(x["kind"] == "warning", F.array(F.lit("⚠️"), x["content"])).when(x["kind"] == "note", F.array(F.lit("ℹ️"), x["content"])).otherwise(F.array(x["content"]))
     section = display_section(F.col("chunk_section"))
-    p = stage(parts.withColumn("intent", C.intents(raw, section)).withColumn("raw", raw))
+    p = stage(parts.select("*", raw.alias("raw"))).withColumn("intent", C.intents(F.col("raw"), section))
     tag = F.when(F.array_contains("intent", "safety"), F.array(F.lit("⚠️ [ข้อควรระวัง]"))).when(F.array_contains("intent", "troubleshooting"), F.array(F.lit("🔧 [การแก้ปัญหา]"))).otherwise(F.array().cast("array<string>"))
     full = F.array_join(F.concat(tag, F.flatten(F.transform("b", sign))), "\n")
     cut = F.when(F.length("full") > MAX_CHARS, F.concat(F.substring("full", 1, MAX_CHARS - 50), F.lit("\n...[ตัดทอนเนื้อหา]..."))).otherwise(F.col("full"))

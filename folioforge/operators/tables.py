@@ -92,9 +92,13 @@ def transactions(tables: DataFrame) -> DataFrame:
     """``tables`` (id, columns, rows) -> a row per table row: raw fields by canonical header (the last of equal headers
     wins), parsed amounts, quantity x unit price where no amount is given. Rows without any field are dropped."""
     names = F.transform("columns", header_name)
-    index = lambda n: F.array_max(F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.when(F.element_at("names", i) == n, i)))
-    rows = tables.where("size(columns) > 0 and size(rows) > 0").select("id", names.alias("names"), F.posexplode("rows").alias("row_no", "row"))
-    raw = {n: F.when(index(n) <= F.size("row"), F.try_element_at("row", index(n))) for n in TRANSACTION}
+    last = lambda n: F.size("names") + 1 - F.nullif(F.array_position(F.reverse("names"), n), F.lit(0).cast("long"))
+    # The places of the fields are found once a table, below the generator of its rows.
+    placed = tables.where("size(columns) > 0 and size(rows) > 0").select("id", "rows", names.alias("names"))
+    placed = placed.select("id", "rows", F.array(*(last(n).cast("int") for n in TRANSACTION)).alias("at"))
+    rows = placed.select("id", "at", F.posexplode("rows").alias("row_no", "row"))
+    at = lambda k: F.element_at("at", k + 1)
+    raw = {n: F.when(at(k) <= F.size("row"), F.try_element_at("row", at(k))) for k, n in enumerate(TRANSACTION)}
     out = rows.select("id", "row_no", *(F.nullif(F.trim(c), F.lit("")).alias(n) for n, c in raw.items()))
     out = out.where(F.coalesce(*(F.col(n) for n in TRANSACTION)).isNotNull())
     q, u, a = amount(F.col("quantity")), amount(F.col("unit_price")), amount(F.col("amount"))
