@@ -73,6 +73,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.defects(table(spark, d, "text_blocks")).select("block_id", "defect")
 
 
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "text_blocks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(pii.text_items(table(spark, d, "text_blocks"), table(spark, d, "table_blocks")), table(spark, d, "name_lexicon"))
 
@@ -114,7 +118,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("level = 'demanding'").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical, p5_found, p6_found, p6_redacted, p6_redacted_tables, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical, p5_found, p5_text, p6_found, p6_redacted, p6_redacted_tables, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
 
 ORACLES = {
     "p2_found": """SELECT DISTINCT item_kind, item_id FROM (
