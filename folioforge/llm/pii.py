@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.textnorm import BLANKS, SUSPECT, canonical
+from folioforge.llm.textnorm import BLANKS, canonical, needs
 
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 SAMPLE = 12_000
 CELL = "\ue000"  # between the cells of a table; neither a letter nor a blank
-_SUSPECT = re.compile(SUSPECT)
 _THAI_DIGIT = re.compile("[๐-๙]")
 _DIGITS = str.maketrans("๐๑๒๓๔๕๖๗๘๙", "0123456789")
 
@@ -352,7 +351,7 @@ def _plain_examples(kind: str) -> list[tuple[list[str], int]]:
 
 
 def prepared(text: str) -> str:
-    return _arabic(canonical(text)[0] if _SUSPECT.search(text) else text)
+    return _arabic(canonical(text)[0] if needs(text) else text)
 
 
 def _arabic(text: str) -> str:
@@ -361,7 +360,7 @@ def _arabic(text: str) -> str:
 
 def aligned(text: str) -> tuple[str, list[int] | None]:
     """The prepared text, and for each of its positions (and its end) the position in ``text``; None if they agree."""
-    if not _SUSPECT.search(text):
+    if not needs(text):
         return _arabic(text), None
     out, at = [], []
     for m in re.finditer(rf"[\n{BLANKS} ]|[^\n{BLANKS} ]+", text):
