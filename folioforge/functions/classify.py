@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +68,24 @@ PLANNER = "และ|กับ|เทียบ|เปรียบเทียบ
 LEVEL_WORDS = (("error", "error|exception|traceback|fail"), ("warning", "warn"), ("debug", "debug"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once; expressions outside generated code would repeat it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def matches(col: Column, pattern: str) -> Column:
+    """``col.rlike(pattern)`` for a group of alternatives, plain words by substring search, which is many times cheaper; an
+    alternative with blanks in it only where its first word stands."""
+    out = F.lit(False)
+    for word in pattern.removeprefix("(?:").removesuffix(")").split("|"):
+        head = re.split(r"\\s", word)[0]
+        if not re.search(r"[\\().\[\]*+?^$]", head) and head:
+            out = out | (col.contains(head) if head == word else col.contains(head) & col.rlike(word))
+        else:
+            out = out | col.rlike(word)
+    return out
+
+
 def contains_any(col: Column, words: Iterable[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -87,11 +106,9 @@ def _combined(text: Column, section: Column) -> Column:
 
 def intents(text: Column, section: Column, most: int = 5) -> Column:
     """Matching intents, highest score first, in declared order among equals; ``general`` for none."""
-    t = _combined(text, section)
     ordered = sorted(INTENTS.items(), key=lambda x: -x[1][1])
-    hit = F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(n)) for n, (p, _s, _q) in ordered)))
-    # Inside a transform the matches are found once.
-    return F.transform(F.array(hit), lambda h: F.when(F.size(h) == 0, F.array(F.lit(GENERAL[0]))).otherwise(F.slice(h, 1, most)))[0]
+    hit = let(_combined(text, section), lambda t: F.array_compact(F.array(*(F.when(matches(t, p), F.lit(n)) for n, (p, _s, _q) in ordered))))
+    return let(hit, lambda h: F.when(F.size(h) == 0, F.array(F.lit(GENERAL[0]))).otherwise(F.slice(h, 1, most)))
 
 
 def primary_intent(names: Column) -> Column:
@@ -103,7 +120,7 @@ def primary_intent(names: Column) -> Column:
 
 def answer_scope(text: Column, section: Column) -> Column:
     t = _combined(text, section)
-    return first_of(((t.rlike(p), n) for n, p in SCOPES), "general")
+    return first_of(((matches(t, p), n) for n, p in SCOPES), "general")
 
 
 def entities(text: Column, section: Column, most: int = 10) -> Column:
@@ -118,7 +135,7 @@ def entities(text: Column, section: Column, most: int = 10) -> Column:
 def query_intent(query: Column) -> Column:
     """The intent of the highest score; the first declared among equals; null for none."""
     q = F.lower(query)
-    rules = [(q.rlike(f"(?:{p}|{QUERY_MORE[n]})" if n in QUERY_MORE else p), n, s) for n, (p, s, _q) in INTENTS.items()]
+    rules = [(matches(q, p) | matches(q, QUERY_MORE[n]) if n in QUERY_MORE else matches(q, p), n, s) for n, (p, s, _q) in INTENTS.items()]
     return first_of(((c, n) for c, n, _s in sorted(rules, key=lambda r: -r[2])), None)
 
 
@@ -139,13 +156,11 @@ def scope_of_block(kind: Column) -> Column:
 
 
 def layout_intents(text: Column, section: Column) -> Column:
-    t = _combined(text, section)
-    return F.array_compact(F.array(*(F.when(contains_any(t, w), F.lit(n)) for n, w in LAYOUT_INTENTS.items())))
+    return let(_combined(text, section), lambda t: F.array_compact(F.array(*(F.when(contains_any(t, w), F.lit(n)) for n, w in LAYOUT_INTENTS.items()))))
 
 
 def layout_entities(text: Column) -> Column:
-    t = F.lower(text)
-    return F.array_compact(F.array(*(F.when(t.contains(w), F.lit(w)) for w in LAYOUT_ENTITIES)))
+    return let(F.lower(text), lambda t: F.array_compact(F.array(*(F.when(t.contains(w), F.lit(w)) for w in LAYOUT_ENTITIES))))
 
 
 def document_type(text: Column) -> Column:
