@@ -124,11 +124,11 @@ def answer_scope(text: Column, section: Column) -> Column:
 
 
 def entities(text: Column, section: Column, most: int = 10) -> Column:
-    """Money, years and titled Thai names of the first 5000 characters, distinct and sorted."""
-    t = F.substring(_combined(text, section), 1, 5000)
-    money = F.regexp_extract_all(t, F.lit(MONEY), F.lit(0))
-    years = F.regexp_extract_all(t, F.lit(YEAR), F.lit(1))
-    names = F.regexp_extract_all(t, F.lit(THAI_NAME), F.lit(0))
+    """Money, years and titled Thai names of the first 5000 characters, distinct and sorted. Any blank of Unicode separates,
+    a no-break one becomes a plain one; digits are 0 to 9."""
+    t = F.substring(F.replace(_combined(text, section), F.lit("\u00a0"), F.lit(" ")), 1, 5000)
+    found = lambda pattern, group: F.regexp_extract_all(t, F.lit(pattern.replace(r"\s", r"[\s\p{Z}]")), F.lit(group))
+    money, years, names = found(MONEY, 0), found(YEAR, 1), found(THAI_NAME, 0)
     return F.slice(F.array_sort(F.array_distinct(F.concat(money, years, names))), 1, most)
 
 

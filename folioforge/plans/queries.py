@@ -198,7 +198,7 @@ def intent_tags(spark, d):
        FROM (SELECT id, left(replace(lower(coalesce(content, '') || ' 12,500.50 baht ' || coalesce(section, '')), chr(160), ' '), 5000) AS t FROM {_BLOCKS} WHERE regexp_matches(content, '^[\\x0A\\x20-\\x7E฀-๙]*$'))"""
 )
 def entity_lists(spark, d):
-    b = blocks_of(spark, d).where(F.col("content").rlike(r"^[\x0A\x20-\x7E฀-๙]*$"))
+    b = blocks_of(spark, d)  # all of them; the SQL twin covers the plain ones only
     names = C.entities(F.concat(F.coalesce("content", F.lit("")), F.lit(" 12,500.50 baht")), F.col("section"))
     return b.select("id", F.array_join(names, "|").alias("entities"))
 
