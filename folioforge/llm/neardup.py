@@ -5,15 +5,18 @@ a gram's n-th occurrence is its own element, so multisets are compared as sets.
 one node. A node has a collection U of BANDS bands of two minhashes and a collection V of SINGLES single minhashes; the
 table keys are all pairs (U_i, V_j), so BANDS x SINGLES tables of three hashes cost 2 x BANDS + SINGLES of them. Keys are
 only formed for bands U_i that a second node shares: the others' keys have one member in any case. At the Jaccard
-similarity J the tables miss a pair with probability (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.5 % at 0.55, 0.02 % at 0.65.
+similarity J the tables miss a pair with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES. Records of equal size that
+just reach a threshold t of common elements have J = t / (2 - t): 1.0 % of such pairs are missed at t = 0.55, 0.06 % at 0.65
+(of cells of equal weight); unequal sizes and closer copies have a larger J.
 
 Cells are sampled by their length (up to LONG characters), so row numbers and status words, which unrelated tables share,
 seldom make a key; runs of words are sampled alike. The weights only steer candidates.
 
 Candidates are verified exactly: common elements / elements of the larger record >= threshold. To link a hot bucket
 without all its pairs, first every member is compared with the bucket's smallest node; after the components of these
-links are known, only pairs of nodes that are still in different components are compared. Such buckets of more than WIDE
-components are first divided by a third collection W, of SINGLES further minhashes.
+links are known, only pairs of nodes that are still in different components are compared. The nodes of such buckets of more
+than WIDE components are compared where their rarest elements meet (a prefix filter): two records that reach the threshold
+share one of the size - ceil(threshold x size) + 1 elements of each that come first in order of rarity, so none is lost.
 
 Defined results: records without any word or cell (null, empty) belong to no group; texts of fewer than WORDS words are
 one run; repeated rows of an id count once; ids of different kinds are never compared; extra columns are ignored.
@@ -28,18 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.components import components
 from folioforge.llm.textnorm import canonical, needs
 from folioforge.session import stage
 
-WORDS, BANDS, SINGLES, LONG, WIDE = 3, 16, 8, 40, 32
+WORDS, BANDS, SINGLES, LONG, WIDE = 3, 32, 12, 40, 32
 ASKED = 200_000  # candidates that are broadcast to pick their grams
-SKETCH_SCHEMA = "kind string, id string, class string, grams array<int>, u array<int>, v array<int>, w array<int>"
+SKETCH_SCHEMA = "kind string, id string, class string, grams array<int>, u array<int>, v array<int>"
 _MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if c < 0x3400 and unicodedata.category(chr(c))[0] in 'PS')}‼️]+")
-_HASHES = 2 * BANDS + 2 * SINGLES
+_HASHES = 2 * BANDS + SINGLES
 _ODD = np.random.default_rng(20240901).integers(1, 2**63, _HASHES, dtype=np.uint64) | np.uint64(1)
 _SALT = np.random.default_rng(20240902).integers(1, 2**63, _HASHES, dtype=np.uint64)
 
@@ -129,7 +132,7 @@ def _sketches(kind: str, run: int):
                 sig = _minhashes(g, weight, starts, run > 1)
                 bands = sig[:, : 2 * BANDS].reshape(len(sig), BANDS, 2)
                 u = _int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))
-                v, w = _int32(sig[:, 2 * BANDS : 2 * BANDS + SINGLES]), _int32(sig[:, 2 * BANDS + SINGLES :])
+                v = _int32(sig[:, 2 * BANDS :])
                 # Two independent sums of 64 bits identify the whole multiset.
                 a, b = np.add.reduceat(_mix(g ^ np.uint64(11)), starts), np.add.reduceat(_mix(g ^ np.uint64(13)), starts)
                 small = (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -141,7 +144,6 @@ def _sketches(kind: str, run: int):
                         "grams": np.split(small, starts[1:]),
                         "u": list(u),
                         "v": list(v),
-                        "w": list(w),
                     }
                 )
 
@@ -161,6 +163,10 @@ def table_sketches(items: DataFrame, kind: str) -> DataFrame:
     return rows.mapInPandas(_sketches(kind, 1), SKETCH_SCHEMA)
 
 
+def _least(kind: str, thresholds: dict[str, float]) -> Column:
+    return F.coalesce(*(F.when(F.col(kind) == k, F.lit(t)) for k, t in thresholds.items()))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """The pairs (a, b) whose common elements reach the threshold of their kind. Only the candidates' grams are moved."""
     pairs = stage(pairs)
@@ -169,7 +175,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float])
     few = asked.count() <= ASKED  # eight bytes a row; beyond, both sides are shuffled
     known = stage(nodes.select("node", "kind", "grams").join(F.broadcast(asked) if few else asked, "node", "left_semi"))
     side = lambda c: known.select(F.col("node").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("grams").alias(f"grams_{c}"))
-    least = F.coalesce(*(F.when(F.col("kind_a") == k, F.lit(t)) for k, t in thresholds.items()))
+    least = _least("kind_a", thresholds)
     larger = F.greatest(F.size("grams_a"), F.size("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("kind_a") == F.col("kind_b")) & (common >= least * larger - 1e-9)).select("a", "b")
@@ -191,6 +197,17 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return kept.join(kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")), "key")
 
 
+def rare_cells(nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """key, node, component: the rarest elements of ``nodes`` (node, component, kind, grams), so many of each that any two
+    nodes of a kind that reach its threshold have a key in common. Elements of one node form no keys."""
+    sized = nodes.withColumn("g", F.array_distinct("grams")).withColumn("prefix", F.size("g") - F.ceil(_least("kind", thresholds) * F.size("grams") - 1e-9) + 1)
+    each = sized.select("node", "component", "kind", "prefix", F.size("g").alias("all"), F.explode("g").alias("gram"))
+    counted = each.groupBy("kind", "gram").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(counted, ["kind", "gram"]).groupBy("node", "component", "kind", "prefix", "all").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("s"))
+    left = F.greatest(F.lit(0), F.col("prefix") - (F.col("all") - F.size("s")))  # the node's own elements are its rarest
+    return shared.select("node", "component", "kind", F.explode(F.slice("s", F.lit(1), left.cast("int"))).alias("x")).select(F.xxhash64("kind", "x.gram").alias("key"), "node", "component")
+
+
 def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """kind, id, group (smallest id of the group) and size for every record that has a copy under another id."""
     rows = stage(sketches.withColumn("node", F.monotonically_increasing_id()))  # the written numbers stay
@@ -208,8 +225,8 @@ def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.approx_count_distinct("component").alias("parts")).where("lo <> hi")
     open_ = stage(open_.join(several.select("key", "parts"), "key"))
     narrow = open_.where(F.col("parts") <= WIDE).select("key", "node", "component")
-    wide = open_.where(F.col("parts") > WIDE).join(rows.select("node", "w"), "node").select("key", "node", "component", F.posexplode("w").alias("k", "h"))
-    cell = stage(narrow.unionByName(wide.select(F.xxhash64("key", "k", "h").alias("key"), "node", "component")))
+    wide = open_.where(F.col("parts") > WIDE).select("node", "component").distinct().join(rows.select("node", "kind", "grams"), "node")
+    cell = stage(narrow.unionByName(rare_cells(wide, thresholds).select("key", "node", "component")))
     # Pairs of components first, then their members: members of one component never meet.
     parts = cell.select("key", "component").distinct()
     side = lambda t, c: t.select("key", F.col("component").alias(f"c{c}"), *([F.col("node").alias(c)] if "node" in t.columns else []))

@@ -1,6 +1,9 @@
+import itertools
+import random
 import re
 
 from folioforge.functions import classify as C
+from folioforge.llm.neardup import copy_groups, copy_pairs, text_sketches
 from folioforge.plans.queries import QUERIES
 
 
@@ -21,3 +24,21 @@ def test_entity_lists_of_any_text(spark, tmp_path):
         return "|".join(sorted(found)[:10])
 
     assert got == {k: brute(k) for k in texts}
+
+
+def test_p1_pairs_of_wide_buckets(spark):
+    """Half of every text is one boilerplate, so all meet in buckets of many components; pairs that just reach the
+    threshold through twelve further runs must still be linked, and no others."""
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    hot, texts = new(52), {}
+    for k in range(200):
+        common = new(10)
+        for side in "ab":
+            texts[f"c{k:03d}{side}"] = hot + common + new(40)
+    runs = {i: set(zip(w, w[1:], w[2:])) for i, w in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(runs[a] & runs[b]) >= 0.55 * max(len(runs[a]), len(runs[b]))}
+    assert want == {(f"c{k:03d}a", f"c{k:03d}b") for k in range(200)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "id string, content string")
+    got = {(r.id_a, r.id_b) for r in copy_pairs(copy_groups(text_sketches(df, "chunk"), {"chunk": 0.55})).collect()}
+    assert got == want
