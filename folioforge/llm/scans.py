@@ -4,8 +4,8 @@
    fingerprint that misread characters do not change, and a printed number if there is one), the words cut at line ends,
    and the partition's word counts.
 2. The outer lines of each page, read inwards, are labelled header, numbered header, page number or body by a hidden
-   Markov model. A line's observation is on how many of the document's pages its fingerprint stands at that edge and
-   whether its number keeps the document's distance to the page. The model is trained by expectation maximisation over the
+   Markov model. A line's observation is whether its fingerprint, with or without its number, stands at that edge on at
+   least MIN_PAGES of the document's pages and whether its number keeps the document's distance to the page. The model is trained by expectation maximisation over the
    counts of all observation sequences (a table of at most 2 x 64 rows), started from documented probabilities; a
    sequence's best labelling (Viterbi) is looked up in that table.
 3. Misread words are words that clean files do not have and that fall together with a known word once the confusions of
@@ -35,7 +35,7 @@ from folioforge.session import stage
 MISREADS = 300_000
 MIN_PAGES = 3
 PASS = (
-    "t string, id string, doc_id string, page int, native boolean, line_nos array<int>, keys array<bigint>, nums array<int>, pure array<boolean>, "
+    "t string, id string, doc_id string, page int, native boolean, line_nos array<int>, keys array<bigint>, wholes array<bigint>, nums array<int>, pure array<boolean>, "
     "a string, b string, c string, n bigint, clean bigint"
 )
 # Characters that recognition confuses, each as the strokes it is read as (fixed values).
@@ -82,8 +82,13 @@ def observed(line: str) -> tuple[int, int, bool]:
         v = number(m.group(1) or m.group(4))
         if v:
             line = m.group(2) or m.group(3)
+    return fingerprint(line), v, False
+
+
+def fingerprint(line: str) -> int:
+    """Of a whole line, its number included; 0 for a line too short to tell."""
     key = skeleton(_NO_WORD.sub("", line.lower()))
-    return (hash_text(key) if len(key) >= 4 else 0), v, False
+    return hash_text(key) if len(key) >= 4 else 0
 
 
 def hash_text(s: str) -> int:
@@ -157,20 +162,22 @@ def _first_pass(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen = []
             for k in at:
                 if k < 0:
-                    seen.append((0, 0, False))
+                    seen.append((0, 0, False, 0))
                     continue
                 if (o := cache.get(lines[k])) is None:
                     if len(cache) > 50_000:
                         cache.clear()
-                    o = cache[lines[k]] = observed(lines[k])
+                    key, num, pure = observed(lines[k])
+                    # A number beside text may belong to it (AR-7524): such a line also goes by its whole fingerprint.
+                    o = cache[lines[k]] = key, num, pure, fingerprint(lines[k]) if num and not pure else key
                 seen.append(o)
-            blocks.append((id_, doc, page, native, at, [o[0] for o in seen], [o[1] for o in seen], [o[2] for o in seen]))
-        yield pd.DataFrame(blocks, columns=columns[1:9]).assign(t="block", a=None, b=None, c=None, n=None, clean=None)[columns]
+            blocks.append((id_, doc, page, native, at, [o[0] for o in seen], [o[3] for o in seen], [o[1] for o in seen], [o[2] for o in seen]))
+        yield pd.DataFrame(blocks, columns=columns[1:10]).assign(t="block", a=None, b=None, c=None, n=None, clean=None)[columns]
         if events:
             e = pd.DataFrame(events, columns=["id", "doc_id", "n", "a", "b", "c", "mark"])
             e["line_nos"] = [[k] for k in e["n"]]
             e["pure"] = [[m == "¬"] for m in e.pop("mark")]
-            yield e.assign(t="cut", page=None, native=None, keys=None, nums=None, clean=None)[columns]
+            yield e.assign(t="cut", page=None, native=None, keys=None, wholes=None, nums=None, clean=None)[columns]
         if len(counts) + len(clean) > 300_000:
             yield _counted(counts, clean, columns)
             counts, clean = Counter(), Counter()
@@ -191,7 +198,8 @@ def _counted(raw: Counter, raw_clean: Counter, columns: list[str]) -> pd.DataFra
 
 # Hidden Markov model of a page's outer lines, read inwards.
 STATES = ("header", "numbered_header", "page_number", "body")
-# Observation codes: recurrence 0 none, 1 on MIN_PAGES pages but few of the document's, 2 on MIN_PAGES and many;
+# Observation codes: recurrence 0 none, 2 on MIN_PAGES pages, 1 on MIN_PAGES but behind a lone number, on few of the
+# document's pages and at the edges of other documents too (See overleaf, Total);
 # number 0 none, 1 a lone number at no constant distance, 2 a lone number at the constant distance, 3 beside text at it.
 RECUR, NUMBER = 3, 4
 CODES = RECUR * NUMBER
@@ -247,32 +255,37 @@ def train(sequences: list[tuple[int, int, int]], rounds: int = 20, trust: float
 
 def _outer_lines(blocks: DataFrame, files: DataFrame, min_share: float) -> DataFrame:
     """id, line_no (from 0), state of the labelled outer lines of pages of scanned files."""
-    b = blocks.where("page is not null").join(files.where("scanned").select("doc_id"), "doc_id", "left_semi").select("id", "doc_id", "page", "line_nos", "keys", "nums", "pure")
+    b = blocks.where("page is not null").join(files.where("scanned").select("doc_id"), "doc_id", "left_semi").select("id", "doc_id", "page", "line_nos", "keys", "wholes", "nums", "pure")
     ends = b.groupBy("doc_id", "page").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     both = b.join(ends, ["doc_id", "page"]).where("id = first or id = last").dropDuplicates(["id", "page"])
 
     def side(edge: str, outer: int, inner: int) -> DataFrame:
-        part = lambda k: F.struct(*(F.element_at(c, k + 1).alias(a) for c, a in (("line_nos", "line_no"), ("keys", "key"), ("nums", "num"), ("pure", "pure"))))
+        part = lambda k: F.struct(*(F.element_at(c, k + 1).alias(a) for c, a in (("line_nos", "line_no"), ("keys", "key"), ("wholes", "whole"), ("nums", "num"), ("pure", "pure"))))
         return both.where("id = first" if edge == "top" else "id = last").select("id", "doc_id", "page", F.lit(edge).alias("edge"), part(outer).alias("o"), part(inner).alias("i"))
 
     e = stage(side("top", 0, 1).unionByName(side("bottom", 3, 2)))
-    pages = ends.groupBy("doc_id").agg(F.count("*").alias("pages"))
     one = e.select("doc_id", "page", "edge", "o.*").unionByName(e.select("doc_id", "page", "edge", "i.*"))
     # Inner lines recur as running lines only behind a lone number; else a stock line under the header would count.
-    running = e.select("doc_id", "page", "edge", "o.key").unionByName(e.where("o.pure").select("doc_id", "page", "edge", "i.key"))
+    pages = ends.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    both_keys = lambda t, p: t.select("doc_id", "page", "edge", F.explode(F.array(f"{p}.key", f"{p}.whole")).alias("key"))
+    running = both_keys(e, "o").unionByName(both_keys(e.where("o.pure"), "i"))
     recur = running.where("key <> 0").select("doc_id", "edge", "key", "page").distinct().groupBy("doc_id", "edge", "key").agg(F.count("*").alias("on"))
-    recur = recur.where(F.col("on") >= MIN_PAGES).join(pages, "doc_id").select("doc_id", "edge", "key", F.when(F.col("on") >= min_share * F.col("pages"), 2).otherwise(1).alias("recur"))
+    docs = recur.groupBy("edge", "key").agg(F.count("*").alias("docs"), F.max("on").alias("most")).where(F.col("most") >= MIN_PAGES)
+    own = (F.col("docs") == 1) | (F.col("on") >= min_share * F.col("pages"))
+    recur = stage(recur.where(F.col("on") >= MIN_PAGES).join(docs, ["edge", "key"]).join(pages, "doc_id").select("doc_id", "edge", "key", F.lit(2).alias("o"), F.when(own, 2).otherwise(1).alias("i")))
     shift = one.where("num > 0").select("doc_id", (F.col("num") - F.col("page")).alias("shift"), "page").distinct().groupBy("doc_id", "shift").agg(F.count("*").alias("on"))
     best = shift.groupBy("doc_id").agg(F.max(F.struct("on", (-F.abs("shift")).alias("near"), "shift")).alias("x"), F.sum("on").alias("all"))
     best = best.where("x.on >= 2 and x.on >= 0.3 * all").select("doc_id", F.col("x.shift").alias("shift"))
-    r = lambda p: recur.select("doc_id", "edge", F.col("key").alias(f"{p}_key"), F.col("recur").alias(f"{p}_recur"))
-    e = e.withColumn("o_key", F.col("o.key")).withColumn("i_key", F.col("i.key"))
-    e = e.join(r("o"), ["doc_id", "edge", "o_key"], "left").join(r("i"), ["doc_id", "edge", "i_key"], "left").join(best, "doc_id", "left")
+    r = lambda p: recur.select("doc_id", "edge", F.col("key").alias(f"{p}_key"), F.col(p[0]).alias(f"{p}_recur"))
+    e = e.select("*", *(F.col(f"{p}.{k}").alias(f"{p}_{k}_key") for p in ("o", "i") for k in ("key", "whole")))
+    for p in ("o_key", "o_whole", "i_key", "i_whole"):
+        e = e.join(r(p), ["doc_id", "edge", f"{p}_key"], "left")
+    e = e.join(best, "doc_id", "left")
 
     def code(p: str):
         num, fits = F.col(f"{p}.num"), F.coalesce(F.col(f"{p}.num") - F.col("page") == F.col("shift"), F.lit(False))
         kind = F.when(num == 0, 0).when(F.col(f"{p}.pure"), F.when(fits, 2).otherwise(1)).otherwise(F.when(fits, 3).otherwise(0))
-        return F.when(F.col(f"{p}.line_no") < 0, -1).otherwise(F.coalesce(f"{p}_recur", F.lit(0)) * NUMBER + kind)
+        return F.when(F.col(f"{p}.line_no") < 0, -1).otherwise(F.coalesce(F.greatest(f"{p}_key_recur", f"{p}_whole_recur"), F.lit(0)) * NUMBER + kind)
 
     e = stage(e.select("id", F.col("o.line_no").alias("o_line"), F.col("i.line_no").alias("i_line"), code("o").alias("o_code"), code("i").alias("i_code")))
     seen = e.groupBy("o_code", "i_code").agg(F.count("*").alias("n")).collect()  # at most CODES * (CODES + 1) rows
