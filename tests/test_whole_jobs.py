@@ -4,6 +4,7 @@ import re
 
 from folioforge.functions import classify as C
 from folioforge.llm.neardup import copy_groups, copy_pairs, text_sketches
+from folioforge.llm.reading import features, is_english
 from folioforge.llm.scans import defects, repaired
 from folioforge.plans.queries import QUERIES
 
@@ -59,3 +60,19 @@ def test_p5_running_lines_on_few_pages(spark):
     assert got == {f"few{p:02d}" for p in few} | {f"ref{p:02d}" for p in range(1, 12)}
     text = {r.id: r.repaired for r in repaired(df).collect()}
     assert not any("Minutes" in t or "Annex" in t for t in text.values()) and "Kept on two" in text["two01"]
+
+
+def test_p9_nominal_english():
+    """English without function words; running text of other languages in Latin letters stays out."""
+    english = (
+        "Without promulgation, disproportionate consideration corroborates discretionary miscalculation. Unconditional documentation incorporates irrevocability.",
+        "Comprehensive amortisation exacerbates authentication; obligation exacerbates contemporaneous recapitalisation.",
+    )
+    other = (
+        "La documentation administrative présente une évaluation considérable des conditions générales, notamment la validation obligatoire du règlement et son application.",
+        "Die Dokumentation der Organisation enthält wichtige Informationen über Produktion, Kommunikation und Installation dieser Anlage.",
+        "La administración presenta una evaluación general del reglamento vigente sobre importación, exportación y distribución.",
+        "Dokumentasi administrasi menjelaskan informasi organisasi.",
+    )
+    assert all(is_english(t, features(t)) for t in english)
+    assert not any(is_english(t, features(t)) for t in other)
