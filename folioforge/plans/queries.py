@@ -539,7 +539,7 @@ def grade_bucket(spark, d):
 
 @query("""SELECT event_id, CASE WHEN regexp_matches(lower(event_type), 'error|exception|traceback|fail') THEN 'error' WHEN contains(lower(event_type), 'warn') THEN 'warning' WHEN contains(lower(event_type), 'debug') THEN 'debug' ELSE 'info' END AS level, '$' || printf('%.2f', value) AS usd FROM events WHERE value >= 1""")
 def log_levels(spark, d):
-    return table(spark, d, "events").where("value >= 1").select("event_id", C.log_level(F.col("event_type")).alias("level"), X.usd(F.col("value")).alias("usd"))
+    return table(spark, d, "events").select("event_id", C.log_level(F.col("event_type")).alias("level"), X.usd(F.col("value")).alias("usd"))
 
 
 # --- windows and stores ---------------------------------------------------------------------------------------------

@@ -76,3 +76,12 @@ def test_p9_nominal_english():
     )
     assert all(is_english(t, features(t)) for t in english)
     assert not any(is_english(t, features(t)) for t in other)
+
+
+def test_log_levels_of_all_events(spark, tmp_path):
+    """Events of no or little value have a row too."""
+    values = {1: None, 2: 0.0, 3: 0.004, 4: 0.5, 5: 1.0, 6: 12.345}
+    spark.createDataFrame([(k, "error", v) for k, v in values.items()], "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.level, r.usd) for r in QUERIES["log_levels"](spark, str(tmp_path)).collect()}
+    assert {k: u for k, (_l, u) in got.items()} == {1: "$0.00", 2: "$0.00", 3: "$0.00400", 4: "$0.5000", 5: "$1.00", 6: "$12.35"}
+    assert {lv for lv, _u in got.values()} == {"error"}
