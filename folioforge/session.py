@@ -61,7 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        own = tempfile.mkdtemp(prefix="folioforge-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = "file://" + own
     return _OWN[app]
 
 
@@ -70,16 +72,49 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
+    except Exception:  # the session may be gone already; the driver's JVM deletes the folder when it ends
         pass
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors, and keeps
-    column pruning. Removed when the process ends."""
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    # The file system forgets what it deleted before; what is left goes when the driver's JVM ends, session or not.
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors, and keeps
+    column pruning. For results that are read after the operator returns; deleted when the driver's JVM ends."""
+    return _write(df)[0]
+
+
+class Scratch:
+    """Stages of one operator, deleted when it ends: ``with Scratch() as tmp: a = tmp(df)``. What the operator returns must
+    not read them; its last step is written with ``stage``."""
+
+    def __init__(self) -> None:
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out, path = _write(df)
+        self._held.append((out, path))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a stage before the end."""
+        for held in [h for h in self._held if h[0] is df]:
+            _remove(held[0].sparkSession, held[1])
+            self._held.remove(held)
+
+    def __exit__(self, *_: object) -> None:
+        for df, path in self._held:
+            _remove(df.sparkSession, path)
+        self._held.clear()
