@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.session import stage
+from folioforge.session import Scratch, stage
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,15 +26,17 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` (a, b) -> (node, component), the component being its smallest node. Nodes without edges have no row."""
-    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(rounds):
-        # A star: no node is both a child and a parent, and every child has one parent.
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-        e = stage(_small_star(_large_star(e)))
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with Scratch() as tmp:
+        e = tmp(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        mark = None
+        for _ in range(rounds):
+            # A star: no node is both a child and a parent, and every child has one parent.
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == mark or now[0] == 0:
+                break
+            mark, old = now, e
+            e = tmp(_small_star(_large_star(old)))
+            tmp.drop(old)
+        else:
+            raise RuntimeError("components did not settle")
+        return stage(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

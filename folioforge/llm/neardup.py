@@ -3,20 +3,22 @@
 Every record becomes a multiset of grams: runs of WORDS consecutive words of a text, or the non-empty cells of a table;
 a gram's n-th occurrence is its own element, so multisets are compared as sets. Exact copies share a class and go on as
 one node. A node has a collection U of BANDS bands of two minhashes and a collection V of SINGLES single minhashes; the
-table keys are all pairs (U_i, V_j), so BANDS x SINGLES tables of three hashes cost 2 x BANDS + SINGLES of them. Keys are
-only formed for bands U_i that a second node shares: the others' keys have one member in any case. At the Jaccard
-similarity J the tables miss a pair with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES. Records of equal size that
-just reach a threshold t of common elements have J = t / (2 - t): 1.0 % of such pairs are missed at t = 0.55, 0.06 % at 0.65
-(of cells of equal weight); unequal sizes and closer copies have a larger J.
-
-Cells are sampled by their length (up to LONG characters), so row numbers and status words, which unrelated tables share,
-seldom make a key; runs of words are sampled alike. The weights only steer candidates.
-
-Candidates are verified exactly: common elements / elements of the larger record >= threshold. To link a hot bucket
-without all its pairs, first every member is compared with the bucket's smallest node; after the components of these
-links are known, only pairs of nodes that are still in different components are compared. The nodes of such buckets of more
-than WIDE components are compared where their rarest elements meet (a prefix filter): two records that reach the threshold
-share one of the size - ceil(threshold x size) + 1 elements of each that come first in order of rarity, so none is lost.
+table keys are all pairs (U_i, V_j), so BANDS x SINGLES tables of three hashes cost 2 x BANDS + SINGLES of them. The keys
+are formed where they divide something: a band U_i with one member has no copies, one with at most DIRECT members is
+compared as a whole (more pairs than its keys would give, never fewer), only larger ones are divided by V.
+
+The measure that decides is c = common elements / elements of the larger record. Records of equal size with c = t have the
+Jaccard value J = t / (2 - t), 0.379 for t = 0.55 and 0.481 for t = 0.65; unequal sizes have a larger J. The tables miss
+such a pair with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.75 % at t = 0.55, 0.03 % at t = 0.65, less
+beyond. All elements are sampled alike, short cells as well as long ones.
+
+Candidates are verified on whole records: common / larger >= threshold, elements being 32-bit fingerprints (two different
+elements of a pair of records of a hundred agree by chance in two of a million pairs, which matters only where that one
+element decides). To link a hot bucket without all its pairs, first every member is compared with the bucket's smallest
+node; after the components of these links are known, only pairs of nodes that are still in different components are
+compared. The nodes of such buckets of more than WIDE components are compared where their rarest elements meet (a prefix
+filter): two records that reach the threshold share one of the size - ceil(threshold x size) + 1 elements of each that
+come first in order of rarity, so none is lost.
 
 Defined results: records without any word or cell (null, empty) belong to no group; texts of fewer than WORDS words are
 one run; repeated rows of an id count once; ids of different kinds are never compared; extra columns are ignored.
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.components import components
 from folioforge.llm.textnorm import canonical, needs
-from folioforge.session import stage
+from folioforge.session import Scratch, stage
 
-WORDS, BANDS, SINGLES, LONG, WIDE = 3, 32, 12, 40, 32
+WORDS, BANDS, SINGLES, DIRECT, WIDE = 3, 32, 16, 4, 32
 ASKED = 200_000  # candidates that are broadcast to pick their grams
-SKETCH_SCHEMA = "kind string, id string, class string, grams array<int>, u array<int>, v array<int>"
+SKETCH_SCHEMA = "kind string, id string, c1 bigint, c2 bigint, grams array<int>, u array<int>, v array<int>"
 _MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if c < 0x3400 and unicodedata.category(chr(c))[0] in 'PS')}‼️]+")
 _HASHES = 2 * BANDS + SINGLES
 _ODD = np.random.default_rng(20240901).integers(1, 2**63, _HASHES, dtype=np.uint64) | np.uint64(1)
@@ -67,12 +69,11 @@ def cells(text: str) -> list[str]:
     return [c for c in (" ".join(_MARKS.sub("", c).split()) for c in text.lower().split("\x1f")) if c]
 
 
-def grams(parts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Elements of all records one after another (record by record, ascending), their weights, and each record's number
-    of elements."""
+def grams(parts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of all records one after another (record by record, ascending), and each record's number of elements."""
     n = np.array([len(p) for p in parts])
     if not n.sum():
-        return np.empty(0, np.uint64), np.empty(0), np.zeros(len(parts), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(parts), np.int64)
     flat = [w for p in parts for w in p]
     h = pd.util.hash_array(np.array(flat, dtype=object))
     if run > 1:
@@ -85,31 +86,25 @@ def grams(parts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.
         for k in range(run):
             ok = at + k < end
             g = _mix(g * np.uint64(31) + np.where(ok, h[np.minimum(at + k, len(h) - 1)], np.uint64(k + 1)) + np.uint64(k))
-        weight = np.ones(len(g))
     else:
         m, rec, g = n, np.repeat(np.arange(len(n)), n), h
-        weight = np.minimum([len(c) for c in flat], LONG).astype(float)
     order = np.lexsort((g, rec))
-    g, rec, weight = g[order], rec[order], weight[order]
+    g, rec = g[order], rec[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
     first = np.flatnonzero(new)
     occurrence = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
-    return _mix(g + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), weight, m
+    return _mix(g + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), m
 
 
-def _minhashes(g: np.ndarray, weight: np.ndarray, starts: np.ndarray, even: bool) -> np.ndarray:
-    """_HASHES samples a record, each the hash of an element chosen in proportion to its weight."""
+def _minhashes(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """_HASHES samples a record, each the smallest hash of its elements."""
     out = np.empty((len(starts), _HASHES), np.uint64)
     for k, (salt, odd) in enumerate(zip(_SALT, _ODD)):
         x = (g ^ salt) * odd
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x94D049BB133111EB)
-        if even:
-            out[:, k] = np.minimum.reduceat(x, starts)
-        else:
-            u = ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
-            out[:, k] = np.minimum.reduceat(-np.log(u) / weight, starts).view(np.uint64)
+        out[:, k] = np.minimum.reduceat(x, starts)
     return out
 
 
@@ -124,23 +119,24 @@ def _sketches(kind: str, run: int):
         for pdf in it:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i : i + 1000]
-                g, weight, m = grams([split(x) for x in part["value"]], run)
+                g, m = grams([split(x) for x in part["value"]], run)
                 keep = m > 0
                 if not keep.any():
                     continue
                 starts = (np.cumsum(m) - m)[keep]
-                sig = _minhashes(g, weight, starts, run > 1)
+                sig = _minhashes(g, starts)
                 bands = sig[:, : 2 * BANDS].reshape(len(sig), BANDS, 2)
                 u = _int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))
                 v = _int32(sig[:, 2 * BANDS :])
-                # Two independent sums of 64 bits identify the whole multiset.
-                a, b = np.add.reduceat(_mix(g ^ np.uint64(11)), starts), np.add.reduceat(_mix(g ^ np.uint64(13)), starts)
+                # Two independent sums of 64 bits, one with the size, identify the whole multiset.
+                a, b = np.add.reduceat(_mix(g ^ np.uint64(11)), starts), _mix(np.add.reduceat(_mix(g ^ np.uint64(13)), starts) + m[keep].astype(np.uint64))
                 small = (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pd.DataFrame(
                     {
                         "kind": kind,
                         "id": part["id"].to_numpy()[keep],
-                        "class": [f"{x:016x}{y:016x}{z}" for x, y, z in zip(a, b, m[keep])],
+                        "c1": a.view(np.int64),
+                        "c2": b.view(np.int64),
                         "grams": np.split(small, starts[1:]),
                         "u": list(u),
                         "v": list(v),
@@ -167,33 +163,34 @@ def _least(kind: str, thresholds: dict[str, float]) -> Column:
     return F.coalesce(*(F.when(F.col(kind) == k, F.lit(t)) for k, t in thresholds.items()))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float], tmp: Scratch) -> DataFrame:
     """The pairs (a, b) whose common elements reach the threshold of their kind. Only the candidates' grams are moved."""
-    pairs = stage(pairs)
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stage(asked)
+    pairs = tmp(pairs)
+    asked = tmp(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     few = asked.count() <= ASKED  # eight bytes a row; beyond, both sides are shuffled
-    known = stage(nodes.select("node", "kind", "grams").join(F.broadcast(asked) if few else asked, "node", "left_semi"))
+    known = tmp(nodes.select("node", "kind", "grams").join(F.broadcast(asked) if few else asked, "node", "left_semi"))
     side = lambda c: known.select(F.col("node").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("grams").alias(f"grams_{c}"))
     least = _least("kind_a", thresholds)
     larger = F.greatest(F.size("grams_a"), F.size("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("kind_a") == F.col("kind_b")) & (common >= least * larger - 1e-9)).select("a", "b")
+    return tmp(pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("kind_a") == F.col("kind_b")) & (common >= least * larger - 1e-9)).select("a", "b"))
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """``members`` (node, key) of keys with a second member. Keys are counted, combined before the shuffle, and the counts
-    joined back, so that a key that a third of all nodes share is split over tasks."""
+    """``members`` with a key that a second member has, and how many have it (n). Keys are counted, combined before the
+    shuffle, and the counts joined back, so that a key that a third of all nodes share is split over tasks."""
     return members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """key, node, lo, hi, n of the table buckets with a second member."""
+def _buckets(nodes: DataFrame, tmp: Scratch) -> DataFrame:
+    """key, node, lo, hi, n of the buckets with a second member."""
     band = nodes.select("node", F.posexplode("u").alias("i", "h"), "kind").select("node", F.xxhash64("kind", "i", "h").alias("key"))
-    shared = _shared(band).select("node", F.col("key").alias("band"))
-    full = shared.join(nodes.select("node", "v"), "node").select("node", "band", F.posexplode("v").alias("j", "h"))
-    kept = _shared(full.select("node", F.xxhash64("band", "j", "h").alias("key"))).select("node", "key")
-    kept = stage(kept)
+    shared = tmp(_shared(band).select("key", "node", "n"))
+    large = shared.where(F.col("n") > DIRECT).select("node", F.col("key").alias("band"))
+    full = large.join(nodes.select("node", "v"), "node").select("node", "band", F.posexplode("v").alias("j", "h"))
+    tables = _shared(full.select("node", F.xxhash64("band", "j", "h").alias("key"))).select("key", "node")
+    kept = tmp(shared.where(F.col("n") <= DIRECT).select("key", "node").unionByName(tables))
+    tmp.drop(shared)
     return kept.join(kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")), "key")
 
 
@@ -210,37 +207,39 @@ def rare_cells(nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
 def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """kind, id, group (smallest id of the group) and size for every record that has a copy under another id."""
-    rows = stage(sketches.withColumn("node", F.monotonically_increasing_id()))  # the written numbers stay
-    first = stage(rows.groupBy("kind", "class").agg(F.min(F.struct("id", "node")).alias("x")).select("kind", "class", "x.*"))
-    nodes = rows.join(first.select("node"), "node", "left_semi")
-
-    buckets = stage(_buckets(nodes.select("node", "kind", "u", "v")))
-    pair = F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("node"))
-    tried = stage(buckets.where("n > 2 or node = lo").select(F.col("lo").alias("a"), pair.alias("b")).where("a <> b").distinct())
-    links = stage(_verified(tried, rows, thresholds))
-    comp = components(links)
-
-    # What is left in big buckets: pairs of nodes in different components.
-    open_ = buckets.where("n > 2").select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.approx_count_distinct("component").alias("parts")).where("lo <> hi")
-    open_ = stage(open_.join(several.select("key", "parts"), "key"))
-    narrow = open_.where(F.col("parts") <= WIDE).select("key", "node", "component")
-    wide = open_.where(F.col("parts") > WIDE).select("node", "component").distinct().join(rows.select("node", "kind", "grams"), "node")
-    cell = stage(narrow.unionByName(rare_cells(wide, thresholds).select("key", "node", "component")))
-    # Pairs of components first, then their members: members of one component never meet.
-    parts = cell.select("key", "component").distinct()
-    side = lambda t, c: t.select("key", F.col("component").alias(f"c{c}"), *([F.col("node").alias(c)] if "node" in t.columns else []))
-    apart = side(parts, "a").join(side(parts, "b"), "key").where("ca < cb")
-    met = apart.join(side(cell, "a"), ["key", "ca"]).join(side(cell, "b"), ["key", "cb"])
-    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links2 = stage(_verified(more, rows, thresholds))
-    if not links2.isEmpty():
-        comp = components(links.unionByName(links2))
-
-    rep = first.select("kind", "class", "node").join(comp, "node", "left").select("kind", "class", F.coalesce("component", "node").alias("component"))
-    grouped = stage(rows.select("kind", "id", "class").distinct().join(rep, ["kind", "class"]).select("kind", "id", "component").distinct())
-    sizes = grouped.groupBy("component").agg(F.min("id").alias("group"), F.count("*").alias("size")).where("size > 1")
-    return grouped.join(sizes, "component").select("kind", "id", "group", "size")
+    one = ["kind", "c1", "c2"]
+    with Scratch() as tmp:
+        rows = tmp(sketches.withColumn("node", F.monotonically_increasing_id()))  # the written numbers stay
+        first = tmp(rows.groupBy(*one).agg(F.min(F.struct("id", "node")).alias("x")).select(*one, "x.*"))
+        nodes = rows.join(first.select("node"), "node", "left_semi")
+
+        buckets = tmp(_buckets(nodes.select("node", "kind", "u", "v"), tmp))
+        pair = F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("node"))
+        tried = tmp(buckets.where("n > 2 or node = lo").select(F.col("lo").alias("a"), pair.alias("b")).where("a <> b").distinct())
+        links = _verified(tried, rows, thresholds, tmp)
+        comp = components(links)
+
+        # What is left in bigger buckets: pairs of nodes in different components.
+        open_ = buckets.where("n > 2").select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.approx_count_distinct("component").alias("parts")).where("lo <> hi")
+        open_ = tmp(open_.join(several.select("key", "parts"), "key"))
+        narrow = open_.where(F.col("parts") <= WIDE).select("key", "node", "component")
+        wide = open_.where(F.col("parts") > WIDE).select("node", "component").distinct().join(rows.select("node", "kind", "grams"), "node")
+        cell = tmp(narrow.unionByName(rare_cells(wide, thresholds).select("key", "node", "component")))
+        # Pairs of components first, then their members: members of one component never meet.
+        parts = cell.select("key", "component").distinct()
+        side = lambda t, c: t.select("key", F.col("component").alias(f"c{c}"), *([F.col("node").alias(c)] if "node" in t.columns else []))
+        apart = side(parts, "a").join(side(parts, "b"), "key").where("ca < cb")
+        met = apart.join(side(cell, "a"), ["key", "ca"]).join(side(cell, "b"), ["key", "cb"])
+        more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        links2 = _verified(more, rows, thresholds, tmp)
+        if not links2.isEmpty():
+            comp = components(links.unionByName(links2))
+
+        rep = first.select(*one, "node").join(comp, "node", "left").select(*one, F.coalesce("component", "node").alias("component"))
+        grouped = tmp(rows.select("id", *one).distinct().join(rep, one).select("kind", "id", "component").distinct())
+        sizes = grouped.groupBy("component").agg(F.min("id").alias("group"), F.count("*").alias("size")).where("size > 1")
+        return stage(grouped.join(sizes, "component").select("kind", "id", "group", "size"))
 
 
 def copy_pairs(groups: DataFrame) -> DataFrame:
