@@ -7,10 +7,13 @@ table keys are all pairs (U_i, V_j), so BANDS x SINGLES tables of three hashes c
 are formed where they divide something: a band U_i with one member has no copies, one with at most DIRECT members is
 compared as a whole (more pairs than its keys would give, never fewer), only larger ones are divided by V.
 
-The measure that decides is c = common elements / elements of the larger record. Records of equal size with c = t have the
-Jaccard value J = t / (2 - t), 0.379 for t = 0.55 and 0.481 for t = 0.65; unequal sizes have a larger J. The tables miss
-such a pair with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.75 % at t = 0.55, 0.03 % at t = 0.65, less
-beyond. All elements are sampled alike, short cells as well as long ones.
+The measure that decides is c = common elements / elements of the larger record. Two texts of equal size with c = t = 0.55
+have the Jaccard value J = t / (2 - t) = 0.379; unequal sizes have a larger J. All runs of words are sampled alike. Tables share
+status words and row numbers with any other table, so of the cells that stand in at least a HOT share of all tables the
+hottest are not sampled, at most LEFT_OUT of a table's cells. The order of heat is one for all tables, so two tables with
+c = t = 0.65 lose at most LEFT_OUT of their common cells and keep J = (t - LEFT_OUT) / (2 - t - LEFT_OUT) = 0.364 or more among
+the others. The keys miss such pairs with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.6 % of texts, 0.9 % of
+tables that just reach the threshold, less beyond.
 
 Candidates are verified on whole records: common / larger >= threshold, elements being 32-bit fingerprints (two different
 elements of a pair of records of a hundred agree by chance in two of a million pairs, which matters only where that one
@@ -40,7 +43,8 @@ from folioforge.llm.components import components
 from folioforge.llm.textnorm import canonical, needs
 from folioforge.session import Scratch, stage
 
-WORDS, BANDS, SINGLES, DIRECT, WIDE = 3, 32, 16, 4, 32
+WORDS, BANDS, SINGLES, DIRECT, WIDE = 3, 34, 16, 4, 32
+HOT, LEFT_OUT = 0.001, 0.25  # share of the tables from which a cell is hot; share of a table's cells that may be left out for it
 ASKED = 200_000  # candidates that are broadcast to pick their grams
 SKETCH_SCHEMA = "kind string, id string, c1 bigint, c2 bigint, grams array<int>, u array<int>, v array<int>"
 _MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if c < 0x3400 and unicodedata.category(chr(c))[0] in 'PS')}‼️]+")
@@ -69,32 +73,34 @@ def cells(text: str) -> list[str]:
     return [c for c in (" ".join(_MARKS.sub("", c).split()) for c in text.lower().split("\x1f")) if c]
 
 
-def grams(parts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Elements of all records one after another (record by record, ascending), and each record's number of elements."""
+def occurrences(h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of records: hashes ``h`` of records ``rec`` (ascending), numbered among equal ones of a record. With the
+    hashes they come from and their records."""
+    order = np.lexsort((h, rec))
+    h, rec = h[order], rec[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])
+    first = np.flatnonzero(new)
+    nth = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return _mix(h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h, rec
+
+
+def runs(parts: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements (runs of words) of all texts one after another, and each text's number of elements."""
     n = np.array([len(p) for p in parts])
     if not n.sum():
         return np.empty(0, np.uint64), np.zeros(len(parts), np.int64)
-    flat = [w for p in parts for w in p]
-    h = pd.util.hash_array(np.array(flat, dtype=object))
-    if run > 1:
-        starts = np.cumsum(n) - n
-        m = np.where(n > 0, np.maximum(n - run + 1, 1), 0)
-        rec = np.repeat(np.arange(len(n)), m)
-        at = starts[rec] + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        g = np.zeros(len(at), np.uint64)
-        end = (starts + n)[rec]
-        for k in range(run):
-            ok = at + k < end
-            g = _mix(g * np.uint64(31) + np.where(ok, h[np.minimum(at + k, len(h) - 1)], np.uint64(k + 1)) + np.uint64(k))
-    else:
-        m, rec, g = n, np.repeat(np.arange(len(n)), n), h
-    order = np.lexsort((g, rec))
-    g, rec = g[order], rec[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
-    first = np.flatnonzero(new)
-    occurrence = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
-    return _mix(g + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), m
+    h = pd.util.hash_array(np.array([w for p in parts for w in p], dtype=object))
+    starts = np.cumsum(n) - n
+    m = np.where(n > 0, np.maximum(n - run + 1, 1), 0)
+    rec = np.repeat(np.arange(len(n)), m)
+    at = starts[rec] + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    g = np.zeros(len(at), np.uint64)
+    end = (starts + n)[rec]
+    for k in range(run):
+        ok = at + k < end
+        g = _mix(g * np.uint64(31) + np.where(ok, h[np.minimum(at + k, len(h) - 1)], np.uint64(k + 1)) + np.uint64(k))
+    return occurrences(g, rec)[0], m
 
 
 def _minhashes(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -112,51 +118,81 @@ def _int32(x: np.ndarray) -> np.ndarray:
     return (_mix(x) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _sketches(kind: str, run: int):
-    split = words if run > 1 else cells
+def _sketched(kind: str, ids: np.ndarray, g: np.ndarray, m: np.ndarray, sampled: np.ndarray | None = None) -> pd.DataFrame:
+    """Sketch rows of records with ``m`` elements each, all in ``g``; ``sampled`` marks those that minhashes may choose."""
+    starts = np.cumsum(m) - m
+    if sampled is None:
+        sig = _minhashes(g, starts)
+    else:
+        left = np.add.reduceat(sampled.astype(np.int64), starts)
+        sig = _minhashes(g[sampled], np.cumsum(left) - left)
+    bands = sig[:, : 2 * BANDS].reshape(len(sig), BANDS, 2)
+    # Two independent sums of 64 bits, one with the size, identify the whole multiset.
+    a, b = np.add.reduceat(_mix(g ^ np.uint64(11)), starts), _mix(np.add.reduceat(_mix(g ^ np.uint64(13)), starts) + m.astype(np.uint64))
+    return pd.DataFrame(
+        {
+            "kind": kind,
+            "id": ids,
+            "c1": a.view(np.int64),
+            "c2": b.view(np.int64),
+            "grams": np.split((g >> np.uint64(32)).astype(np.uint32).view(np.int32), starts[1:]),
+            "u": list(_int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))),
+            "v": list(_int32(sig[:, 2 * BANDS :])),
+        }
+    )
+
+
+def text_sketches(items: DataFrame, kind: str, run: int = WORDS) -> DataFrame:
+    """Sketches of ``items`` (id, content)."""
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for i in range(0, len(pdf), 1000):
                 part = pdf.iloc[i : i + 1000]
-                g, m = grams([split(x) for x in part["value"]], run)
-                keep = m > 0
-                if not keep.any():
-                    continue
-                starts = (np.cumsum(m) - m)[keep]
-                sig = _minhashes(g, starts)
-                bands = sig[:, : 2 * BANDS].reshape(len(sig), BANDS, 2)
-                u = _int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))
-                v = _int32(sig[:, 2 * BANDS :])
-                # Two independent sums of 64 bits, one with the size, identify the whole multiset.
-                a, b = np.add.reduceat(_mix(g ^ np.uint64(11)), starts), _mix(np.add.reduceat(_mix(g ^ np.uint64(13)), starts) + m[keep].astype(np.uint64))
-                small = (g >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pd.DataFrame(
-                    {
-                        "kind": kind,
-                        "id": part["id"].to_numpy()[keep],
-                        "c1": a.view(np.int64),
-                        "c2": b.view(np.int64),
-                        "grams": np.split(small, starts[1:]),
-                        "u": list(u),
-                        "v": list(v),
-                    }
-                )
-
-    return work
+                g, m = runs([words(x) for x in part["content"]], run)
+                if (m > 0).any():
+                    yield _sketched(kind, part["id"].to_numpy()[m > 0], g, m[m > 0])
 
-
-def text_sketches(items: DataFrame, kind: str, run: int = WORDS) -> DataFrame:
-    """Sketches of ``items`` (id, content)."""
-    rows = items.where(F.col("id").isNotNull() & F.col("content").isNotNull()).select("id", F.col("content").alias("value"))
-    return rows.mapInPandas(_sketches(kind, run), SKETCH_SCHEMA)
+    return items.where(F.col("id").isNotNull() & F.col("content").isNotNull()).select("id", "content").mapInPandas(work, SKETCH_SCHEMA)
 
 
-def table_sketches(items: DataFrame, kind: str) -> DataFrame:
+def table_sketches(items: DataFrame, kind: str, hot: float = HOT, left_out: float = LEFT_OUT) -> DataFrame:
     """Sketches of ``items`` (id, rows)."""
     flat = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\x1f")
+
+    def hashed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            parts = [cells(x) for x in pdf["value"]]
+            n = np.array([len(p) for p in parts])
+            h = pd.util.hash_array(np.array([c for p in parts for c in p], dtype=object)).view(np.int64) if n.sum() else np.empty(0, np.int64)
+            yield pd.DataFrame({"id": pdf["id"], "cells": np.split(h, np.cumsum(n)[:-1])})[n > 0]
+
     rows = items.where(F.col("id").isNotNull() & F.col("rows").isNotNull()).select("id", flat.alias("value"))
-    return rows.mapInPandas(_sketches(kind, 1), SKETCH_SCHEMA)
+    all_ = stage(rows.mapInPandas(hashed, "id string, cells array<bigint>"))
+    least = max(2, int(hot * all_.count()))
+    # At most (mean number of a table's cells) / ``hot`` rows, whatever the number of tables.
+    found = all_.select(F.explode(F.array_distinct("cells")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= least).toPandas()
+    cell = found["cell"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(cell)
+    cell, heat = cell[order], found["n"].to_numpy(np.int64)[order]
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            m = np.array([len(c) for c in pdf["cells"]])
+            if not len(m):
+                continue
+            h = np.concatenate(pdf["cells"].to_list()).astype(np.int64).view(np.uint64)
+            g, raw, rec = occurrences(h, np.repeat(np.arange(len(m)), m))
+            sampled = np.ones(len(g), bool)
+            if len(cell):
+                at = np.minimum(np.searchsorted(cell, raw), len(cell) - 1)
+                warm = np.where(cell[at] == raw, heat[at], 0)
+                hottest = np.lexsort((g, -warm, rec))
+                place = np.arange(len(g)) - np.repeat(np.cumsum(m) - m, m)
+                sampled[hottest] = (warm[hottest] == 0) | (place >= np.floor(left_out * np.repeat(m, m)))
+            yield _sketched(kind, pdf["id"].to_numpy(), g, m, sampled)
+
+    return all_.mapInPandas(work, SKETCH_SCHEMA)
 
 
 def _least(kind: str, thresholds: dict[str, float]) -> Column:

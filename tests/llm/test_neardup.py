@@ -73,3 +73,37 @@ def test_components(spark, n):
 def test_normal_forms():
     assert words("The CAFÉ, ｔｗｏ words — !") == words("the café two words")
     assert cells("1,200.50\x1f\x1f - \x1fa b") == ["120050", "a b"]
+
+
+def _pairs_near(rng, kind, n, share):
+    """Pairs of records whose common elements just reach ``share``."""
+    out = []
+    for k in range(n):
+        size = rng.randrange(20, 60)
+        keep = -(-share * size // 1)
+        base = [f"v{rng.randrange(10**9)}" for _ in range(size)] if kind == "cells" else []
+        if kind == "short":  # the equal cells are short, the changed ones long
+            base = [str(rng.randrange(10**6)) if i < keep else f"a long description {rng.randrange(10**9)} of it" for i in range(size)]
+        other = base[: int(keep)] + [f"x{rng.randrange(10**9)}" for _ in range(size - int(keep))]
+        out += [(f"p{k:04d}a", [[c] for c in base]), (f"p{k:04d}b", [[c] for c in other])]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["cells", "short"])
+def test_recall_at_the_threshold(spark, kind):
+    rng = random.Random(9)
+    df = spark.createDataFrame(_pairs_near(rng, kind, 400, 0.65), "id string, rows array<array<string>>")
+    got = {(r.id_a, r.id_b) for r in copy_pairs(copy_groups(table_sketches(df, "table"), {"table": 0.65})).collect()}
+    assert len(got) >= 392 and all(a[:5] == b[:5] for a, b in got)
+
+
+def test_hot_cells(spark):
+    """Cells that every table has are left out of the samples, not of the comparison."""
+    rng = random.Random(2)
+    hot = ["ok", "total", "yes", "1", "2", "3"]
+    rows = []
+    for k in range(120):
+        own = [f"c{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(f"t{k:03d}a", [hot, own]), (f"t{k:03d}b", [own[:7] + ["new", f"n{k}"], hot])]
+    got = {(r.id_a, r.id_b) for r in copy_pairs(copy_groups(table_sketches(spark.createDataFrame(rows, "id string, rows array<array<string>>"), "table"), {"table": 0.65})).collect()}
+    assert got == {(f"t{k:03d}a", f"t{k:03d}b") for k in range(120)}
