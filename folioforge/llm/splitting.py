@@ -1,9 +1,12 @@
 """Problem 2: cut oversized items at natural boundaries.
 
-Separator hierarchy: section, paragraph, line, sentence, word, character. A level is only used inside a part that is
-still too long after the level above; the atoms are packed greedily up to the limit, and each next piece starts
-``overlap`` characters before the end of the one before (a little earlier where that would tear a combined character).
-Pieces are spans of the text, so dropping each piece's overlap and joining gives the text back.
+Separator hierarchy: section, paragraph, line, sentence, word, character. Parts are packed greedily: a part joins the piece
+that is open if it fits, else it starts the next piece if it fits there behind the overlap, else it is divided at the next
+level and its parts are packed alike. So a part is only divided where neither piece could hold it.
+
+Each next piece starts ``overlap`` characters before the end of the one before, or up to SLACK more where that reaches the
+beginning of a word or keeps a combined character whole. Pieces are spans of the text, so dropping each piece's overlap and
+joining gives the text back.
 
 Defined results: null text gives no piece; empty text and text within the limit give one piece; repeated rows repeat;
 extra columns are kept, and ones named like an added column are replaced.
@@ -19,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SLACK = 24
 LEVELS = (
     re.compile(r"\n(?=\s*(?:#{1,6} |\d+(?:\.\d+)*[.)] \S|\[[^\]\n]{2,40}\]$|[A-Z][A-Z \-/&]{8,}$))", re.M),  # section headings
     re.compile(r"\n[ \t]*\n+"),
@@ -33,29 +37,18 @@ def _joined(text: str, i: int) -> bool:
     return 0 < i < len(text) and (unicodedata.category(text[i]) in ("Mn", "Me", "Mc", "Cf") or text[i - 1] == "‍" or text[i] == "ำ" or text[i - 1] in "เแโใไ")
 
 
-def _atoms(text: str, start: int, end: int, room: int, level: int) -> Iterator[int]:
-    """Ends of consecutive parts of text[start:end], none longer than ``room``."""
-    if end - start <= room:
-        yield end
-        return
-    if level < len(LEVELS):
-        at = start
-        for m in LEVELS[level].finditer(text, start, end):
-            cut = m.end()
-            if at < cut < end:
-                yield from _atoms(text, at, cut, room, level + 1)
-                at = cut
-        yield from _atoms(text, at, end, room, level + 1)
-        return
-    while end - start > room:
-        cut = start + room
-        while cut > start + 1 and _joined(text, cut):
-            cut -= 1
-        if cut == start + 1:
-            cut = start + room
-        yield cut
-        start = cut
-    yield end
+def _beginning(text: str, end: int, overlap: int, slack: int) -> int:
+    """Where the piece behind one that ends at ``end`` starts."""
+    start = max(0, end - overlap)
+    if not overlap:
+        return start
+    whole = None
+    for i in range(start, max(0, start - slack) - 1, -1):
+        if i == 0 or text[i - 1].isspace() and not text[i : i + 1].isspace():
+            return i
+        if whole is None and not _joined(text, i):
+            whole = i
+    return start if whole is None else whole
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -64,17 +57,38 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         raise ValueError("need 0 <= overlap < limit")
     if len(text) <= limit:
         return [(0, len(text))]
-    slack = min(8, (limit - overlap) // 4)
-    pieces, start, end = [], 0, 0
-    for cut in _atoms(text, 0, len(text), max(1, limit - overlap - slack), 0):
-        if cut - start > limit:
+    slack = min(SLACK, (limit - overlap) // 4)
+    pieces: list[tuple[int, int]] = []
+    start = end = 0  # the open piece
+
+    def place(a: int, b: int, level: int) -> None:
+        nonlocal start, end
+        if b - start <= limit:
+            end = b
+            return
+        following = _beginning(text, end, overlap, slack)
+        if end > (pieces[-1][1] if pieces else 0) and following > start and b - following <= limit:
             pieces.append((start, end))
-            start = max(0, end - overlap)
-            for _ in range(slack):
-                if not _joined(text, start):
-                    break
-                start -= 1
-        end = cut
+            start, end = following, b
+            return
+        if level < len(LEVELS):
+            for m in LEVELS[level].finditer(text, a, b):
+                if a < m.end() < b:
+                    place(a, m.end(), level + 1)
+                    a = m.end()
+            place(a, b, level + 1)
+            return
+        while b - start > limit:
+            cut, least = start + limit, max(end, start + overlap) + 1
+            while cut > least and _joined(text, cut):
+                cut -= 1
+            if _joined(text, cut):
+                cut = start + limit
+            pieces.append((start, cut))
+            start, end = _beginning(text, cut, overlap, slack), cut
+        end = b
+
+    place(0, len(text), 0)
     pieces.append((start, end))
     return pieces
 

@@ -33,3 +33,15 @@ def test_frame(spark):
     a = sorted((r for r in got if r.id == "a"), key=lambda r: r.piece_no)
     assert [r.piece_no for r in a] == list(range(1, len(a) + 1)) and all(len(r.content) <= 50 for r in a)
     assert split_items(df.limit(0)).count() == 0
+
+
+def test_parts_are_kept_whole_where_they_fit():
+    first, second = "a" * 39 + " ", "word " * 18
+    text = first + "\n\n" + second + "\n\n" + "tail " * 30
+    spans = split_text(text, 100, 0)
+    assert any(text[a:b].strip() == second.strip() for a, b in spans)
+    for (_, end), (start, _) in zip(spans, spans[1:]):
+        assert start == end
+    words = "alpha beta gamma delta " * 40
+    for (_, end), (start, _) in zip(split_text(words, 120, 30), split_text(words, 120, 30)[1:]):
+        assert words[start - 1] == " " and 30 <= end - start <= 54
