@@ -2,13 +2,17 @@
 
 High-recall generators propose overlapping spans of each type; boosted trees over format and context features score them;
 a span above its type's threshold is selected, longer and surer spans first. The trees are trained here, on the spans
-that the generators propose in at most SAMPLE texts (a bounded, documented sample). Nobody labelled those texts, so spans
-that a check digit, a title, the name lexicon or a telling neighbour decides serve as examples; what decided is hidden
-from the trees in half of the examples, so that they learn to judge names that the lexicon lacks by their context and
-their parts. Thresholds are the scores that give the best F1 on the examples held out.
+that the generators propose in about SAMPLE texts, the same ones in every run (chosen and ordered by a hash of the text);
+the spans are made and counted where the texts lie, and only counts of feature sets reach the driver. Nobody labelled those
+texts, so spans that a check digit, a title, the name lexicon or a telling neighbour decides serve as examples; what decided
+is hidden from the trees in half of the examples of every type. Names must be judged in the same way with and without that
+evidence (the lexicon lacks most names); for the other types the trees are told that it is hidden, so that a span without
+evidence is not taken for one whose evidence is unknown. Thresholds are the scores that give the best F1 on the examples held
+out. One fit over blocks and tables serves found and redacted texts alike.
 
 Spans are found in the canonical text (problem 4) with Arabic digits and mapped back, so the rest of a text stays as it
-is. Everything but the trees' training covers whole texts and all rows.
+is. A table is read with its cells joined; a span over several cells leaves its placeholder in the first. Everything but the
+trees' training covers whole texts and all rows.
 
 Defined results: null texts and cells stay null; empty ones stay empty; repeated rows get the same result; tables without
 rows have no details; existing placeholders such as [EMAIL] are left alone.
@@ -20,10 +24,11 @@ import difflib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.textnorm import BLANKS, canonical, needs
@@ -112,11 +117,14 @@ FEATURES = (
     "title", "given_known", "family_known", "given_made", "family_made", "second_given_made", "first_family_made", "ordered", "comma", "initial", "capitals",
     "after_the", "sign_before", "person_after", "firm_after", "thing_after", "thing_inside", "firm_inside", "single", "thai", "line_start",
     "tld", "dotted", "spelled_at", "numeric_domain", "check", "zero", "passport", "reference_before", "call_before", "plus", "length_phone", "extension",
-    "place", "house", "code5", "box", "year_inside",
+    "place", "house", "code5", "box", "year_inside", "colon_before", "hidden",
 )
 _AT = {f: k for k, f in enumerate(FEATURES)}
-#: Features that decide the examples' labels and are hidden in half of them.
-HIDDEN = tuple(_AT[f] for f in ("given_known", "family_known"))
+#: Features that decide the examples' labels, by type; hidden in half of the examples.
+HIDDEN = {
+    "email": ("tld", "dotted", "numeric_domain"), "phone": ("plus", "length_phone", "reference_before"), "id_number": ("check", "zero", "passport"),
+    "address": ("place", "house", "year_inside", "code5"), "person_name": ("given_known", "family_known"),
+}
 
 
 def _around(text: str, a: int, b: int) -> tuple[str, str]:
@@ -127,6 +135,15 @@ def _around(text: str, a: int, b: int) -> tuple[str, str]:
 
 def candidates(text: str, lex: Lexicon) -> Iterator[tuple[str, int, int, list[str]]]:
     """Type, start, end and features of the proposed spans of a canonical text with Arabic digits."""
+    for kind, a, b, f in _numbers_and_places(text):
+        before = text[max(0, a - 40) : a].rstrip(" ")
+        f += ["line_start"] if before[-1:] in ("\n", CELL, "") else []
+        f += ["colon_before"] if before.endswith(":") else []
+        yield kind, a, b, f
+    yield from _names(text, lex)
+
+
+def _numbers_and_places(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
     if "@" in text or _AT_WORD.search(text):
         for m in _EMAIL.finditer(text):
             s = m.group()
@@ -167,7 +184,6 @@ def candidates(text: str, lex: Lexicon) -> Iterator[tuple[str, int, int, list[st
             for m in pattern.finditer(text):
                 f = [x for x, ok in (("place", m.group(1)), ("house", True), ("thai", True), ("box", pattern is _THAI_BOX), ("code5", re.search(r"\d{5}$", m.group()))) if ok]
                 yield "address", m.start(), m.end(), f
-    yield from _names(text, lex)
 
 
 def _name_features(text: str, a: int, b: int, first: str, second: str, extra: list[str], lex: Lexicon) -> list[str]:
@@ -263,14 +279,15 @@ class Boosted:
         self.trees: list[tuple[np.ndarray, np.ndarray]] = []  # split feature of each inner node, value of each leaf
         self.base = 0.0
         self.threshold = 0.5
+        self.lesion = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        p = np.clip(y.mean(), 0.01, 0.99)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "Boosted":
+        p = np.clip(np.average(y, weights=weight), 0.01, 0.99)
         self.base = float(np.log(p / (1 - p)))
         score = np.full(len(y), self.base)
         for _ in range(self.TREES):
             p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
+            g, h = weight * (y - p), weight * p * (1 - p)
             inner, at = np.zeros(2**self.DEPTH - 1, int), np.zeros(len(y), int)
             for level in range(self.DEPTH):
                 for node in range(2**level):
@@ -303,38 +320,48 @@ def _matrix(features: list[list[str]]) -> np.ndarray:
     return x
 
 
+def examples(text: str, lex: Lexicon) -> Iterator[tuple[str, tuple[str, ...], int, bool]]:
+    """Type, features, label and whether held out, of the decided spans of a text. One text in four is held out."""
+    held = crc32(text.encode()) % 4 == 0
+    for kind, _a, _b, f in candidates(prepared(text), lex):
+        if (label := example(kind, f)) is not None:
+            yield kind, tuple(sorted(set(f))), label, held
+
+
 def train(texts: list[str], lex: Lexicon) -> dict[str, Boosted]:
     """A model per type, with its threshold."""
-    found: dict[str, list[tuple[list[str], int]]] = defaultdict(list)
-    for t in texts:
-        for kind, _a, _b, f in candidates(prepared(t), lex):
-            label = example(kind, f)
-            if label is not None:
-                found[kind].append((f, label))
-    rng = np.random.default_rng(11)
+    return train_on(Counter(e for t in texts for e in examples(t, lex)))
+
+
+def train_on(counts: dict[tuple[str, tuple[str, ...], int, bool], int]) -> dict[str, Boosted]:
+    """The models from counts of examples, and per model ``lesion``: the share of held-out examples judged right when what
+    decided them is hidden."""
     models = {}
     for kind in TYPES:
+        rows = sorted((f, label, held, n) for (k, f, label, held), n in counts.items() if k == kind)
         # The plainest spans of a type, so that a small sample, too, knows both classes.
-        rows = found[kind] + _plain_examples(kind)
-        x, y = _matrix([f for f, _ in rows]), np.array([v for _, v in rows], float)
-        hide = rng.random(len(y)) < 0.5
-        for c in HIDDEN:
-            x[hide, c] = 0
-        held = rng.random(len(y)) < 0.25
-        if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-            held[:] = False
-        m = Boosted().fit(x[~held], y[~held])
-        px, py = (x[held], y[held]) if held.any() else (x, y)
-        p = m.score(px)
+        rows += [(tuple(f), label, False, n) for f, label, n in _plain_examples(kind)]
+        x, y = _matrix([list(r[0]) for r in rows]), np.array([r[1] for r in rows], float)
+        held, n = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], float)
+        blind = x.copy()
+        blind[:, [_AT[c] for c in HIDDEN[kind]]] = 0
+        if kind != "person_name":
+            blind[:, _AT["hidden"]] = 1
+        both = np.vstack([x, blind])
+        m = Boosted().fit(both[np.tile(~held, 2)], np.tile(y[~held], 2), np.tile(n[~held] / 2, 2))
+        test = held if len(set(y[held])) == 2 else np.ones(len(y), bool)
+        shown = (x, blind) if kind == "person_name" else (x,)
+        p, true, w = np.concatenate([m.score(v[test]) for v in shown]), np.tile(y[test], len(shown)), np.tile(n[test], len(shown))
         cuts = np.linspace(0.1, 0.9, 17)
-        f1 = [2 * ((p >= c) & (py == 1)).sum() / max(1, (p >= c).sum() + (py == 1).sum()) for c in cuts]
+        f1 = [2 * w[(p >= c) & (true == 1)].sum() / max(1, w[p >= c].sum() + w[true == 1].sum()) for c in cuts]
         best = [c for c, v in zip(cuts, f1) if v >= max(f1) - 1e-9]
         m.threshold = float(best[len(best) // 2])
+        m.lesion = float(np.average((m.score(blind[test]) >= m.threshold) == (y[test] == 1), weights=n[test]))
         models[kind] = m
     return models
 
 
-def _plain_examples(kind: str) -> list[tuple[list[str], int]]:
+def _plain_examples(kind: str) -> list[tuple[list[str], int, int]]:
     rows = {
         "email": [(["dotted", "tld"], 1), (["dotted", "tld", "spelled_at"], 1), (["dotted", "numeric_domain"], 0), ([], 0)],
         "phone": [(["plus", "length_phone"], 1), (["length_phone", "call_before"], 1), (["length_phone"], 1), (["reference_before", "length_phone"], 0), ([], 0)],
@@ -347,7 +374,7 @@ def _plain_examples(kind: str) -> list[tuple[list[str], int]]:
             (["family_made", "thing_after"], 0), (["family_made", "thing_inside"], 0), (["family_made", "firm_inside"], 0), (["given_made", "after_the"], 0), (["family_made"], 0), (["given_made"], 0), (["comma", "given_made"], 0),
         ],
     }[kind]
-    return rows * 10
+    return [(f, label, 10) for f, label in rows]
 
 
 def prepared(text: str) -> str:
@@ -415,28 +442,64 @@ def redact(text: str, lex: Lexicon, models: dict[str, Boosted]) -> tuple[str, li
     return "".join([*out, text[end:]]), [k for *_, k in spans]
 
 
-def fitted(texts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, dict[str, Boosted]]:
-    """The lexicon (a parameter table of some hundred rows) and the models, trained on at most ``sample`` of ``texts``
-    (one column, text), chosen by hash."""
-    lex = Lexicon([(r["name"], r["kind"], r["script"]) for r in lexicon.limit(100_000).collect()])
-    n = texts.count()
-    part = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample))) == 0).limit(sample)
-    return lex, train([r[0] for r in part.collect() if r[0]], lex)
+def redact_cells(rows: list, lex: Lexicon, models: dict[str, Boosted]) -> list:
+    """A table's rows with placeholders for the details found in its joined cells; one over several cells stands in the first."""
+    mark = f" {CELL} "
+    cells = [c for r in rows if r is not None for c in r if c is not None]
+    text = mark.join(cells)
+    plain, at = aligned(text)
+    spans = [((a, b) if at is None else (at[a], at[b - 1] + 1), kind) for a, b, kind in select(plain, lex, models)]
+    if not spans:
+        return rows
+    done, start = [], 0
+    for c in cells:
+        out, end, stop = [], start, start + len(c)
+        for (x, y), kind in spans:
+            if y > end and x < stop:
+                out += [text[end : max(end, x)], f"[{kind.upper()}]" if x >= start else ""]
+                end = min(y, stop)
+        done.append("".join([*out, text[end:stop]]))
+        start = stop + len(mark)
+    fresh = iter(done)
+    return [None if r is None else [None if c is None else next(fresh) for c in r] for r in rows]
+
+
+Model = tuple[Lexicon, dict[str, Boosted]]
+
+
+def fitted(texts: DataFrame, lexicon: DataFrame, sample: int = SAMPLE) -> Model:
+    """The lexicon (a parameter table of some hundred rows) and the models, trained on about ``sample`` of ``texts`` (one
+    column, text): those whose hash falls into a share of it, so that every run takes the same."""
+    lex = Lexicon(sorted((r["name"], r["kind"], r["script"] or "") for r in lexicon.where("name is not null").collect()))
+    part = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // sample))) == 0)
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for pdf in it:
+            counts.update(e for t in pdf["text"] if t for e in examples(t, lex))
+        yield pd.DataFrame([(k, "\t".join(f), y, h, n) for (k, f, y, h), n in counts.items()], columns=["kind", "features", "label", "held", "n"])
+
+    # As many rows as there are sets of features.
+    seen = part.select("text").mapInPandas(work, "kind string, features string, label int, held boolean, n long").groupBy("kind", "features", "label", "held").agg(F.sum("n").alias("n"))
+    return lex, train_on({(r["kind"], tuple(f for f in r["features"].split("\t") if f), r["label"], r["held"]): r["n"] for r in seen.collect()})
+
+
+def _joined_cells() -> Column:
+    return F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), f" {CELL} ")
 
 
 def text_items(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """item_kind, item_id, text of text blocks and of table cells joined by CELL."""
-    flat = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), f" {CELL} ")
     return (
         blocks.select(F.lit("block").alias("item_kind"), F.col("id").alias("item_id"), F.col("content").alias("text"))
-        .unionByName(tables.select(F.lit("table").alias("item_kind"), F.col("id").alias("item_id"), flat.alias("text")))
+        .unionByName(tables.select(F.lit("table").alias("item_kind"), F.col("id").alias("item_id"), _joined_cells().alias("text")))
         .where("text is not null and text <> ''")
     )
 
 
-def found(items: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """item_kind, item_id, pii_type of every type present."""
-    lex, models = fitted(items.select("text"), lexicon)
+def found(items: DataFrame, lexicon: DataFrame, model: Model | None = None) -> DataFrame:
+    """item_kind, item_id, pii_type of every type present. Without a ``model`` one is fitted on ``items``."""
+    lex, models = model or fitted(items.select("text"), lexicon)
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -446,9 +509,9 @@ def found(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     return items.mapInPandas(work, "item_kind string, item_id string, pii_type string").distinct()
 
 
-def redacted_texts(blocks: DataFrame, lexicon: DataFrame) -> DataFrame:
+def redacted_texts(blocks: DataFrame, lexicon: DataFrame, model: Model | None = None) -> DataFrame:
     """``blocks`` (id, content) with redacted content and the types replaced."""
-    lex, models = fitted(blocks.where("content is not null").select(F.col("content").alias("text")), lexicon)
+    lex, models = model or fitted(blocks.where("content is not null").select(F.col("content").alias("text")), lexicon)
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -458,16 +521,12 @@ def redacted_texts(blocks: DataFrame, lexicon: DataFrame) -> DataFrame:
     return blocks.select("id", "content").mapInPandas(work, "id string, redacted string, types array<string>")
 
 
-def redacted_tables(tables: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``tables`` (id, rows) with every cell redacted on its own."""
-    flat = tables.where("rows is not null").select(F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), f" {CELL} ").alias("text"))
-    lex, models = fitted(flat, lexicon)
+def redacted_tables(tables: DataFrame, lexicon: DataFrame, model: Model | None = None) -> DataFrame:
+    """``tables`` (id, rows) with the details of their cells replaced, as ``found`` sees them."""
+    lex, models = model or fitted(tables.where("rows is not null").select(_joined_cells().alias("text")), lexicon)
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for rows in pdf["rows"]:
-                out.append(None if rows is None else [None if r is None else [None if c is None else redact(c, lex, models)[0] for c in r] for r in rows])
-            yield pdf[["id"]].assign(redacted=out)
+            yield pdf[["id"]].assign(redacted=[None if rows is None else redact_cells(rows, lex, models) for rows in pdf["rows"]])
 
     return tables.select("id", "rows").mapInPandas(work, "id string, redacted array<array<string>>")

@@ -1,6 +1,8 @@
+import re
+
 import pytest
 
-from folioforge.llm.pii import Lexicon, aligned, check_digit, found, redact, redacted_tables, redacted_texts, text_items, train
+from folioforge.llm.pii import Lexicon, aligned, check_digit, fitted, found, redact, redact_cells, redacted_tables, redacted_texts, text_items, train
 
 NAMES = [(a + b, "given", "latin") for a in ("Kal", "Ros", "Tam", "Vel") for b in ("dric", "wyn", "ira")] + [(a + b, "family", "latin") for a in ("Thor", "Wex", "Dun") for b in ("berg", "more", "low")]
 NAMES += [("กานดา", "given", "thai"), ("ใจงาม", "family", "thai")]
@@ -47,3 +49,26 @@ def test_frames(spark):
     assert {(r.id, r.redacted) for r in redacted_texts(blocks, lexicon).collect()} == {("b1", "mail [EMAIL]"), ("b2", None), ("b3", "")}
     assert {r.id: r.redacted for r in redacted_tables(tables, lexicon).collect()} == {"t1": [["[PERSON_NAME]", None], ["x", "[EMAIL]"]], "t2": None, "t3": []}
     assert found(text_items(blocks.limit(0), tables.limit(0)), lexicon).count() == 0
+
+
+def test_redacted_as_found(spark):
+    """One fit: what is found in a table is redacted in it, also over two cells and with its neighbours as context."""
+    lexicon = spark.createDataFrame(NAMES, "name string, kind string, script string")
+    rows = {"t1": [["Contact", "Kaldric Thorberg"], ["Call", "089-000-4901"]], "t2": [["Mail", "a@b.test", None], None, ["", "quoted @ 26.50"]], "t3": [["none"]]}
+    tables = spark.createDataFrame(list(rows.items()), "id string, rows array<array<string>>")
+    blocks = spark.createDataFrame([("b1", "Witness Kaldric Thorberg was present."), ("b2", "Order 0857-8462 was closed")], "id string, content string")
+    items = text_items(blocks, tables)
+    model = fitted(items.select("text"), lexicon)
+    kinds = {}
+    for r in found(items, lexicon, model).collect():
+        kinds.setdefault(r.item_id, set()).add(f"[{r.pii_type.upper()}]")
+    out = {r.id: " ".join(c for x in r.redacted if x is not None for c in x if c is not None) for r in redacted_tables(tables, lexicon, model).collect()}
+    out |= {r.id: r.redacted for r in redacted_texts(blocks, lexicon, model).collect()}
+    assert {i: set(re.findall(r"\[[A-Z_]+\]", t)) for i, t in out.items() if "[" in t} == kinds
+    assert {"t1", "t2", "b1"} == set(kinds)
+    assert all(0 <= m.lesion <= 1 for m in model[1].values())
+
+
+def test_span_over_cells(model):
+    got = redact_cells([["Mr.", "Kaldric Thorberg"], None, [None, "x"]], *model)
+    assert got[1] is None and got[2] == [None, "x"] and "[PERSON_NAME]" in "".join(got[0]) and "Thorberg" not in "".join(got[0])
