@@ -61,6 +61,10 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_stock_lines(blocks, table(spark, d, "doc_metadata")).select("id", "doc_id", "clean_content", "removed")
 
 
+def p3_templates(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.templates(table(spark, d, "text_blocks").select("id", "doc_id", "content"), table(spark, d, "doc_metadata"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return textnorm.irregular(_items(spark, d), "content").select("item_kind", "item_id").distinct()
 
@@ -69,6 +73,10 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return textnorm.with_canonical(_items(spark, d), "content").select("item_kind", "item_id", "canonical", "forms")
 
 
+def p4_confusables(spark: SparkSession, d: str) -> DataFrame:
+    return textnorm.confusable_words(_items(spark, d), "content").select("item_kind", "item_id", "words")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.defects(table(spark, d, "text_blocks")).select("block_id", "defect")
 
@@ -77,16 +85,23 @@ def p5_text(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(table(spark, d, "text_blocks"))
 
 
+def _details(spark: SparkSession, d: str) -> tuple[DataFrame, pii.Model]:
+    """Blocks and tables as items, and the one model that all p6 queries use."""
+    items = pii.text_items(table(spark, d, "text_blocks"), table(spark, d, "table_blocks"))
+    return items, pii.fitted(items.select("text"), table(spark, d, "name_lexicon"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(pii.text_items(table(spark, d, "text_blocks"), table(spark, d, "table_blocks")), table(spark, d, "name_lexicon"))
+    items, model = _details(spark, d)
+    return pii.found(items, table(spark, d, "name_lexicon"), model)
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted_texts(table(spark, d, "text_blocks"), table(spark, d, "name_lexicon"))
+    return pii.redacted_texts(table(spark, d, "text_blocks"), table(spark, d, "name_lexicon"), _details(spark, d)[1])
 
 
 def p6_redacted_tables(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted_tables(table(spark, d, "table_blocks"), table(spark, d, "name_lexicon"))
+    return pii.redacted_tables(table(spark, d, "table_blocks"), table(spark, d, "name_lexicon"), _details(spark, d)[1])
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +133,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("level = 'demanding'").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p4_found, p4_canonical, p5_found, p5_text, p6_found, p6_redacted, p6_redacted_tables, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_clean, p3_templates, p4_found, p4_canonical, p4_confusables, p5_found, p5_text, p6_found, p6_redacted, p6_redacted_tables, p7_containers, p7_unused, p8_mix, p8_shares, p9_found, p9_levels)}
 
 ORACLES = {
     "p2_found": """SELECT DISTINCT item_kind, item_id FROM (

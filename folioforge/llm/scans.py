@@ -7,12 +7,17 @@
    Markov model. A line's observation is whether its fingerprint, with or without its number, stands at that edge on at
    least MIN_PAGES of the document's pages and whether its number keeps the document's distance to the page. The model is trained by expectation maximisation over the
    counts of all observation sequences (a table of at most 2 x 64 rows), started from documented probabilities; a
-   sequence's best labelling (Viterbi) is looked up in that table.
+   sequence's best labelling (Viterbi) is looked up in that table. Running lines stand at the edges, so lines further in
+   are never headers; nor are lines of more than 200 characters.
 3. Misread words are words that clean files do not have and that fall together with a known word once the confusions of
    recognition are merged. A cut word is told from a word with its own hyphen by which of the two the corpus knows.
 
-The word table is distributed; only the table of misread words, if it has at most MISREADS rows, is sent to the tasks for
-the second pass, otherwise words are joined to it.
+4. For the repaired text the lines that are left are labelled body or break (a paragraph ends with the line) by a second
+   hidden Markov model over length, full stop and what the next line begins with, trained alike over the counts of
+   neighbouring lines' observations. Paragraphs end at breaks and at the end of a block.
+
+The word table is distributed; the table of misread words, if it has at most MISREADS rows, is sent to the tasks for the
+second pass, otherwise words are joined to it; both ways look up the same words. Words of one or two letters are never misread.
 
 Defined results: null or empty content has no defects; blocks without a page take no part in step 2; a file none of whose
 blocks names an extractor counts as scanned; repeated rows count once; very long texts are read whole.
@@ -140,10 +145,6 @@ def words_of(lines: list[str], cuts: list[tuple[int, str, str, str, str]]) -> It
                 yield k, w
 
 
-def is_word(w: str) -> bool:
-    return len(w) >= 3 and sum(map(str.isalpha, w)) * 2 > len(w)
-
-
 def _first_pass(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in PASS.split(", ")]
     counts: Counter = Counter()
@@ -328,11 +329,35 @@ def _cut_words(cuts: DataFrame, words: DataFrame) -> DataFrame:
     return judged.where(F.col("never_own") | ~F.col("own")).select("id", "doc_id", "line_no", F.col("a").alias("left"), F.col("b").alias("right"))
 
 
+def words_here(text: str) -> Iterator[tuple[int, str]]:
+    """Line number and word of a text, words cut at line ends joined."""
+    lines, cuts = lines_and_cuts(plain(text))
+    yield from words_of(lines, cuts)
+    for k, a, _mark, b, _c in cuts:
+        yield k, (a + b).lower()
+
+
+def words_to_repair(text: str) -> set[str]:
+    """Every word that may stand in the repaired text, whichever way its cut words are joined."""
+    lines, cuts = lines_and_cuts(plain(text))
+    out = {w for line in lines for run in line.split() for w in words_in(run)}
+    out.update((a + mark + x).lower() for _k, a, _m, b, c in cuts for x in (b, c) for mark in ("", "-"))
+    return out | {w for _, w in words_of(lines, cuts)}
+
+
+_CUT_LINE = re.compile(r"[-¬] *\n")
+
+
+def _few(misread: DataFrame) -> pd.DataFrame | None:
+    """The misread words, if they are few enough to be sent to every task."""
+    few = misread.limit(MISREADS + 1).toPandas()
+    return few if len(few) <= MISREADS else None
+
+
 def _occurrences(blocks: DataFrame, misread: DataFrame) -> DataFrame:
     """id, doc_id, line_no of the lines with a misread word."""
     rows = blocks.where("content is not null and not native").select("id", "doc_id", "content")
-    few = misread.limit(MISREADS + 1).toPandas()
-    if len(few) <= MISREADS:
+    if (few := _few(misread)) is not None:
         bad = blocks.sparkSession.sparkContext.broadcast(frozenset(few["word"]))
 
         def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -349,22 +374,15 @@ def _occurrences(blocks: DataFrame, misread: DataFrame) -> DataFrame:
                 out = []
                 for id_, doc, text in zip(pdf["id"], pdf["doc_id"], pdf["content"]):
                     text = plain(text)
-                    if "-\n" not in text and "- \n" not in text and "¬" not in text and not any(map(suspicious, text.split())):
-                        continue
-                    lines, cuts = lines_and_cuts(text)
-                    out += [(id_, doc, k) for k in {k for k, w in words_of(lines, cuts) if w in known}]
-                    out += [(id_, doc, k) for k, a, _m, b, c in cuts if (a + b).lower() in known]
+                    if _CUT_LINE.search(text) or any(map(suspicious, text.split())):
+                        out += [(id_, doc, k) for k in {k for k, w in words_here(text) if w in known}]
                 yield pd.DataFrame(out, columns=["id", "doc_id", "line_no"])
 
         return rows.mapInPandas(look, "id string, doc_id string, line_no int")
 
     def say(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for id_, doc, text in zip(pdf["id"], pdf["doc_id"], pdf["content"]):
-                lines, cuts = lines_and_cuts(plain(text))
-                out += [(id_, doc, k, w) for k, w in set(words_of(lines, cuts))]
-                out += [(id_, doc, k, (a + b).lower()) for k, a, _m, b, c in cuts]
+            out = [(id_, doc, k, w) for id_, doc, text in zip(pdf["id"], pdf["doc_id"], pdf["content"]) for k, w in set(words_here(text))]
             yield pd.DataFrame(out, columns=["id", "doc_id", "line_no", "word"])
 
     return rows.mapInPandas(say, "id string, doc_id string, line_no int, word string").join(misread.select("word"), "word", "left_semi").drop("word")
@@ -407,11 +425,72 @@ def _cased(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def paragraphs(text: str, drop: set[int], joined: set[int], fixes: dict[str, str]) -> str:
+# Hidden Markov model of the lines inside a block: does the paragraph go on behind the line (body) or end with it (break)?
+#: Observation of a line: short (under three quarters of the block's longest) x ends like a sentence x what follows: 0 a small
+#: or Thai letter, 1 a capital, digit or mark, 2 a list sign, 3 a blank line or nothing.
+_LAYOUT = [(short, stop, follows) for short in (0, 1) for stop in (0, 1) for follows in range(4)]
+_BREAKS = ("body", "break")
+
+
+def _layout_start() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starting probabilities: of the first line's state, of the next state, and of the observations."""
+    short, stop, follows = ((0.1, 0.85), (0.15, 0.7), ((0.74, 0.21, 0.01, 0.04), (0.05, 0.45, 0.2, 0.3)))
+    emit = np.array([[(short[k] if s else 1 - short[k]) * (stop[k] if e else 1 - stop[k]) * follows[k][f] for s, e, f in _LAYOUT] for k in (0, 1)])
+    return np.array([0.7, 0.3]), np.array([[0.75, 0.25], [0.7, 0.3]]), emit
+
+
+def layout_codes(lines: list[str]) -> list[int]:
+    longest = max(map(len, lines), default=0)
+    out = []
+    for line, following in zip(lines, [*lines[1:], ""]):
+        head = following.lstrip()[:1]
+        follows = 3 if not head else 2 if _STARTS.match(following) else 0 if head.islower() or "ก" <= head <= "๛" else 1
+        out.append(8 * (len(line) < 0.75 * longest) + 4 * (line[-1:] in tuple(".!?:")) + follows)
+    return out
+
+
+def train_layout(pairs: list[tuple[int, int, int]], rounds: int = 20, trust: float = 2000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model from (code, next line's code, count), by expectation maximisation over neighbouring lines."""
+    first = _layout_start()
+    start, step, emit = first
+    for _ in range(rounds):
+        ns, nt, ne = (x * trust for x in first)
+        for a, b, n in pairs:
+            joint = (start * emit[:, a])[:, None] * step * emit[:, b][None, :]
+            joint *= n / joint.sum()
+            ns, nt = ns + joint.sum(1), nt + joint
+            ne[:, a] += joint.sum(1)
+            ne[:, b] += joint.sum(0)
+        start, step, emit = ns / ns.sum(), nt / nt.sum(1, keepdims=True), ne / ne.sum(1, keepdims=True)
+    return start, step, emit
+
+
+def breaks(lines: list[str], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bool]:
+    """Whether the paragraph ends with each line: the best state sequence (Viterbi). Blank lines are breaks in any case."""
+    if not lines:
+        return []
+    start, step, emit = (np.log(x).tolist() for x in model)
+    codes = layout_codes(lines)
+    best, back = [start[k] + emit[k][codes[0]] for k in (0, 1)], []
+    for c in codes[1:]:
+        come = [max((0, 1), key=lambda j, k=k: best[j] + step[j][k]) for k in (0, 1)]
+        best = [best[come[k]] + step[come[k]][k] + emit[k][c] for k in (0, 1)]
+        back.append(come)
+    state = [int(best[1] > best[0])]
+    for come in reversed(back):
+        state.append(come[state[-1]])
+    return [s == 1 or not line.strip() for s, line in zip(reversed(state), lines)]
+
+
+def kept_lines(text: str, drop: set[int]) -> list[tuple[int, str]]:
+    return [(k, line.rstrip()) for k, line in enumerate(plain(text).split("\n")) if k not in drop]
+
+
+def paragraphs(text: str, drop: set[int], joined: set[int], fixes: dict[str, str], model: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> str:
     """The text without the lines ``drop``, cut words joined where their line is in ``joined``, misread words replaced, and
-    lines run together up to a paragraph's end: a blank line, a list item next, or a full stop on a short line."""
-    kept = [(k, line.rstrip()) for k, line in enumerate(plain(text).split("\n")) if k not in drop]
-    longest = max((len(x) for _, x in kept), default=0)
+    lines run together up to a line that the layout model calls a break, a blank line or the end."""
+    kept = kept_lines(text, drop)
+    ends = breaks([line for _, line in kept], model or _layout_start())
     out, here = [], ""
     for i, (k, line) in enumerate(kept):
         following = kept[i + 1][1] if i + 1 < len(kept) else ""
@@ -421,8 +500,7 @@ def paragraphs(text: str, drop: set[int], joined: set[int], fixes: dict[str, str
         here += line
         if line.endswith("-") and following and not line.endswith(" -"):
             continue  # the word's own hyphen
-        short = len(line) < 0.75 * longest and line[-1:] in ".!?:"
-        if not following.strip() or not line.strip() or short or _STARTS.match(following):
+        if not following.strip() or ends[i]:
             if here.strip():
                 out.append(here.strip())
             here = ""
@@ -440,21 +518,46 @@ def paragraphs(text: str, drop: set[int], joined: set[int], fixes: dict[str, str
     return _TOKEN.sub(one, body)
 
 
+def _as_set(x: object) -> set[int]:
+    return set() if x is None or isinstance(x, float) else set(x)
+
+
+def _layout_model(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The layout model of all scanned blocks' lines (``content``, ``drop``)."""
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for pdf in it:
+            for text, drop in zip(pdf["content"], pdf["drop"]):
+                codes = layout_codes([line for _, line in kept_lines(text, _as_set(drop))])
+                seen.update(zip(codes, codes[1:]))
+        yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
+
+    pairs = rows.where("scanned and content is not null").select("content", "drop").mapInPandas(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return train_layout(sorted((r.a, r.b, r.n) for r in pairs.collect()))  # at most 16 x 16 rows
+
+
 def repaired(blocks: DataFrame) -> DataFrame:
     """id, doc_id and the repaired text of each distinct block of a scanned file; other files' blocks keep their text."""
     p = scan_parts(blocks)
     drop = p["outer"].groupBy("id").agg(F.collect_set("line_no").alias("drop"))
     cut = p["cuts"].groupBy("id").agg(F.collect_set("line_no").alias("joined"))
     rows = blocks.where("id is not null").select("id", "doc_id", "content").dropDuplicates(["id"]).join(drop, "id", "left").join(cut, "id", "left").join(p["scanned"].withColumn("scanned", F.lit(True)), "doc_id", "left")
-    few = p["misread"].limit(MISREADS + 1).toPandas()
-    if len(few) <= MISREADS:
+    if (few := _few(p["misread"])) is not None:
         shared = blocks.sparkSession.sparkContext.broadcast(dict(zip(few["word"], few["fixed"])))
         rows = rows.withColumn("fixes", F.lit(None).cast("map<string,string>"))
     else:
         shared = None
-        words = blocks.where("content is not null").select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9|!]+(?:-[a-z0-9|!]+)*"), F.lit(0)))).alias("word"))
-        fixes = words.distinct().join(p["misread"], "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("fixes"))
+
+        def say(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield pd.DataFrame([(id_, w) for id_, text in zip(pdf["id"], pdf["content"]) for w in words_to_repair(text)], columns=["id", "word"])
+
+        words = blocks.where("id is not null and content is not null").select("id", "content").mapInPandas(say, "id string, word string")
+        fixes = words.join(p["misread"], "word").select("id", "word", "fixed").distinct().groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fixed"))).alias("fixes"))
         rows = rows.join(fixes, "id", "left")
+    rows = stage(rows.select("id", "doc_id", "content", "scanned", "drop", "joined", "fixes"))
+    model = _layout_model(rows)
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value if shared is not None else {}
@@ -464,8 +567,7 @@ def repaired(blocks: DataFrame) -> DataFrame:
                 if text is None or scanned is None or scanned != scanned:
                     out.append(text)
                 else:
-                    as_set = lambda x: set() if x is None or isinstance(x, float) else set(x)
-                    out.append(paragraphs(text, as_set(drop_), as_set(joined), known or dict(fixes if isinstance(fixes, (dict, list)) else {})))
+                    out.append(paragraphs(text, _as_set(drop_), _as_set(joined), known or dict(fixes if isinstance(fixes, (dict, list)) else {}), model))
             yield pdf[["id", "doc_id"]].assign(repaired=out)
 
-    return rows.select("id", "doc_id", "content", "scanned", "drop", "joined", "fixes").mapInPandas(work, "id string, doc_id string, repaired string")
+    return rows.mapInPandas(work, "id string, doc_id string, repaired string")

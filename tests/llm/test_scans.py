@@ -50,3 +50,23 @@ def test_repair(spark):
     assert got["t001"].startswith("The read-only cabinet") and "modern garden of the transfer" in got["t002"]
     assert got["t003"] == "See 831 for the transfer" and got["z0"] is None and got["n0"].startswith("The secretary")
     assert scans.paragraphs("", set(), set(), {}) == "" and scans.paragraphs("a\n\nb", set(), set(), {}) == "a\nb"
+
+
+def test_same_repair_whatever_the_number_of_misread_words(spark, monkeypatch):
+    rows = _doc(spark).collect()
+    rows += [(f"o{k:02d}", "native", 1, rows[0].content, {"extractor": "native"}) for k in range(30)] + [("m1", "scan", 5, "the ｍodem garden\nof the sccre-\ntary and the read-\nonly cabinet", {"extractor": "ocr"}), ("m2", "scan", 6, "a modem gardcn -\nthe depos1t", {"extractor": "ocr"})]
+    df = spark.createDataFrame([tuple(r) for r in rows], "id string, doc_id string, page int, content string, extra map<string,string>")
+    few = ({r.id: r.repaired for r in scans.repaired(df).collect()}, {tuple(r) for r in defects(df).collect()})
+    monkeypatch.setattr(scans, "MISREADS", 0)
+    assert few == ({r.id: r.repaired for r in scans.repaired(df).collect()}, {tuple(r) for r in defects(df).collect()})
+    assert few[0]["m1"].startswith("the modern garden of the") and "transfer" in few[0]["t002"]
+
+
+def test_layout():
+    text = "A first paragraph whose lines run on\nto the full width of the column and\nend here.\nThe second paragraph starts with this\nline and goes on\n1. a list item\n2. another one"
+    want = ["A first paragraph whose lines run on to the full width of the column and end here.", "The second paragraph starts with this line and goes on", "1. a list item", "2. another one"]
+    assert scans.paragraphs(text, set(), set(), {}).split("\n") == want
+    codes = scans.layout_codes(text.split("\n"))
+    model = scans.train_layout(list(zip(codes, codes[1:], [50] * 6)))
+    assert scans.paragraphs(text, set(), set(), {}, model).split("\n") == want
+    assert scans.breaks([], model) == [] and scans.train_layout([])[0].sum() == 1
