@@ -39,7 +39,7 @@ def test_parts_are_kept_whole_where_they_fit():
     first, second = "a" * 39 + " ", "word " * 18
     text = first + "\n\n" + second + "\n\n" + "tail " * 30
     spans = split_text(text, 100, 0)
-    assert any(text[a:b].strip() == second.strip() for a, b in spans)
+    assert any(second.strip() in text[a:b] for a, b in spans)
     for (_, end), (start, _) in zip(spans, spans[1:]):
         assert start == end
     words = "alpha beta gamma delta " * 40
