@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import strip
+
 # Chunk intents: pattern, score, priority.
 INTENTS = {
     "troubleshooting": (r"(?:แก้ปัญหา|error|fail|not\s*working|เสีย|ซ่อม|troubleshoot)", 3, 5),
@@ -64,6 +66,22 @@ HEADERS = (
     (("unit", "หน่วย"), "unit"),
     (("price", "ราคา"), "unit_price"),
 )
+# Roles of text blocks in the order in which they are tried: what the text (as is, in lower case, or without blanks at its
+# beginning) holds, or a rule of ``text_role``.
+TEXT_ROLES = (
+    ("qna_question", (("bare", ("ถาม:",)), ("text", ("คำถาม",)), ("lower", ("question",)))),
+    ("qna_answer", (("bare", ("ตอบ:",)), ("text", ("เฉลย",)), ("lower", ("answer",)))),
+    ("qna_question", (("rule", "short question"),)),
+    ("title", (("rule", "title"),)),
+    ("account_info", (("lower", ("เลขที่บัญชี", "account no", "bank")),)),
+    ("transaction_header", (("lower", ("วันที่", "date", "amount", "balance", "คงเหลือ")),)),
+    ("transaction_row", (("rule", "row"),)),
+    ("legal_clause", (("lower", ("ข้อที่", "article", "clause", "section", "มาตรา")), ("rule", "numbered clause"))),
+    ("warning_note", (("lower", ("คำเตือน", "warning", "caution", "ข้อควรระวัง", "note:", "หมายเหตุ")),)),
+    ("instruction_step", (("lower", ("ขั้นตอนที่", "step", "method", "วิธีทำ")),)),
+    ("note", (("lower", ("หมายเหตุ", "remark")),)),
+    ("footer_text", (("lower", ("ลงชื่อ", "signature")),)),
+)
 PLANNER = "และ|กับ|เทียบ|เปรียบเทียบ|ต่างกัน|ทั้ง.+และ|มีอะไรบ้าง|กี่ประเภท|vs|and|compare|both|multiple"
 LEVEL_WORDS = (("error", "error|exception|traceback|fail"), ("warning", "warn"), ("debug", "debug"))
 
@@ -173,6 +191,7 @@ def document_type(text: Column) -> Column:
 
 def section_rule(text: Column, heading: Column, index: Column, page: Column) -> Column:
     """The section by ordered rules; ``index`` counts the document's blocks from 0."""
+    text = strip(text)
     low = F.lower(text)
     head = (heading & ((index < 10) | (F.coalesce(page, F.lit(0)) <= 2))) | ((index == 0) & (F.length(text) <= 120))
     qna = contains_any(F.replace(text, F.lit(" "), F.lit("")), QNA_HINTS) | contains_any(low, EXAM)
@@ -180,27 +199,22 @@ def section_rule(text: Column, heading: Column, index: Column, page: Column) ->
 
 
 def text_role(text: Column, section: Column, heading: Column) -> Column:
-    """The role of a text block by ordered rules."""
-    low, bare, n = F.lower(text), F.replace(text, F.lit(" "), F.lit("")), F.length(text)
-    sec = F.coalesce(section, F.lit(""))
-    return first_of(
-        (
-            (bare.startswith("ถาม:") | text.contains("คำถาม") | low.contains("question"), "qna_question"),
-            (bare.startswith("ตอบ:") | text.contains("เฉลย") | low.contains("answer"), "qna_answer"),
-            (text.contains("?") & (n < 200), "qna_question"),
-            ((sec == "header") & (heading | (n < 120)), "title"),
-            (contains_any(low, ("เลขที่บัญชี", "account no", "bank")), "account_info"),
-            (contains_any(low, ("วันที่", "date", "amount", "balance", "คงเหลือ")), "transaction_header"),
-            ((sec == "transactions") & n.between(10, 200), "transaction_row"),
-            (contains_any(low, ("ข้อที่", "article", "clause", "section", "มาตรา")), "legal_clause"),
-            ((sec == "legal_section") & text.rlike(r"^\d+\."), "legal_clause"),
-            (contains_any(low, ("คำเตือน", "warning", "caution", "ข้อควรระวัง", "note:", "หมายเหตุ")), "warning_note"),
-            (contains_any(low, ("ขั้นตอนที่", "step", "method", "วิธีทำ")), "instruction_step"),
-            (contains_any(low, ("หมายเหตุ", "remark")), "note"),
-            (contains_any(low, ("ลงชื่อ", "signature")), "footer_text"),
-        ),
-        "other",
-    )
+    """The role of a text block by ordered rules; ``section`` is the tag in extra."""
+    text = strip(text)
+    parts = {"text": text, "lower": F.lower(text), "bare": F.replace(text, F.lit(" "), F.lit(""))}
+    n, sec = F.length(text), F.coalesce(section, F.lit(""))
+    more = {
+        "short question": text.contains("?") & (n < 200), "title": (sec == "header") & (heading | (n < 120)), "row": (sec == "transactions") & n.between(10, 200),
+        "numbered clause": (sec == "legal_section") & text.rlike(r"^[0-9]+\."),
+    }
+
+    def holds(rule: tuple) -> Column:
+        out = F.lit(False)
+        for where, words in rule:
+            out = out | (more[words] if where == "rule" else parts["bare"].startswith(words[0]) if where == "bare" else contains_any(parts[where], words))
+        return out
+
+    return first_of(((holds(rule), role) for role, rule in TEXT_ROLES), "other")
 
 
 def header_name(header: Column) -> Column:

@@ -72,7 +72,7 @@ def markdown_text(col: Column) -> Column:
 
 
 def sanitize_html(col: Column) -> Column:
-    return replace_all(col, (r"(?is)<script.*?</script>", ""), (r"(?i)\son\w+\s*=", " data-blocked-event="), (r"(?i)javascript:", "blocked:"))
+    return replace_all(col, (r"(?is)<script.*?>.*?</script>", ""), (r"(?i) on\w+=", " data-blocked-event="), (r"(?i)javascript:", "blocked:"))
 
 
 def html_headers(col: Column) -> Column:
@@ -86,14 +86,17 @@ def strip_tags(col: Column) -> Column:
 
 
 def truncate_html(col: Column, limit: int = 4000) -> Column:
-    """Cut to ``limit`` characters, then back to the last complete row if there is one."""
+    """Cut to ``limit`` characters, then back to the last complete row if there is one; a table left open is closed."""
     head = F.substring(col, 1, limit)
     back = F.position(F.reverse(F.lit("</tr>")), F.reverse(head))
-    return F.when(F.length(col) <= limit, col).when(back > 0, head.substr(F.lit(1), F.length(head) - back + 1)).otherwise(head)
+    cut = F.when(back > 0, head.substr(F.lit(1), F.length(head) - back + 1)).otherwise(head)
+    open_ = F.regexp_count(cut, F.lit("<table")) > F.regexp_count(cut, F.lit("</table>"))
+    return F.when(F.length(col) <= limit, col).when(open_, F.concat(cut, F.lit("</table>"))).otherwise(cut)
 
 
 def section_title(col: Column) -> Column:
-    return F.substring(strip(replace_all(col, (r"^\s*(?:\d+(?:\.\d+)*[.)]?|[A-Za-z][.)])\s+", ""), (r"\s+", " "))), 1, 150)
+    """A heading without its number or capital letter, which must end in a full stop or bracket."""
+    return F.substring(replace_all(strip(col), (r"^(?:[0-9]+(?:\.[0-9]+)*|[A-Z])[.)]\s*", ""), (rf"{BLANK}+", " ")), 1, 150)
 
 
 def display_section(col: Column, limit: int = 50) -> Column:
@@ -117,20 +120,18 @@ def number_words(col: Column) -> Column:
 
 
 def shift_years(col: Column, delta: int, low: int = 2400, high: int = 2700) -> Column:
-    """Four-digit numbers from ``low`` to ``high`` moved by ``delta``: the text is cut at such numbers and joined again."""
-    parts = F.split(F.regexp_replace(col, r"(?<!\d)(\d{4})(?!\d)", "\u0001$1\u0001"), "\u0001")
+    """Groups of four digits from ``low`` to ``high`` moved by ``delta``: the text is cut at such groups and joined again."""
+    parts = F.split(F.regexp_replace(col, r"([0-9]{4})", "\u0001$1\u0001"), "\u0001")
     year = lambda p: p.try_cast("int")
-    moved = F.transform(parts, lambda p: F.when(p.rlike(r"^\d{4}$") & year(p).between(low, high), (year(p) + delta).cast("string")).otherwise(p))
+    moved = F.transform(parts, lambda p: F.when(p.rlike(r"^[0-9]{4}$") & year(p).between(low, high), (year(p) + delta).cast("string")).otherwise(p))
     return F.array_join(moved, "")
 
 
 def query_variants(col: Column) -> Column:
     """The spellings of a query, first seen first: as is, Arabic digits, Thai digits, number words as Arabic and as Thai
     digits, years moved by 543 either way."""
-    arabic = to_arabic_digits(col)
-    words = number_words(arabic)
-    forms = [col, arabic, to_thai_digits(col), words, to_thai_digits(words), shift_years(arabic, -543), shift_years(arabic, 543)]
-    return F.array_distinct(F.array(*forms))
+    arabic, words = to_arabic_digits(col), number_words(col)
+    return F.array_distinct(F.array(col, arabic, to_thai_digits(col), words, to_thai_digits(words), shift_years(arabic, -543), shift_years(arabic, 543)))
 
 
 def tokens(col: Column) -> Column:
@@ -188,6 +189,49 @@ def lenient_json(col: Column, schema: str, pattern: str = r"\{[^{}]*\}") -> Colu
     return F.from_json(F.nullif(F.regexp_extract(col, rf"(?s)({pattern})", 1), F.lit("")), schema)
 
 
+def greedy_json(col: Column, schema: str) -> Column:
+    """The object from the first opening to the last closing brace of a prose text."""
+    return lenient_json(col, schema, r"\{.*\}")
+
+
+def json_list(col: Column, schema: str) -> Column:
+    """The list from the first opening to the last closing bracket of a prose text."""
+    return lenient_json(col, schema, r"\[.*\]")
+
+
+def escape_html(col: Column) -> Column:
+    return replace_all(col, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
+def log_text(col: Column, most: int = 300) -> Column:
+    """A log line squeezed to single blanks, cut, and escaped for HTML."""
+    line = strip(F.regexp_replace(col, rf"{BLANK}+", " "))
+    return escape_html(F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line))
+
+
+def normal_string(col: Column) -> Column:
+    """Lower case without outer blanks; null for nothing."""
+    return F.nullif(F.lower(strip(col)), F.lit(""))
+
+
+def normal_enum(col: Column, known: tuple[str, ...], default: str) -> Column:
+    n = normal_string(col)
+    return F.when(n.isin(*known), n).otherwise(default)
+
+
+def safe_box(col: Column) -> Column:
+    """A box of four numbers, from an array of strings; null for anything else."""
+    numbers = F.transform(col, lambda x: x.try_cast("double"))
+    return F.when((F.size(col) == 4) & F.forall(numbers, lambda x: x.isNotNull()), numbers)
+
+
+def sse_frames(col: Column) -> Column:
+    """event and data of the frames of a server-sent stream: frames end with a blank line, data lines are joined."""
+    field = lambda f, name: F.transform(F.filter(F.split(f, "\n"), lambda line: line.startswith(name)), lambda line: F.regexp_replace(line, rf"^{name}:? ?", ""))
+    frames = F.filter(F.split(F.regexp_replace(col, "\r\n?", "\n"), r"\n\n+"), lambda f: strip(f) != "")
+    return F.transform(frames, lambda f: F.struct(F.coalesce(F.try_element_at(field(f, "event"), F.lit(1)), F.lit("message")).alias("event"), F.array_join(field(f, "data"), "\n").alias("data")))
+
+
 def bearer(col: Column) -> Column:
     return F.nullif(F.regexp_extract(col, r"(?i)^\s*bearer\s+(\S+)\s*$", 1), F.lit(""))
 

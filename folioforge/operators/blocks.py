@@ -7,13 +7,14 @@ over one row a page, so a document of a third of all rows is spread over its pag
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import classify as C
-from folioforge.functions.text import display_section, meaningful_words, normalize_whitespace, section_title, strip
+from folioforge.functions.text import display_section, markdown_text, meaningful_words, normalize_whitespace, section_title, strip
 from folioforge.session import stage
 
 MAX_CHARS, OVERLAP = 1200, 150
@@ -202,7 +203,7 @@ def margins(blocks: DataFrame, height: float = 842.0) -> DataFrame:
 def font_headings(blocks: DataFrame) -> DataFrame:
     """Blocks set larger than their page's median: H1 above 1.5 times, H2 above 1.2."""
     size = F.coalesce(F.col("extra")["font_size"].try_cast("double"), F.lit(10.0))
-    b = blocks.withColumn("size", size)
+    b = blocks.withColumn("size", size).withColumn("page", F.coalesce("page", F.lit(1)))
     med = b.groupBy("doc_id", "page").agg(F.median("size").alias("median_size"))
     t = strip(F.col("content"))
     big = (F.length(t) < 200) & ~t.rlike(r"^[\d\p{P}\p{S}\s]*$")
@@ -210,23 +211,57 @@ def font_headings(blocks: DataFrame) -> DataFrame:
     return b.join(med, ["doc_id", "page"]).withColumn("level", level)
 
 
-def markdown(blocks: DataFrame) -> DataFrame:
-    """One Markdown text a document page: a template per role."""
-    c, r = F.col("content"), F.col("role")
-    line = (
-        F.when(r == "title", F.concat(F.lit("# "), c))
-        .when(r == "section_header", F.concat(F.lit("## "), c))
-        .when(r == "legal_clause", F.concat(F.lit("**"), c, F.lit("**")))
-        .when(r == "warning_note", F.concat(F.lit("> ⚠️ "), c))
-        .when(r == "instruction_step", F.concat(F.lit("1. "), c))
-        .when(r == "list_item", F.concat(F.lit("- "), c))
-        .when(r == "qna_question", F.concat(F.lit("**Q:** "), c))
-        .when(r == "qna_answer", F.concat(F.lit("**A:** "), c))
-        .otherwise(c)
-    )
-    rows = blocks.where("content is not null").select("doc_id", F.coalesce("page", F.lit(1)).alias("page"), F.struct("id", line.alias("line")).alias("x")).distinct()
+# What a page's parts look like in Markdown (fixed values), {} being the text.
+TEXT_FORMS = {
+    "title": "\n# {}\n", "section_header": "\n## {}\n", "legal_clause": "\n> ⚖️ **{}**\n", "warning_note": "\n> ⚠️ **คำเตือน:** {}\n", "instruction_step": "1. {}",
+    "list_item": "- {}", "page_meta": "\n*(Page {})*\n", "qna_question": "\n**Q: {}**", "qna_answer": "\n**A: {}**\n",
+}
+TABLE_NAME, TABLE_SUMMARY, TABLE_EMPTY = "\n### 📊 ตาราง: {}", "> *AI Summary: {}*", "*(ตารางไม่มีข้อมูล)*"
+IMAGE_LINK, IMAGE_CAPTION, IMAGE_FILE = "\n[![{}](images/{})](images/{})", "\n*รูปที่: {}*", "> 📂 File: [`{}`](images/{})\n"
+PAGE_HEAD = "\n\n--- \n## 📑 Page {}\n\n"
+
+
+def filled(form: str, *values: Column) -> Column:
+    parts = form.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:]) for x in (v, F.lit(p))))
+
+
+def _at(k: int) -> Column:
+    return F.coalesce(F.try_element_at("bbox", F.lit(k)), F.lit(0.0))
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    t = markdown_text(F.col("content"))
+    form = F.coalesce(F.col("extra")["role"], F.col("role"), F.lit("normal_text"))
+    line = F.coalesce(*(F.when(form == r, filled(f, t)) for r, f in TEXT_FORMS.items()))
+    return texts.where("content is not null").select("doc_id", "page", F.lit(0).alias("kind"), "id", _at(2).alias("y0"), _at(1).alias("x0"), F.when(t == "", "").otherwise(F.coalesce(line, t)).alias("line"))
+
+
+def table_lines(tables: DataFrame) -> DataFrame:
+    name, summary, body = (blank for blank in (F.nullif("name", F.lit("")), F.nullif(F.col("extra")["summary"], F.lit("")), F.nullif("markdown", F.lit(""))))
+    line = F.concat_ws("\n", filled(TABLE_NAME, name), filled(TABLE_SUMMARY, summary), F.coalesce(body, F.lit(TABLE_EMPTY)), F.lit("\n"))
+    return tables.select("doc_id", "page", F.lit(1).alias("kind"), "id", _at(2).alias("y0"), _at(1).alias("x0"), line.alias("line"))
+
+
+def image_lines(images: DataFrame) -> DataFrame:
+    name, caption = F.regexp_extract("file_path", r"([^/]+)$", 1), F.nullif("caption", F.lit(""))
+    line = F.concat_ws("\n", filled(IMAGE_LINK, F.coalesce(caption, F.lit("Image")), name, name), filled(IMAGE_CAPTION, caption), filled(IMAGE_FILE, name, name))
+    return images.select("doc_id", "page", F.lit(2).alias("kind"), "id", _at(2).alias("y0"), _at(1).alias("x0"), line.alias("line"))
+
+
+def markdown(texts: DataFrame, *others: DataFrame) -> DataFrame:
+    """One Markdown text a document page: text blocks and what ``table_lines`` and ``image_lines`` give, by their place on the
+    page from the top and the left; among equals texts, tables, images. Rows without a page go to page 1."""
+    rows = reduce(DataFrame.unionByName, [text_lines(texts), *others]).select("doc_id", F.coalesce("page", F.lit(1)).alias("page"), F.struct("y0", "x0", "kind", "id", "line").alias("x")).distinct()
     pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return pages.select("doc_id", "page", F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n\n"), F.array_join(F.transform("x", lambda e: e["line"]), "\n\n")).alias("markdown"))
+    head = filled(PAGE_HEAD, F.col("page").cast("string"))
+    return pages.select("doc_id", "page", F.concat(head, F.lit("\n"), F.array_join(F.transform("x", lambda e: e["line"]), "\n")).alias("markdown"))
+
+
+def document_heads(meta: DataFrame) -> DataFrame:
+    """The head of each document's Markdown: name, type, date (fixed values)."""
+    text = filled("# 📄 เอกสาร: {}\n- **ประเภท:** {}\n- **วันที่ประมวลผล:** {}\n---\n", *(F.coalesce(c, F.lit("Unknown")) for c in ("file_name", "doc_type", "ingested_at")))
+    return meta.groupBy("doc_id").agg(F.max(F.struct(*(F.coalesce(c, F.lit("Unknown")).alias(c) for c in ("ingested_at", "file_name", "doc_type")))).alias("m")).select("doc_id", "m.*").select("doc_id", text.alias("head"))
 
 
 def best_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
@@ -241,8 +276,8 @@ def best_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
 
 def size_chunks(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """Chunk number of a page's blocks by size alone: a block that would overrun ``most`` starts a chunk."""
-    items = F.array_sort(F.collect_list(F.struct("id", F.length("content").alias("n"))))
-    pages = blocks.groupBy("doc_id", "page").agg(items.alias("b"))
+    items = F.array_sort(F.collect_list(F.struct("id", F.coalesce(F.length("content"), F.lit(0)).alias("n"))))
+    pages = blocks.withColumn("page", F.coalesce("page", F.lit(1))).groupBy("doc_id", "page").agg(items.alias("b"))
     start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("n"), F.array().cast("array<struct<id:string,chunk:int>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

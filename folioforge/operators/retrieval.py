@@ -1,19 +1,28 @@
 """Lexical, dense and fused retrieval, reranking and context expansion as DataFrame plans.
 
-Query sides are a handful of rows; broadcasts are only of these. Corpus sides are aggregated before every shuffle.
+A set of queries meets the corpus in blocks: queries are packed some to a row, and so are the rows of the corpus where they
+lie; each pair of blocks is scored as a matrix and gives its best rows only. So neither side need be small, no pair of rows is
+ever a row, and a block of queries (whose size is fixed) is all that is sent to a task besides the corpus. Corpus statistics
+are aggregated once, into an index that later searches reuse as long as the corpus stays the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import tokens
+from folioforge.functions.text import sanitize_id, strip_context, tokens
+from folioforge.session import stage
 
 K1, B, IDF_FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
 TOP_N, MIN_SCORE, BOOST, WINDOW_CHARS = 30, 0.05, 0.3, 3000
+DENSE_BLOCK, TEXT_BLOCK, CORPUS_BLOCK = 256, 64, 2048
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,28 +32,104 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return exploded.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: list[tuple[int, str]], doc: str = "doc_id", text: str = "text", top: int = TOP_N) -> DataFrame:
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """``size`` consecutive rows of a partition as one row of arrays; nothing is moved."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in part.columns], part.schema.names)
+
+    return rows.mapInArrow(work, ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in rows.schema.fields))
+
+
+def searched(corpus: DataFrame, queries: DataFrame, block: int, score: Callable[[pd.Series], np.ndarray], places: int, top: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the best ``top`` rows of ``corpus`` (doc_id, ...) for each of ``queries`` (query_id, ...).
+    ``score`` gives the matrix queries x rows of a pair of blocks; scores are rounded to ``places``, ties go to the smaller
+    doc_id."""
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+    many = max(1, -(-queries.count() // block))
+    asked = packed(queries.repartition(many, F.xxhash64("query_id")), block)
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for _, pair in pdf.iterrows():
+                ids = np.array(pair["doc_id"])
+                s = np.round(score(pair), places)
+                for q, line in zip(pair["query_id"], s):
+                    best = np.lexsort((ids, -line))[:top]
+                    yield pd.DataFrame({"query_id": q, "doc_id": ids[best], "score": line[best]})
+
+    met = packed(corpus, CORPUS_BLOCK).crossJoin(asked)  # of blocks: a stated set of queries against all rows
+    return ranked(met.mapInPandas(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double"), "query_id", top)
+
+
+class TextIndex:
+    """Terms of every document and the corpus's statistics, staged once. ``df`` is distributed; two numbers are held here."""
+
+    def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> None:
+        t = tokens(F.coalesce(F.col(text), F.lit("")))
+        terms = docs.select(F.col(doc).alias("doc_id"), t.alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
+        self.docs = stage(terms)
+        self.n, self.avgdl = self.docs.agg(F.count("*"), F.avg("dl")).first()
+        self.df = stage(self.docs.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+        idf = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        self.floor = (self.df.agg(F.avg(idf)).first()[0] or 0.0) * IDF_FLOOR
+        self.weights = self.df.select("token", F.when(idf < 0, F.lit(self.floor)).otherwise(idf).alias("idf"))
+
+    def search(self, queries: DataFrame, top: int = TOP_N) -> DataFrame:
+        """query_id, doc_id, score, rank of the best ``top`` documents by BM25 for ``queries`` (query_id, query)."""
+        q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+        q = q.join(self.weights, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("qtf") * F.col("idf")).alias("w"))).alias("x"))
+        q = stage(q.select("query_id", F.col("x.token").alias("term"), F.col("x.w").alias("w")))  # a row a query; counted and packed
+        avgdl = self.avgdl or 1.0
+
+        def score(pair: pd.Series) -> np.ndarray:
+            place = {t: k for k, t in enumerate(dict.fromkeys(t for terms in pair["term"] for t in terms))}
+            weight = np.zeros((len(pair["term"]), len(place)))
+            for row, terms, w in zip(weight, pair["term"], pair["w"]):
+                row[[place[t] for t in terms]] = w
+            out = np.zeros((len(weight), len(pair["doc_id"])))
+            for k, (dl, terms) in enumerate(zip(pair["dl"], pair["t"])):
+                at = [i for t in terms if (i := place.get(t)) is not None]
+                if at:
+                    seen, tf = np.unique(at, return_counts=True)
+                    out[:, k] = weight[:, seen] @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
+            return out
+
+        return searched(self.docs, q, TEXT_BLOCK, score, 6, top).where("score > 0")
+
+
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def text_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> TextIndex:
+    """The index of ``docs``, built again only when its files have changed: the version is their names, sizes and times."""
+    jvm, conf = docs.sparkSession.sparkContext._jvm, docs.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    files = []
+    for name in sorted(docs.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        s = p.getFileSystem(conf).getFileStatus(p)
+        files.append((name, s.getLen(), s.getModificationTime()))
+    key = (docs.sparkSession.sparkContext.applicationId, tuple(docs.columns), doc, text, tuple(files))
+    if not files:
+        return TextIndex(docs, doc, text)
+    for old in [k for k in _INDEXES if k[:4] == key[:4] and {f[0] for f in k[4]} & {f[0] for f in files} and k != key]:
+        del _INDEXES[old]
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(docs, doc, text)
+    return _INDEXES[key]
+
+
+def bm25(docs: DataFrame, queries: DataFrame | list[tuple[int, str]], doc: str = "doc_id", text: str = "text", top: int = TOP_N) -> DataFrame:
     """query_id, doc_id, score, rank of the best ``top`` documents by BM25 (k1 1.5, b 0.75; idf ln(N-df+.5)-ln(df+.5), a
     negative one replaced by a quarter of the mean idf). Repeated query words count each time. Scores are rounded to six
-    places, ties go to the smaller id, and documents scored zero or less drop out after the cut.
-
-    Only the tokens are exploded once; document frequencies of the whole vocabulary are aggregated map-side."""
-    spark = docs.sparkSession
-    t = tokens(F.coalesce(F.col(text), F.lit("")))
-    sized = docs.select(F.col(doc).alias("doc_id"), t.alias("t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = sized.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).select("token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = idf.agg((F.avg("idf") * IDF_FLOOR).alias("floor"))
-    q = spark.createDataFrame(queries, "query_id int, query string").select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    q = q.groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    wanted = q.select("token").distinct()
-    weights = idf.join(F.broadcast(wanted), "token").join(F.broadcast(floor)).select("token", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hits = sized.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token")).join(F.broadcast(wanted), "token").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    w = weights.join(q, "token")  # as many rows as the queries have words
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(w), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, "query_id", top).where("score > 0")
+    places, ties go to the smaller id, and documents scored zero or less drop out after the cut."""
+    if isinstance(queries, list):
+        queries = docs.sparkSession.createDataFrame(queries, "query_id int, query string")
+    return text_index(docs, doc, text).search(queries, top)
 
 
 def ranked(scored: DataFrame, by: str, top: int) -> DataFrame:
@@ -52,27 +137,29 @@ def ranked(scored: DataFrame, by: str, top: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
+def _dot(pair: pd.Series) -> np.ndarray:
+    return np.stack(pair["q"]).astype(float) @ np.stack(pair["v"]).astype(float).T
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP_N, where: Column | None = None, vec: str = "embedding") -> DataFrame:
-    """query_id, doc_id, score (rounded to five places), rank. ``queries`` (query_id, q) are few; filters run before the
-    scores, so a filtered search is exact."""
+    """query_id, doc_id, score (inner product, rounded to five places), rank for ``queries`` (query_id, q). Filters run before
+    the scores, so a filtered search is exact. Rows without a vector take no part."""
     if where is not None:
         vectors = vectors.where(where)
-    pairs = vectors.select("doc_id", vec).join(F.broadcast(queries.select("query_id", "q")))
-    scored = pairs.select("query_id", "doc_id", F.round(dot(F.col(vec), F.col("q")), 5).alias("score"))
-    return ranked(scored, "query_id", top)
+    known = vectors.where(F.col(vec).isNotNull()).select("doc_id", F.col(vec).alias("v"))
+    return searched(known, queries.where("q is not null").select("query_id", "q"), DENSE_BLOCK, _dot, 5, top)
 
 
 def conjunction(**equal: object) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k) == v for k, v in equal.items()), F.lit(True))
 
 
-def post_filter(docs: DataFrame, sources: list[str] | None = None, doc_types: list[str] | None = None, custom: dict[str, str] | None = None) -> DataFrame:
-    """Membership and string-equality filters; a missing value equals the empty string."""
+def post_filter(docs: DataFrame, sources: list[str] | None = None, doc_types: list[str] | None = None, custom: dict[str, str] | None = None, doc_ids: list[str] | None = None) -> DataFrame:
+    """Membership and string-equality filters; document ids are compared in their sanitised form; a missing value equals the
+    empty string."""
     out = docs
+    if doc_ids:
+        out = out.where(sanitize_id(F.col("doc_id").cast("string")).isin(*(sanitize_id(F.lit(x)) for x in doc_ids)))
     if sources:
         out = out.where(F.col("source").isin(sources))
     if doc_types:
@@ -82,40 +169,88 @@ def post_filter(docs: DataFrame, sources: list[str] | None = None, doc_types: li
     return out
 
 
-def rrf(*lists: DataFrame, top: int = 10, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of rank lists (query_id, doc_id, rank): doc_id, rrf, rank. Lists of all queries are summed;
-    ties go to the smaller id."""
-    all_ = reduce(DataFrame.unionByName, (x.select("doc_id", "rank") for x in lists))
-    fused = all_.groupBy("doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("rrf")).orderBy(F.desc("rrf"), "doc_id").limit(top)
-    return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rrf"), "doc_id")))  # ``top`` rows
+def filtered_search(vectors: DataFrame, queries: DataFrame, top: int = TOP_N, **lists: list) -> DataFrame:
+    """Vector search under filters (column = list of values). Single values filter the vectors themselves; queries for which
+    that finds nothing, and all queries when no filter has a single value, take the best max(15 top, 100) of all vectors,
+    filtered afterwards. Blank queries are none."""
+    single = {c: v[0] for c, v in lists.items() if len(v) == 1}
+    asked = queries.where("q is not null")
+    native = vector_topk(vectors, asked, top, conjunction(**single)) if single else None
+    left = asked if native is None else asked.join(native.select("query_id").distinct(), "query_id", "left_anti")
+    keep = reduce(lambda a, b: a & b, (F.col(c).isin(*v) for c, v in lists.items() if v), F.lit(True))
+    wide = vector_topk(vectors, left, max(15 * top, 100)).drop("rank").join(vectors.where(keep).select("doc_id"), "doc_id", "left_semi")
+    late = ranked(wide.select("query_id", "doc_id", "score"), "query_id", top)
+    return late if native is None else native.unionByName(late)
+
+
+def rrf(*lists: DataFrame, top: int = 10, k: int = RRF_K, by: str | None = None) -> DataFrame:
+    """Reciprocal rank fusion of rank lists (doc_id, rank, and ``by`` if the fusion is per query): doc_id, rrf, rank. Among
+    equals the one that an earlier list ranks first goes first."""
+    own = [by] if by else []
+    all_ = reduce(DataFrame.unionByName, (x.select(*own, "doc_id", "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)))
+    fused = all_.groupBy(*own, "doc_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("rrf"), F.min(F.struct("list", "rank")).alias("seen"))
+    order = [F.desc("rrf"), F.col("seen"), F.col("doc_id")]
+    if by:
+        return fused.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= top).drop("seen")
+    best = fused.orderBy(*order).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("seen")  # ``top`` rows
+
+
+def only_documents(found: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """A rank list (query_id, doc_id, rank) without documents outside ``doc_ids``, ranked anew: the filter comes after the cut."""
+    kept = found.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+def rerank_pool(top: int, intents: bool = True) -> int:
+    """How many rows are reranked so that a boost can still move some up."""
+    return max(2 * top, top + 3) if intents else top
 
 
 def threshold_boost(docs: DataFrame, wanted_intent: str | None, top: int = 5, least: float = MIN_SCORE) -> DataFrame:
     """``docs`` (doc_id, score, intents, prev_rank): drop scores below ``least`` unless none reaches it, add BOOST where the
-    intent matches, keep the best ``top``. A missing score is 1; a few rows, so one partition is right."""
-    all_rows = Window.partitionBy()
+    intent matches, keep the best ``top``. A missing score is 1; a pool of a few rows, so one partition is right."""
+    one = docs.withColumn("query_id", F.lit(0)).withColumn("wanted", F.lit(wanted_intent).cast("string"))
+    return boosted(one, top, least).orderBy("rank").select("doc_id", "final")
+
+
+def boosted(docs: DataFrame, top: int = 5, least: float = MIN_SCORE) -> DataFrame:
+    """The rule of ``threshold_boost`` for each query_id of ``docs``, which also hold ``wanted``, the query's intent or null:
+    query_id, doc_id, final, rank. Pools of some rows a query."""
+    pool = Window.partitionBy("query_id")
     score = F.coalesce("score", F.lit(1.0))
-    kept = docs.withColumn("score", score).withColumn("any", F.max(F.col("score") >= least).over(all_rows)).where((F.col("score") >= least) | ~F.col("any"))
-    match = F.array_contains("intents", wanted_intent) if wanted_intent else F.lit(False)
-    boosted = kept.withColumn("final", F.round(F.col("score") + F.when(match, BOOST).otherwise(0.0), 6))
-    return boosted.orderBy(F.desc("final"), "prev_rank").limit(top).select("doc_id", "final")
+    kept = docs.withColumn("score", score).withColumn("any", F.max(F.col("score") >= least).over(pool)).where((F.col("score") >= least) | ~F.col("any"))
+    match = F.coalesce(F.array_contains("intents", F.col("wanted")), F.lit(False))
+    scored = kept.withColumn("final", F.round(F.col("score") + F.when(match, BOOST).otherwise(0.0), 6))
+    return scored.withColumn("rank", F.row_number().over(pool.orderBy(F.desc("final"), "prev_rank"))).where(F.col("rank") <= top).select("query_id", "doc_id", "final", "rank")
 
 
 def page_window(matched: DataFrame, chunks: DataFrame, most: int = WINDOW_CHARS) -> DataFrame:
-    """``matched`` (doc_id, page, chunk_id, content, rank) -> per first match of a page its text followed by the page's
-    other chunks in id order, up to the first that would exceed ``most`` characters. Blank and equal texts are skipped."""
-    first = matched.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("rank"))).where("k = 1").drop("k")
+    """``matched`` (doc_id, page, chunk_id, content, rank, and query_id if there are several queries) -> per first match of a
+    page its text followed by the page's other chunks in id order, up to the first that would exceed ``most`` characters.
+    Blank and equal texts are skipped."""
+    own = ["query_id"] if "query_id" in matched.columns else []
+    first = matched.withColumn("k", F.row_number().over(Window.partitionBy(*own, "doc_id", "page").orderBy("rank"))).where("k = 1").drop("k")
     near = chunks.select("doc_id", "page", F.col("chunk_id").alias("near_id"), F.col("content").alias("near"))
     pairs = first.join(near, (first["doc_id"] == near["doc_id"]) & first["page"].eqNullSafe(near["page"]) & (F.trim("near") != "") & (F.col("near") != F.col("content")), "left")
-    pairs = pairs.select(first["doc_id"], first["page"], "chunk_id", "content", "rank", "near_id", "near")
-    running = F.sum(F.length("near")).over(Window.partitionBy("chunk_id").orderBy("near_id").rowsBetween(Window.unboundedPreceding, 0))
+    pairs = pairs.select(*own, first["doc_id"], first["page"], "chunk_id", "content", "rank", "near_id", "near")
+    running = F.sum(F.length("near")).over(Window.partitionBy(*own, "chunk_id").orderBy("near_id").rowsBetween(Window.unboundedPreceding, 0))
     kept = pairs.withColumn("running", running).withColumn("near", F.when(F.length("content") + F.col("running") <= most, F.col("near")))
-    parts = F.array_sort(F.collect_list(F.when(F.col("near").isNotNull(), F.struct("near_id", "near"))))
-    return kept.groupBy("doc_id", "page", "chunk_id", "rank", "content").agg(parts.alias("p")).select(
-        "doc_id", "page", "chunk_id", "rank", F.array_join(F.concat(F.array("content"), F.transform("p", lambda x: x["near"])), "\n\n").alias("window")
+    parts = F.array_sort(F.collect_list(F.when(F.col("near").isNotNull(), F.struct("near_id", "near"))))  # at most ``most`` characters
+    return kept.groupBy(*own, "doc_id", "page", "chunk_id", "rank", "content").agg(parts.alias("p")).select(
+        *own, "doc_id", "page", "chunk_id", "rank", F.array_join(F.concat(F.array("content"), F.transform("p", lambda x: x["near"])), "\n\n").alias("window")
     )
 
 
+def sources(found: DataFrame) -> DataFrame:
+    """What is shown of the passages found (``window``, the original content or the text behind its contextual prefix)."""
+    shown = strip_context(F.col("window"))
+    if "orig_content" in found.columns:
+        shown = F.coalesce(F.nullif(F.col("orig_content"), F.lit("")), shown)
+    own = [c for c in ("query_id", "rank", "doc_id", "page", "chunk_id", "source") if c in found.columns]
+    return found.select(*own, shown.alias("content"))
+
+
 def context(sources: DataFrame, cut: int | None = None) -> DataFrame:
     """One row: the numbered sources (rank, doc_id, page, content) joined into the text of a prompt."""
     body = F.substring("content", 1, cut) if cut else F.col("content")

@@ -83,7 +83,7 @@ def inferred_header(columns: Column, rows: Column) -> Column:
     """Struct of columns and rows: where columns are missing, the first row becomes the header if at least half of its
     cells (and one) hold letters."""
     first = F.try_element_at(rows, F.lit(1))
-    alphabetic = F.size(F.filter(first, lambda c: c.rlike(r"\p{L}")))
+    alphabetic = F.size(F.filter(first, lambda c: c.rlike("[A-Za-z\u0e00-\u0e7f]")))
     use = (F.coalesce(F.size(columns), F.lit(0)) <= 0) & (F.size(rows) > 0) & (alphabetic >= F.greatest(F.lit(1), F.floor(F.size(first) / 2)))
     return F.struct(F.when(use, first).otherwise(columns).alias("columns"), F.when(use, F.slice(rows, 2, 100_000_000)).otherwise(rows).alias("rows"))
 

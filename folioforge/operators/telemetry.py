@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import strip
+
 UNKNOWN = "unknown"
 
 
@@ -37,10 +39,11 @@ def recent(log: DataFrame, n: int) -> DataFrame:
 
 
 def priced(log: DataFrame, prices: DataFrame) -> DataFrame:
-    """Unit costs by the price table (a few rows): exact model, then without a provider prefix, then without case, else
-    zero."""
+    """Unit costs by the price table (a few rows): the exact model, then without the prefix ``openai/``, then the whole name
+    without case, else zero."""
     p = prices.select(F.col("model").alias("m"), "rate_input_per_m", "rate_output_per_m")
-    keys = [F.col("model"), F.regexp_replace("model", "^[^/]+/", ""), F.lower(F.regexp_replace("model", "^[^/]+/", ""))]
+    name = strip(F.col("model"))
+    keys = [name, F.when(name.startswith("openai/"), F.substring(name, 8, 1000)), F.lower(name)]
     out = log.drop("rate_input_per_m", "rate_output_per_m")
     for k, key in enumerate(keys):
         side = p.select((F.lower("m") if k == 2 else F.col("m")).alias(f"m{k}"), F.struct("rate_input_per_m", "rate_output_per_m").alias(f"p{k}")).dropDuplicates([f"m{k}"])
@@ -51,6 +54,30 @@ def priced(log: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("unit_cost", F.round(cost, 8)).drop("m0", "m1", "m2", "p0", "p1", "p2")
 
 
+def scope(user: str, admin: bool, wanted: str) -> str | None:
+    """Whose costs a request sees: null for everybody's. ``all`` is for administrators; ``system`` is global."""
+    if wanted == "system" or wanted == "all" and admin:
+        return None
+    return user
+
+
+def of_user(log: DataFrame, user: str | None) -> DataFrame:
+    """The rows of a user; all rows without one, or for a number of zero or less."""
+    if user is None or user.lstrip("-").isdigit() and int(user) <= 0:
+        return log
+    return log.where(F.coalesce("user_id", F.lit("0")) == user)
+
+
+def clamped(days: int, most: int = 30) -> int:
+    return max(1, min(days, most))
+
+
+def spent(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
+    """What the totals (``by``, cost) grew by between two readings, never less than nothing."""
+    b = before.select(by, F.col("cost").alias("was"))
+    return after.join(b, by, "left").select(by, F.round(F.greatest(F.lit(0.0), F.col("cost") - F.coalesce("was", F.lit(0.0))), 6).alias("spent"))
+
+
 def daily_level(log: DataFrame, budget: float) -> DataFrame:
     """Cost of each day and how much of a daily budget it is."""
     days = log.groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost"))

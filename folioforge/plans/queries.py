@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import classify as C
@@ -16,44 +14,14 @@ from folioforge.operators import store as S
 from folioforge.operators import tables as T
 from folioforge.operators import telemetry as M
 from folioforge.operators.validation import validate
+from folioforge.plans.registry import BLOCKS as _BLOCKS
+from folioforge.plans.registry import CHUNKS as _CHUNKS
+from folioforge.plans.registry import ORACLES, QUERIES, blocks_of, chunks_of, images_of, query, sql_between_thai, sql_printable, sql_shift_years, sql_strip, sql_thai_spacing, tables_of
+from folioforge.plans.registry import TABLES as _TABLES
+from folioforge.plans.registry import any_of as _any
 from folioforge.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def blocks_of(spark: SparkSession, d: str) -> DataFrame:
-    """Text blocks, each id once."""
-    return table(spark, d, "text_blocks").dropDuplicates(["id"])
-
-
-def tables_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "table_blocks").dropDuplicates(["id"])
-
-
-def chunks_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").dropDuplicates(["id"])
-
-
-_BLOCKS = "(SELECT DISTINCT ON (id) * FROM text_blocks)"
-_TABLES = "(SELECT DISTINCT ON (id) * FROM table_blocks)"
-_CHUNKS = "(SELECT DISTINCT ON (id) * FROM chunks)"
-
-
-def _any(col: str, words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- text -----------------------------------------------------------------------------------------------------------
 @query(
@@ -73,39 +41,42 @@ def normalize_ws(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.normalize_whitespace(t)).alias("digest"))
 
 
-@query()
+@query(
+    f"""SELECT id, printable, spaced, line, md FROM (SELECT id, {sql_printable('content')} AS printable, {sql_thai_spacing('content')} AS spaced,
+       {sql_strip(sql_between_thai("regexp_replace(" + sql_between_thai('content', '[\\n]+') + ", '\\s+', ' ', 'g')", ' +'))} AS line,
+       {sql_thai_spacing("regexp_replace(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')")} AS md FROM {_BLOCKS}) WHERE spaced <> ''"""
+)
 def clean_blocks(spark, d):
     b = blocks_of(spark, d).select("id", X.printable(F.col("content")).alias("printable"), X.thai_spacing(F.col("content")).alias("spaced"), X.thai_one_line(F.col("content")).alias("line"), X.markdown_text(F.col("content")).alias("md"))
     return b.where("spaced <> ''")
 
 
 @query(
-    f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(h, '<script.*?</script>', '', 'gis'), '\\son\\w+\\s*=', ' data-blocked-event=', 'gi'), 'javascript:', 'blocked:', 'gi') AS safe,
+    f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(h, '<script.*?>.*?</script>', '', 'gis'), ' on\\w+=', ' data-blocked-event=', 'gi'), 'javascript:', 'blocked:', 'gi') AS safe,
        trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS bare,
        array_to_string(list_transform(regexp_extract_all(h, '(?is)<th[^>]*>(.*?)</th>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', ' ', 'g'))), ' ') AS headers
-       FROM (SELECT id, coalesce(html_content, '') || '<script>alert(1)</script><th class="a"><b>Total</b></th><a onclick = "x" href="JavaScript:y">z</a>' AS h FROM {_TABLES})"""
+       FROM (SELECT id, coalesce(html_content, '') || '<script>alert(1)</script><th class="a"><b>Total</b></th><a onclick="x" onLoad = "w" href="JavaScript:y">z</a>' AS h FROM {_TABLES})"""
 )
 def html_sanitize(spark, d):
-    h = F.concat(F.coalesce("html_content", F.lit("")), F.lit('<script>alert(1)</script><th class="a"><b>Total</b></th><a onclick = "x" href="JavaScript:y">z</a>'))
+    h = F.concat(F.coalesce("html_content", F.lit("")), F.lit('<script>alert(1)</script><th class="a"><b>Total</b></th><a onclick="x" onLoad = "w" href="JavaScript:y">z</a>'))
     return tables_of(spark, d).select("id", X.sanitize_html(h).alias("safe"), X.strip_tags(h).alias("bare"), X.html_headers(h).alias("headers"))
 
 
 @query(
-    f"""SELECT id, CASE WHEN length(html_content) <= 300 THEN html_content WHEN contains(left(html_content, 300), '</tr>')
-       THEN left(html_content, 300 - strpos(reverse(left(html_content, 300)), '>rt/<') + 1) ELSE left(html_content, 300) END AS cut FROM {_TABLES} WHERE html_content IS NOT NULL"""
+    f"""SELECT id, CASE WHEN length(html_content) <= 300 THEN html_content WHEN len(regexp_extract_all(c, '<table')) > len(regexp_extract_all(c, '</table>')) THEN c || '</table>' ELSE c END AS cut
+       FROM (SELECT *, CASE WHEN contains(left(html_content, 300), '</tr>') THEN left(html_content, 300 - strpos(reverse(left(html_content, 300)), '>rt/<') + 1) ELSE left(html_content, 300) END AS c
+       FROM {_TABLES} WHERE html_content IS NOT NULL)"""
 )
 def html_truncate(spark, d):
     return tables_of(spark, d).where("html_content is not null").select("id", X.truncate_html(F.col("html_content"), 300).alias("cut"))
 
 
 @query(
-    f"""SELECT id, left(trim(regexp_replace(regexp_replace(l, '^\\s*(?:\\d+(?:\\.\\d+)*[.)]?|[A-Za-z][.)])\\s+', ''), '[ \\t]+', ' ', 'g')), 150) AS title,
-       CASE WHEN trim(coalesce(section, '')) = '' THEN 'General' WHEN length(trim(section)) > 50 THEN left(trim(section), 47) || '...' ELSE trim(section) END AS shown
-       FROM (SELECT id, section, regexp_replace(split_part(content, chr(10), 1), '[^\\x20-\\x7E฀-๿]', '', 'g') AS l FROM {_BLOCKS})"""
+    f"""SELECT id, left(regexp_replace(regexp_replace({sql_strip('content')}, '^(?:[0-9]+(?:[.][0-9]+)*|[A-Z])[.)]\\s*', ''), '[\\s\\x0b\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g'), 150) AS title,
+       CASE WHEN trim(coalesce(section, '')) = '' THEN 'General' WHEN length(trim(section)) > 50 THEN left(trim(section), 47) || '...' ELSE trim(section) END AS shown FROM {_BLOCKS}"""
 )
 def section_titles(spark, d):
-    line = F.regexp_replace(F.split("content", "\n")[0], r"[^\x20-\x7E฀-๿]", "")
-    return blocks_of(spark, d).select("id", X.section_title(line).alias("title"), X.display_section(F.col("section")).alias("shown"))
+    return blocks_of(spark, d).select("id", X.section_title(F.col("content")).alias("title"), X.display_section(F.col("section")).alias("shown"))
 
 
 @query("""SELECT t AS token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents) GROUP BY t""")
@@ -123,14 +94,25 @@ def meaningful(spark, d):
 
 
 @query(
-    f"""SELECT id, translate(content, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS arabic, translate(content, '0123456789', '๐๑๒๓๔๕๖๗๘๙') AS thai FROM {_BLOCKS} WHERE regexp_matches(content, '[0-9๐-๙]')"""
+    f"""SELECT id, translate(content, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS arabic, translate(content, '0123456789', '๐๑๒๓๔๕๖๗๘๙') AS thai FROM {_BLOCKS}"""
 )
 def digit_scripts(spark, d):
     c = F.col("content")
-    return blocks_of(spark, d).where(c.rlike("[0-9๐-๙]")).select("id", X.to_arabic_digits(c).alias("arabic"), X.to_thai_digits(c).alias("thai"))
+    return blocks_of(spark, d).select("id", X.to_arabic_digits(c).alias("arabic"), X.to_thai_digits(c).alias("thai"))
 
 
-@query()
+_PROBE = "query || ' ปี ๒๕๖๙ งวดที่ห้า 2026'"
+_ARABIC = "translate(q, '๐๑๒๓๔๕๖๗๘๙', '0123456789')"
+_SPELLED = "q"
+for _w, _v in sorted(X.NUMBER_WORDS, key=lambda x: -len(x[0])):
+    _SPELLED = f"replace({_SPELLED}, '{_w}', '{_v}')"
+
+
+@query(
+    f"""SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY k) - 1 AS INT) AS place, variant FROM (SELECT query, variant, min(k) AS k FROM (
+       SELECT query, unnest(forms) AS variant, unnest(range(len(forms))) AS k FROM (SELECT query, [q, {_ARABIC}, translate(q, '0123456789', '๐๑๒๓๔๕๖๗๘๙'), w, translate(w, '0123456789', '๐๑๒๓๔๕๖๗๘๙'),
+       {sql_shift_years(_ARABIC, -543)}, {sql_shift_years(_ARABIC, 543)}] AS forms FROM (SELECT query, q, {_SPELLED} AS w FROM (SELECT DISTINCT query, {_PROBE} AS q FROM qa_log)))) GROUP BY query, variant)"""
+)
 def query_variants(spark, d):
     q = table(spark, d, "qa_log").select("query").distinct()
     probe = F.concat("query", F.lit(" ปี ๒๕๖๙ งวดที่ห้า 2026"))
@@ -193,12 +175,16 @@ def intent_tags(spark, d):
     return b.select("id", F.array_join("names", ",").alias("intents"), C.primary_intent(F.col("names")).alias("primary_intent"), "scope")
 
 
+def _wide(pattern: str) -> str:
+    return pattern.replace(r"\s", r"[\s\p{Z}]").replace(r"\d", "[0-9]")
+
+
 @query(
-    f"""SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '{C.MONEY}'), regexp_extract_all(t, '{C.YEAR}', 1), regexp_extract_all(t, '{C.THAI_NAME}'))))[:10], '|') AS entities
-       FROM (SELECT id, left(replace(lower(coalesce(content, '') || ' 12,500.50 baht ' || coalesce(section, '')), chr(160), ' '), 5000) AS t FROM {_BLOCKS} WHERE regexp_matches(content, '^[\\x0A\\x20-\\x7E฀-๙]*$'))"""
+    f"""SELECT id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(t, '{_wide(C.MONEY)}'), regexp_extract_all(t, '{_wide(C.YEAR)}', 1), regexp_extract_all(t, '{_wide(C.THAI_NAME)}'))))[:10], '|') AS entities
+       FROM (SELECT id, left(replace(lower(coalesce(content, '') || ' 12,500.50 baht ' || coalesce(section, '')), chr(160), ' '), 5000) AS t FROM {_BLOCKS})"""
 )
 def entity_lists(spark, d):
-    b = blocks_of(spark, d)  # all of them; the SQL twin covers the plain ones only
+    b = blocks_of(spark, d)
     names = C.entities(F.concat(F.coalesce("content", F.lit("")), F.lit(" 12,500.50 baht")), F.col("section"))
     return b.select("id", F.array_join(names, "|").alias("entities"))
 
@@ -243,7 +229,7 @@ _BARE = "replace(content, ' ', '')"
     f"""SELECT id, pos, CASE WHEN {_any(_BARE, C.QNA_HINTS)} OR {_any('lower(content)', C.EXAM)} THEN 'qna'
        WHEN (h AND (pos < 10 OR coalesce(page, 0) <= 2)) OR (pos = 0 AND length(content) <= 120) THEN 'header'
        {' '.join(f"WHEN {_any('lower(content)', w)} THEN '{n}'" for n, w in C.SECTIONS)} ELSE 'other' END AS section_rule
-       FROM (SELECT *, coalesce(extra['is_heading'] = 'true', false) AS h, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 1), id) - 1 AS INT) AS pos FROM {_BLOCKS})"""
+       FROM (SELECT * REPLACE ({sql_strip('content')} AS content), coalesce(extra['is_heading'] = 'true', false) AS h, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 1), id) - 1 AS INT) AS pos FROM {_BLOCKS})"""
 )
 def section_rules(spark, d):
     heading = F.coalesce(F.col("extra")["is_heading"] == "true", F.lit(False))
@@ -251,10 +237,25 @@ def section_rules(spark, d):
     return b.select("id", "pos", C.section_rule(F.col("content"), F.col("h"), F.col("pos"), F.col("page")).alias("section_rule"))
 
 
-@query()
+_ROLE = {"text": "c", "lower": "lower(c)"}
+_ROLE_RULES = {
+    "short question": "(contains(c, '?') AND length(c) < 200)", "title": "(s = 'header' AND (h OR length(c) < 120))", "row": "(s = 'transactions' AND length(c) BETWEEN 10 AND 200)",
+    "numbered clause": "(s = 'legal_section' AND regexp_matches(c, '^[0-9]+[.]'))",
+}
+
+
+def _role_sql(rule: tuple) -> str:
+    return " OR ".join(_ROLE_RULES[w] if at == "rule" else f"starts_with(replace(c, ' ', ''), '{w[0]}')" if at == "bare" else _any(_ROLE[at], w) for at, w in rule)
+
+
+@query(
+    f"""SELECT id, CASE {' '.join(f"WHEN {_role_sql(rule)} THEN '{role}'" for role, rule in C.TEXT_ROLES)} ELSE 'other' END AS text_role
+       FROM (SELECT id, {sql_strip('content')} AS c, coalesce(extra['section'], lower(section), '') AS s, coalesce(extra['is_heading'] = 'true', false) AS h FROM {_BLOCKS})"""
+)
 def role_rules(spark, d):
+    """The tag in extra decides; files that lack it keep their section in the column."""
     heading = F.coalesce(F.col("extra")["is_heading"] == "true", F.lit(False))
-    return blocks_of(spark, d).select("id", C.text_role(F.col("content"), F.lower("section"), heading).alias("text_role"))
+    return blocks_of(spark, d).select("id", C.text_role(F.col("content"), F.coalesce(F.col("extra")["section"], F.lower("section")), heading).alias("text_role"))
 
 
 # --- tables ---------------------------------------------------------------------------------------------------------
@@ -327,81 +328,7 @@ def split_tables(spark, d):
     return T.split_by_headers(rows, "รายการ|total|Total")
 
 
-# --- retrieval ------------------------------------------------------------------------------------------------------
-ASKED = [(1, "the mandatory delivery of the corrected database"), (2, "insurance committee shipment"), (3, "ใบแจ้งหนี้ report manual total")]
-PROBES = (0, 1, 2)
-
-
-def _bm25_sql(queries: list[tuple[int, str]], top: int = 30) -> str:
-    rows = ", ".join(f"({i}, '{q}')" for i, q in queries)
-    return f"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
-      st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-      dfs AS (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS token FROM tok) GROUP BY token),
-      raw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfs, st),
-      idf AS (SELECT token, CASE WHEN idf < 0 THEN (SELECT 0.25 * avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-      q AS (SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM (VALUES {rows}) v(query_id, query)) GROUP BY ALL),
-      hit AS (SELECT doc_id, token, len(any_value(t)) AS dl, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS token FROM tok) WHERE token IN (SELECT token FROM q) GROUP BY doc_id, token),
-      sc AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM hit JOIN q USING (token) JOIN idf USING (token), st GROUP BY query_id, doc_id),
-      bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM sc QUALIFY rank <= {top}),
-      bm25 AS (SELECT query_id, doc_id, score, rank FROM bm WHERE score > 0)"""
-
-
-def _vec_sql(ids: tuple[int, ...], where: str = "TRUE", top: int = 30) -> str:
-    return f"""vec AS (SELECT q.vec_id + 1 AS query_id, e.vec_id AS doc_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 5) AS score,
-      CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) AS INT) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN {ids if len(ids) > 1 else f'({ids[0]})'}) q WHERE {where} QUALIFY rank <= {top})"""
-
-
-def _vectors(spark: SparkSession, d: str, ids: tuple[int, ...] = PROBES) -> tuple[DataFrame, DataFrame]:
-    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return v, v.where(F.col("doc_id").isin(*ids)).select((F.col("doc_id") + 1).alias("query_id"), F.col("embedding").alias("q"))
-
-
-@query(_bm25_sql(ASKED) + " SELECT * FROM bm25")
-def bm25_topk(spark, d):
-    return R.bm25(table(spark, d, "documents"), ASKED)
-
-
-@query("WITH " + _vec_sql(PROBES) + " SELECT query_id, doc_id, score, rank FROM vec")
-def vector_topk(spark, d):
-    return R.vector_topk(*_vectors(spark, d))
-
-
-@query("WITH " + _vec_sql(PROBES, "e.label = 3") + " SELECT query_id, doc_id, score, rank FROM vec")
-def vector_filtered_topk(spark, d):
-    return R.vector_topk(*_vectors(spark, d), where=F.col("label") == 3)
-
-
-_RRF = "SELECT doc_id, round(sum(1.0 / (60 + rank)), 8) AS rrf FROM ({lists}) GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 10"
-
-
-def _rrf_sql(lists: str) -> str:
-    return f" SELECT doc_id, rrf, CAST(row_number() OVER (ORDER BY rrf DESC, doc_id) AS INT) AS rank FROM ({_RRF.format(lists=lists)})"
-
-
-@query(_bm25_sql(ASKED[:1]) + ", " + _vec_sql((0,)) + _rrf_sql("SELECT doc_id, rank FROM bm25 UNION ALL SELECT doc_id, rank FROM vec"))
-def hybrid_rrf(spark, d):
-    """The flagship: the best documents of a lexical and a dense search, fused by reciprocal rank."""
-    v, q = _vectors(spark, d, (0,))
-    return R.rrf(R.bm25(table(spark, d, "documents"), ASKED[:1]), R.vector_topk(v, q))
-
-
-@query(_bm25_sql(ASKED) + ", " + _vec_sql(PROBES) + _rrf_sql("SELECT doc_id, rank FROM bm25 UNION ALL SELECT doc_id, rank FROM vec"))
-def multi_query_rrf(spark, d):
-    return R.rrf(R.bm25(table(spark, d, "documents"), ASKED), R.vector_topk(*_vectors(spark, d)))
-
-
-@query(
-    _bm25_sql(ASKED[1:2])
-    + """ SELECT doc_id, round(s + CASE WHEN hit THEN 0.3 ELSE 0 END, 6) AS final FROM (SELECT b.doc_id, rank, round(score / 20, 6) AS s, contains(lower(text), 'payment') AS hit FROM bm25 b JOIN documents USING (doc_id))
-          WHERE s >= 0.05 OR NOT (SELECT bool_or(score / 20 >= 0.05) FROM bm25) ORDER BY final DESC, rank LIMIT 5"""
-)
-def rerank_boost(spark, d):
-    docs = table(spark, d, "documents")
-    found = R.bm25(docs, ASKED[1:2])
-    tagged = F.broadcast(found).join(docs.select("doc_id", F.when(F.contains(F.lower("text"), F.lit("payment")), F.array(F.lit("financial"))).otherwise(F.array().cast("array<string>")).alias("intents")), "doc_id")
-    return R.threshold_boost(tagged.select("doc_id", F.round(F.col("score") / 20, 6).alias("score"), "intents", F.col("rank").alias("prev_rank")), "financial")
-
-
+# --- context --------------------------------------------------------------------------------------------------------
 _MATCHED = f"(SELECT id AS chunk_id, doc_id, page, left(content, 700) AS content, hash_rank AS rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY length(content) DESC, id) AS INT) AS hash_rank FROM {_CHUNKS}) WHERE hash_rank <= 40)"
 
 
@@ -474,13 +401,13 @@ def recent_calls(spark, d):
 
 
 @query(
-    """SELECT line_no, round(coalesce(prompt_tokens, 0) * coalesce(p.rate_input_per_m, 0) / 1e6 + coalesce(completion_tokens, 0) * coalesce(p.rate_output_per_m, 0) / 1e6, 8) AS unit_cost
-       FROM (SELECT line_no, prompt_tokens, completion_tokens, CASE line_no % 4 WHEN 0 THEN model WHEN 1 THEN 'x/' || model WHEN 2 THEN 'X/' || upper(model) ELSE 'other' END AS m, model FROM cost_log) c
-       LEFT JOIN model_prices p ON lower(regexp_replace(c.m, '^[^/]+/', '')) = lower(p.model)"""
+    """SELECT line_no, round(coalesce(prompt_tokens, 0) * coalesce(a.rate_input_per_m, b.rate_input_per_m, c.rate_input_per_m, 0) / 1e6 + coalesce(completion_tokens, 0) * coalesce(a.rate_output_per_m, b.rate_output_per_m, c.rate_output_per_m, 0) / 1e6, 8) AS unit_cost
+       FROM (SELECT line_no, prompt_tokens, completion_tokens, CASE line_no % 5 WHEN 0 THEN model WHEN 1 THEN ' openai/' || model || ' ' WHEN 2 THEN upper(model) WHEN 3 THEN 'x/' || model ELSE 'other' END AS m FROM cost_log) l
+       LEFT JOIN model_prices a ON trim(l.m) = a.model LEFT JOIN model_prices b ON starts_with(trim(l.m), 'openai/') AND trim(l.m)[8:] = b.model LEFT JOIN (SELECT DISTINCT ON (lower(model)) * FROM model_prices) c ON lower(trim(l.m)) = lower(c.model)"""
 )
 def price_lookup(spark, d):
-    k = F.col("line_no") % 4
-    asked = F.when(k == 0, F.col("model")).when(k == 1, F.concat(F.lit("x/"), "model")).when(k == 2, F.concat(F.lit("X/"), F.upper("model"))).otherwise("other")
+    k = F.col("line_no") % 5
+    asked = F.when(k == 0, F.col("model")).when(k == 1, F.concat(F.lit(" openai/"), "model", F.lit(" "))).when(k == 2, F.upper("model")).when(k == 3, F.concat(F.lit("x/"), "model")).otherwise("other")
     return M.priced(table(spark, d, "cost_log").withColumn("model", asked), table(spark, d, "model_prices")).select("line_no", "unit_cost")
 
 
@@ -537,7 +464,8 @@ def grade_bucket(spark, d):
     return g.withColumn("grade", C.grade(F.col("pct")))
 
 
-@query("""SELECT event_id, CASE WHEN regexp_matches(lower(event_type), 'error|exception|traceback|fail') THEN 'error' WHEN contains(lower(event_type), 'warn') THEN 'warning' WHEN contains(lower(event_type), 'debug') THEN 'debug' ELSE 'info' END AS level, '$' || printf('%.2f', value) AS usd FROM events WHERE value >= 1""")
+@query("""SELECT event_id, CASE WHEN regexp_matches(lower(event_type), 'error|exception|traceback|fail') THEN 'error' WHEN contains(lower(event_type), 'warn') THEN 'warning' WHEN contains(lower(event_type), 'debug') THEN 'debug' ELSE 'info' END AS level,
+       CASE WHEN value IS NULL OR value = 0 THEN '$0.00' WHEN value < 0.01 THEN '$' || printf('%.5f', value) WHEN value < 1 THEN '$' || printf('%.4f', value) ELSE '$' || printf('%.2f', value) END AS usd FROM events""")
 def log_levels(spark, d):
     return table(spark, d, "events").select("event_id", C.log_level(F.col("event_type")).alias("level"), X.usd(F.col("value")).alias("usd"))
 
@@ -567,13 +495,13 @@ def semantic_chunks(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE b AS (SELECT doc_id, page, id, length(content) AS n, row_number() OVER (PARTITION BY doc_id, page ORDER BY id) AS k FROM {_BLOCKS} WHERE page IS NOT NULL),
+    f"""WITH RECURSIVE b AS (SELECT doc_id, page, id, length(content) AS n, row_number() OVER (PARTITION BY doc_id, page ORDER BY id) AS k FROM (SELECT * REPLACE (coalesce(page, 1) AS page, coalesce(content, '') AS content) FROM {_BLOCKS})),
       r AS (SELECT doc_id, page, id, k, n, 0 AS chunk FROM b WHERE k = 1 UNION ALL
             SELECT b.doc_id, b.page, b.id, b.k, CASE WHEN r.n + b.n > 1200 THEN b.n ELSE r.n + b.n END, CASE WHEN r.n + b.n > 1200 THEN chunk + 1 ELSE chunk END FROM r JOIN b ON b.doc_id = r.doc_id AND b.page = r.page AND b.k = r.k + 1)
       SELECT doc_id, page, id, chunk FROM r"""
 )
 def size_chunker(spark, d):
-    return B.size_chunks(blocks_of(spark, d).where("page is not null"))
+    return B.size_chunks(blocks_of(spark, d))
 
 
 @query(f"SELECT doc_id, page, id, tail_chars FROM (SELECT doc_id, page, id, CAST(sum(length(content)) OVER (PARTITION BY doc_id, page ORDER BY id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tail_chars FROM {_BLOCKS}) WHERE tail_chars <= 150")
@@ -593,10 +521,10 @@ def reading_order(spark, d):
 
 @query(
     f"""SELECT id, med AS median_size, CASE WHEN length(t) < 200 AND regexp_matches(t, '[\\p{{L}}\\p{{M}}]') AND size > 1.5 * med THEN 'H1' WHEN length(t) < 200 AND regexp_matches(t, '[\\p{{L}}\\p{{M}}]') AND size > 1.2 * med THEN 'H2' END AS level
-       FROM (SELECT b.id, trim(content) AS t, coalesce(TRY_CAST(extra['font_size'] AS DOUBLE), 10) AS size, median(coalesce(TRY_CAST(extra['font_size'] AS DOUBLE), 10)) OVER (PARTITION BY doc_id, page) AS med FROM {_BLOCKS} b WHERE page IS NOT NULL)"""
+       FROM (SELECT b.id, trim(content) AS t, coalesce(TRY_CAST(extra['font_size'] AS DOUBLE), 10) AS size, median(coalesce(TRY_CAST(extra['font_size'] AS DOUBLE), 10)) OVER (PARTITION BY doc_id, coalesce(page, 1)) AS med FROM {_BLOCKS} b)"""
 )
 def median_heading(spark, d):
-    return B.font_headings(blocks_of(spark, d).where("page is not null")).select("id", "median_size", "level")
+    return B.font_headings(blocks_of(spark, d)).select("id", "median_size", "level")
 
 
 @query(f"SELECT id, CASE WHEN bbox[4] < 0.07 * 842.0 THEN 'header' WHEN bbox[2] > 0.93 * 842.0 THEN 'footer' ELSE 'body' END AS margin FROM {_BLOCKS}")
@@ -604,13 +532,27 @@ def margin_flags(spark, d):
     return B.margins(blocks_of(spark, d)).select("id", "margin")
 
 
-@query(
-    f"""SELECT doc_id, CAST(page AS INT) AS page, '<!-- page ' || page || ' -->' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY id) AS markdown FROM (
-       SELECT doc_id, coalesce(page, 1) AS page, id, CASE role WHEN 'title' THEN '# ' || content WHEN 'section_header' THEN '## ' || content WHEN 'warning_note' THEN '> ⚠️ ' || content WHEN 'list_item' THEN '- ' || content WHEN 'qna_question' THEN '**Q:** ' || content ELSE content END AS line FROM {_BLOCKS})
-       GROUP BY doc_id, page"""
-)
+def _sql_form(form: str, *values: str) -> str:
+    parts, out = form.split("{}"), []
+    for k, p in enumerate(parts):
+        out.append("'" + p.replace("\n", "' || chr(10) || '") + "'")
+        if k < len(values):
+            out.append(values[k])
+    return "(" + " || ".join(out) + ")"
+
+
+_PAGE_TEXT = " ".join(f"WHEN '{r}' THEN {_sql_form(f, 't')}" for r, f in B.TEXT_FORMS.items())
+_MARKDOWN_SQL = f"""SELECT doc_id, CAST(page AS INT) AS page, {_sql_form(B.PAGE_HEAD, 'page')} || chr(10) || string_agg(line, chr(10) ORDER BY y0, x0, kind, id) AS markdown FROM (
+       SELECT doc_id, coalesce(page, 1) AS page, coalesce(bbox[2], 0) AS y0, coalesce(bbox[1], 0) AS x0, 0 AS kind, id, CASE WHEN t = '' THEN '' ELSE CASE coalesce(extra['role'], role, 'normal_text') {_PAGE_TEXT} ELSE t END END AS line
+         FROM (SELECT *, {sql_thai_spacing("regexp_replace(content, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')")} AS t FROM {_BLOCKS} WHERE content IS NOT NULL)
+       UNION ALL SELECT doc_id, coalesce(page, 1), coalesce(bbox[2], 0), coalesce(bbox[1], 0), 1, id, concat_ws(chr(10), {_sql_form(B.TABLE_NAME, "nullif(name, '')")}, {_sql_form(B.TABLE_SUMMARY, "nullif(extra['summary'], '')")}, coalesce(nullif(markdown, ''), '{B.TABLE_EMPTY}'), chr(10)) FROM {_TABLES}
+       UNION ALL SELECT doc_id, coalesce(page, 1), coalesce(bbox[2], 0), coalesce(bbox[1], 0), 2, id, concat_ws(chr(10), {_sql_form(B.IMAGE_LINK, "coalesce(nullif(name, ''), 'Image')", 'f', 'f')}, {_sql_form(B.IMAGE_CAPTION, "nullif(name, '')")}, {_sql_form(B.IMAGE_FILE, 'f', 'f')})
+         FROM (SELECT *, regexp_extract(image_path, '([^/]+)$', 1) AS f FROM {_TABLES} WHERE image_path IS NOT NULL)) GROUP BY doc_id, page"""
+
+
+@query(_MARKDOWN_SQL)
 def page_markdown(spark, d):
-    return B.markdown(table(spark, d, "text_blocks"))
+    return B.markdown(blocks_of(spark, d), B.table_lines(tables_of(spark, d)), B.image_lines(images_of(spark, d)))
 
 
 @query(
@@ -630,8 +572,8 @@ def _dup(t: str, code: str) -> str:
 
 
 _E = "coalesce(trim({c}), '') = ''"
-_TXT = [("warning", "TEXT_PAGE_INVALID", "page <= 0"), ("warning", "TEXT_PAGE_OUT_OF_RANGE", "page > n AND n > 0"), ("info", "TEXT_BLOCK_VERY_LONG", "length(content) > 8000"), ("info", "TEXT_BLOCK_VERY_SHORT", "length(trim(content)) < 2"), ("warning", "TEXT_BBOX_INVALID", "len(bbox) <> 4"), ("info", "TEXT_NO_SECTION", _E.format(c="section")), ("info", "TEXT_NO_ROLE", _E.format(c="role"))]
-_TBL = [("warning", "TABLE_PAGE_INVALID", "page <= 0"), ("warning", "TABLE_PAGE_OUT_OF_RANGE", "page > n AND n > 0"), ("warning", "TABLE_NO_HEADER", "coalesce(len(columns), 0) = 0 AND coalesce(len(rows), 0) > 0"), ("warning", "TABLE_NO_ROWS", "coalesce(len(rows), 0) = 0 AND coalesce(len(columns), 0) > 0"), ("warning", "TABLE_BBOX_INVALID", "len(bbox) <> 4"), ("info", "TABLE_NO_CATEGORY", _E.format(c="category")), ("info", "TABLE_NO_ROLE", _E.format(c="role"))]
+_TXT = [("warning", "TEXT_PAGE_INVALID", "page <= 0"), ("warning", "TEXT_PAGE_OUT_OF_RANGE", "page > n AND n > 0"), ("info", "TEXT_BLOCK_VERY_LONG", "length(content) > 8000"), ("info", "TEXT_BLOCK_VERY_SHORT", f"length({sql_strip('content')}) < 2"), ("warning", "TEXT_BBOX_INVALID", "len(bbox) <> 4"), ("info", "TEXT_NO_SECTION", "NOT coalesce(list_contains(map_keys(extra), 'section'), FALSE)"), ("info", "TEXT_NO_ROLE", "NOT coalesce(list_contains(map_keys(extra), 'role'), FALSE)")]
+_TBL = [("warning", "TABLE_PAGE_INVALID", "page <= 0"), ("warning", "TABLE_PAGE_OUT_OF_RANGE", "page > n AND n > 0"), ("warning", "TABLE_NO_HEADER", "coalesce(len(columns), 0) = 0 AND coalesce(len(rows), 0) > 0"), ("warning", "TABLE_NO_ROWS", "coalesce(len(rows), 0) = 0 AND coalesce(len(columns), 0) > 0"), ("warning", "TABLE_BBOX_INVALID", "len(bbox) <> 4"), ("info", "TABLE_NO_CATEGORY", "coalesce(category, '') = ''"), ("info", "TABLE_NO_ROLE", "NOT coalesce(list_contains(map_keys(extra), 'role'), FALSE)")]
 _DOC = [("warning", "MISSING_FILE_NAME", _E.format(c="file_name")), ("error", "MISSING_DOC_ID", _E.format(c="doc_id")), ("warning", "MISSING_PAGE_COUNT", "page_count IS NULL AND max_page IS NOT NULL"), ("warning", "INVALID_PAGE_COUNT", "page_count <= 0"), ("warning", "PAGE_COUNT_MISMATCH", "page_count > 0 AND max_page > page_count"), ("error", "NO_TEXT_BLOCKS", "NOT has_text")]
 
 
@@ -695,3 +637,7 @@ def history_tail(spark, d):
 @query("SELECT id, doc_type, source, page, array_to_string(metadata.entities, ',') AS entities, array_to_string(metadata.intent, ',') AS intents FROM chunks")
 def flat_metadata(spark, d):
     return table(spark, d, "chunks").select("id", "doc_type", "source", "page", X.flatten_list(F.col("metadata.entities")).alias("entities"), X.flatten_list(F.col("metadata.intent")).alias("intents"))
+
+
+# The other modules register their queries when they are imported.
+from folioforge.plans import accounts, answer, intake  # noqa: E402, F401
