@@ -127,6 +127,35 @@ def split_by_headers(rows: DataFrame, pattern: str, default: str = "Generic Sect
     return out.where(~head).select("table_id", "i", "text", "part", "head")
 
 
+# What stands for a table in an answer (fixed values).
+TAG = r"\[SHOW_TABLE:CAT=(.*?)\]"
+
+
+def with_tables(answers: DataFrame, tables: DataFrame) -> DataFrame:
+    """``answers`` (id, answer) with their tags replaced by the picture or HTML of the first of their ``tables`` (id, category,
+    rank, doc_id, image_path, html_content) of the tag's category, any for an empty one; tags without a table go."""
+    parts = F.split("answer", r"\[SHOW_TABLE:CAT=.*?\]", -1)
+    tags = F.regexp_extract_all("answer", F.lit(TAG), F.lit(1))
+    each = answers.select("id", parts.alias("parts"), tags.alias("tags"))
+    asked = each.select("id", F.posexplode("tags").alias("k", "tag")).withColumn("tag", F.trim("tag"))
+    picture = F.concat(F.lit("<img src='/ingested/"), "doc_id", F.lit("/"), "image_path", F.lit("'>"))
+    shown = tables.select("id", "category", "rank", F.coalesce(F.when(F.col("image_path") != "", picture), F.nullif("html_content", F.lit(""))).alias("html")).where("html is not null")
+    found = asked.join(shown, "id").where((F.col("tag") == "") | (F.col("tag") == F.col("category"))).groupBy("id", "k").agg(F.min(F.struct("rank", "html")).alias("x"))
+    html = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "x.html"))).alias("html"))
+    text = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.try_element_at("html", i), F.lit("")))), "")
+    return each.join(html, "id", "left").select("id", text.alias("answer"))
+
+
+def html_tables(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit("(?is)<table.*?</table>"), F.lit(0))
+
+
+def html_title(html: Column, number: int) -> Column:
+    """The first caption's text, else ``Table`` and the number."""
+    caption = F.trim(F.regexp_replace(F.regexp_extract(html, "(?is)<caption[^>]*>(.*?)</caption>", 1), "<[^>]+>", ""))
+    return F.coalesce(F.nullif(caption, F.lit("")), F.lit(f"Table {number}"))
+
+
 class _Parser(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
