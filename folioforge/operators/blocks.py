@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import classify as C
 from folioforge.functions.text import display_section, markdown_text, meaningful_words, normalize_whitespace, section_title, strip
-from folioforge.session import stage
+from folioforge.session import Scratch, stage
 
 MAX_CHARS, OVERLAP = 1200, 150
 
@@ -58,7 +58,9 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[l
         last = None
         for pdf in it:
             out: list[tuple] = []
-            for r in pdf.to_dict("records"):
+            columns = list(pdf.columns)
+            for values in zip(*(pdf[c].to_list() for c in columns)):
+                r = dict(zip(columns, values))
                 key = tuple(r[k] for k in keys)
                 if key != last and held:
                     out += fold(held)
@@ -147,14 +149,30 @@ def chunk_groups(blocks: DataFrame) -> DataFrame:
         "doc_id", "page", "id", F.coalesce("section", F.lit("\u0000")).alias("section"), F.length("text").alias("size"), F.length("content").alias("raw"), F.coalesce("h1", F.lit(False)).alias("h1"),
         F.col("text").rlike(C.QNA_BREAK).alias("qna"), names.alias("intents"), C.primary_intent(names).alias("primary"),
     )
-    rows = stage(rows)  # a few short columns; both carries read them again
-    rows = carried(rows, F.struct("section", "raw"), "before")
-    clean = F.col("before").isNull() | ((F.col("before.raw") > OVERLAP) & (F.col("h1") | F.col("qna") | (F.col("before.section") != F.col("section"))))
-    rows = carried(stage(rows.withColumn("clean", clean)), F.when(F.col("clean"), F.col("id")), "segment", inclusive=True)
-    out = folded(rows.drop("before", "clean"), ["doc_id", "segment"], ["page", "id"], _chunk, "doc_id string, first_id string, block_ids array<string>, section string")
+    with Scratch() as tmp:
+        rows = segments(tmp(rows))  # a few short columns, read once inside pages and once for the pages
+        out = stage(folded(rows, ["doc_id", "segment"], ["page", "id"], _chunk, "doc_id string, first_id string, block_ids array<string>, section string"))
     return out.withColumn("section", F.nullif("section", F.lit("\u0000")))
 
 
+def segments(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``segment``, the id of the last block at or before each at which the fold starts afresh. Inside a page by
+    the block before; a page's first block by the last one of the page before, over one row a page."""
+    inside = Window.partitionBy("doc_id", "page").orderBy("id")
+    fresh = lambda b, r: (b["raw"] > OVERLAP) & (r["h1"] | r["qna"] | (b["section"] != r["section"]))
+    own = {c: F.col(c) for c in ("h1", "qna", "section")}
+    d = rows.withColumn("__before", F.lag(F.struct("section", "raw")).over(inside))
+    d = d.withColumn("__start", F.when(F.col("__before").isNotNull() & F.coalesce(fresh(F.col("__before"), own), F.lit(False)), F.col("id")))
+    p = d.groupBy("doc_id", "page").agg(F.min_by(F.struct("id", "h1", "qna", "section"), "id").alias("first"), F.max_by(F.struct("section", "raw"), "id").alias("last"), F.max("__start").alias("start"))
+    pages = Window.partitionBy("doc_id").orderBy("page")  # one row a page
+    p = p.withColumn("__prev", F.lag("last").over(pages))
+    p = p.withColumn("__head", F.when(F.col("__prev").isNull() | fresh(F.col("__prev"), F.col("first")), F.col("first.id")))
+    carried_ = F.last(F.coalesce("start", "__head"), ignorenulls=True).over(pages.rowsBetween(Window.unboundedPreceding, -1))
+    p = p.select("doc_id", "page", F.coalesce("__head", carried_).alias("__carried"))
+    last = F.last("__start", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("__own", last).join(p, ["doc_id", "page"]).withColumn("segment", F.coalesce("__own", "__carried")).drop("__before", "__start", "__own", "__carried")
+
+
 def chunks(blocks: DataFrame) -> DataFrame:
     """The chunks' texts: a tag line by intent, each block behind its sign, cut at MAX_CHARS; with their metadata."""
     groups = chunk_groups(blocks).select("doc_id", "first_id", F.posexplode("block_ids").alias("k", "id"), F.col("section").alias("chunk_section"))
