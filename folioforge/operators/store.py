@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``old`` without the keys of ``new``, and ``new``; the last row of an equal key in ``new`` is its largest."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """``old`` without the keys of ``new``, and one row of ``new`` for each of its keys (full copies are common, so which one
+    does not matter; rows that differ are told apart by the caller)."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
 
 
 def without(old: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:

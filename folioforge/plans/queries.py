@@ -284,16 +284,66 @@ def amounts(spark, d):
     return cells.select("cell", X.amount(F.col("cell")).alias("amount"))
 
 
-@query()
+_CANON = "CASE " + " ".join(f"WHEN contains(trim(lower(c)), '{k}') THEN '{n}'" for ks, n in C.HEADERS for k in ks) + " ELSE trim(lower(c)) END"
+_NAMES = f"list_transform(columns, lambda c: {_CANON})"
+
+
+def _field(n: str) -> str:
+    at = f"(len(names) + 1 - list_position(list_reverse(names), '{n}'))"
+    return f"nullif(trim(CASE WHEN list_contains(names, '{n}') AND {at} <= len(r) THEN r[{at}] END), '')"
+
+
+def _amount_of(x: str) -> str:
+    bare = f"regexp_replace({x}, '[,฿\\s]', '', 'g')"
+    signed = f"(CASE WHEN regexp_matches({bare}, '^\\(.*\\)$') THEN '-' || {bare}[2:-2] ELSE {bare} END)"
+    return f"(CASE WHEN regexp_matches({signed}, '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST({signed} AS DOUBLE) END)"
+
+
+@query(
+    f"""WITH t AS (SELECT id, rows, {_NAMES} AS names FROM {_TABLES} WHERE len(columns) > 0 AND len(rows) > 0),
+      r AS (SELECT id, names, unnest(rows) AS r, CAST(unnest(range(len(rows))) AS INT) AS row_no FROM t),
+      f AS (SELECT id, row_no, {', '.join(f'{_field(n)} AS {n}' for n in T.TRANSACTION)} FROM r),
+      a AS (SELECT *, {_amount_of('amount')} AS a, {_amount_of('quantity')} AS q, {_amount_of('unit_price')} AS u FROM f WHERE coalesce({', '.join(T.TRANSACTION)}) IS NOT NULL)
+      SELECT id, row_no, date AS date_raw, description, amount_in AS amount_in_raw, amount_out AS amount_out_raw, balance AS balance_raw, round({_amount_of('amount_in')}, 6) AS amount_in, round({_amount_of('amount_out')}, 6) AS amount_out,
+        round(coalesce(CASE WHEN a <> 0 THEN a END, CASE WHEN q <> 0 AND u <> 0 THEN q * u END, a), 6) AS amount, round({_amount_of('balance')}, 6) AS balance FROM a"""
+)
 def table_transactions(spark, d):
     return T.transactions(tables_of(spark, d).select("id", "columns", "rows"))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT id, k, {_amount_of('cell')} AS v FROM (SELECT id, unnest(r) AS cell, CAST(unnest(range(len(r))) AS INT) AS k FROM (SELECT id, unnest(rows) AS r FROM {_TABLES} WHERE numeric_trust = 'high' AND len(rows) > 0))),
+      g AS (SELECT id, k, sum(v) AS total, avg(v) AS mean, max(v) AS largest, count(*) AS n FROM c WHERE v IS NOT NULL GROUP BY id, k)
+      SELECT id, k AS column_no, round(total, 4) AS total, round(mean, 4) AS mean, round(largest, 4) AS largest, n FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"""
+)
 def table_column_aggregates(spark, d):
     return T.column_aggregates(tables_of(spark, d))
 
 
+def _row(r: str) -> str:
+    return f"list_transform(range(1, len(columns) + 1), lambda i: coalesce({r}[i], ''))"
+
+
+def _md(rows: str) -> str:
+    line = lambda x: f"'| ' || array_to_string({x}, ' | ') || ' |'"
+    rule = "list_transform(columns, lambda c: '---')"
+    return f"CASE WHEN len(columns) > 0 THEN array_to_string(list_concat([{line(_row('columns'))}, {line(rule)}], list_transform({rows}, lambda r: {line(_row('r'))})), chr(10)) ELSE '' END"
+
+
+_HTML = f"""'<table><tr>' || coalesce(array_to_string(list_transform(columns, lambda c: '<th>' || coalesce(c, '') || '</th>'), ''), '') || '</tr>' ||
+       coalesce(array_to_string(list_transform(rows, lambda r: '<tr>' || array_to_string(list_transform({_row('r')}, lambda c: '<td>' || c || '</td>'), '') || '</tr>'), ''), '') || '</table>'"""
+
+
+def _filled(x: str) -> str:
+    return f"(CASE WHEN {sql_strip(x)} <> '' THEN {x} END)"
+
+
+@query(f"SELECT id, {_md('rows')} AS md, {_HTML} AS html, {_filled('markdown')} AS markdown FROM {_TABLES} WHERE columns IS NOT NULL AND rows IS NOT NULL")
+def table_renderings(spark, d):
+    t = tables_of(spark, d).where("columns is not null and rows is not null")
+    return t.select("id", T.to_markdown(F.col("columns"), F.col("rows")).alias("md"), T.to_html(F.col("columns"), F.col("rows")).alias("html"), X.blank_to_null(F.col("markdown")).alias("markdown"))
+
+
 @query()
 def table_texts(spark, d):
     t = tables_of(spark, d)
@@ -305,7 +355,10 @@ def table_texts(spark, d):
     )
 
 
-@query()
+_TOP = "len(list_filter(rows[1], lambda c: regexp_matches(c, '[A-Za-z\u0e00-\u0e7f]'))) >= greatest(1, len(rows[1]) // 2) AND len(rows) > 0"
+
+
+@query(f"SELECT id, CASE WHEN {_TOP} THEN array_to_string(rows[1], '|') ELSE '' END AS header, CAST(CASE WHEN {_TOP} THEN len(rows) - 1 ELSE len(rows) END AS INT) AS n_rows FROM {_TABLES}")
 def table_headers(spark, d):
     bare = tables_of(spark, d).select("id", T.inferred_header(F.array().cast("array<string>"), F.col("rows")).alias("x"))
     return bare.select("id", F.array_join("x.columns", "|").alias("header"), F.size("x.rows").alias("n_rows"))
@@ -479,7 +532,10 @@ def section_ffill(spark, d):
     return B.carried(blocks_of(spark, d).select("id", "doc_id", "page", heading.alias("h")), F.col("h"), "carried", inclusive=True).select("id", "carried")
 
 
-@query()
+_TITLE = f"left(regexp_replace(regexp_replace({sql_strip('content')}, '^(?:[0-9]+(?:[.][0-9]+)*|[A-Z])[.)]\\s*', ''), '[\\s\\x0b\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g'), 150)"
+
+
+@query(f"SELECT id, last_value(CASE WHEN coalesce(extra['is_heading'], 'false') = 'true' THEN nullif({_TITLE}, '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY coalesce(page, 1), id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled_section FROM {_BLOCKS}")
 def filled_sections(spark, d):
     return B.filled_sections(blocks_of(spark, d).select("id", "doc_id", "page", "content", "extra")).select("id", "filled_section")
 

@@ -81,7 +81,8 @@ def write_markdown(pages: DataFrame, root: str) -> None:
 
 
 def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, key: str = "id") -> None:
-    """Upsert by key into a Parquet store by writing its next version beside it; ``current`` names the newest version."""
+    """Upsert by key into a Parquet store by writing its next version beside the last; the one before the last is kept for its
+    readers, older ones go. Each call writes the whole store, so batches should be large."""
     jvm = spark.sparkContext._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     base = jvm.org.apache.hadoop.fs.Path(path)
@@ -89,6 +90,21 @@ def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, key: str = "i
     done = sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(base) if fs.exists(base) else []) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     merged = upsert(spark.read.parquet(f"{path}/v{done[-1]}"), new, key) if done else new
     merged.write.mode("overwrite").parquet(f"{path}/v{done[-1] + 1 if done else 1}")
+    for old in done[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(base, f"v{old}"), True)
+
+
+def rebuild_parquet(path: str, rows: DataFrame) -> None:
+    """Truncate a store and write it anew from ``rows``, as its first version."""
+    spark = rows.sparkSession
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(base, True)
+    rows.write.parquet(f"{path}/v1")
+
+
+def tail(log: DataFrame, n: int, ts: str = "ts") -> DataFrame:
+    """The last ``n`` rows of a log in the order in which they were written."""
+    return log.orderBy(F.desc(ts)).limit(n).orderBy(ts)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
