@@ -15,7 +15,8 @@ c = t = 0.65 lose at most LEFT_OUT of their common cells and keep J = (t - LEFT_
 the others. The keys miss such pairs with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.6 % of texts, 0.9 % of
 tables that just reach the threshold, less beyond.
 
-Candidates are verified on whole records: common / larger >= threshold, elements being 32-bit fingerprints (two different
+Candidates that the records' sizes or bit maps (a bit an element) rule out are dropped before any elements are moved; none that
+reach the threshold is. The others are verified on whole records: common / larger >= threshold, elements being 32-bit fingerprints (two different
 elements of a pair of records of a hundred agree by chance in two of a million pairs, which matters only where that one
 element decides). To link a hot bucket without all its pairs, first every member is compared with the bucket's smallest
 node; after the components of these links are known, only pairs of nodes that are still in different components are
@@ -43,10 +44,10 @@ from folioforge.llm.components import components
 from folioforge.llm.textnorm import canonical, needs
 from folioforge.session import Scratch, stage
 
-WORDS, BANDS, SINGLES, DIRECT, WIDE = 3, 34, 16, 4, 32
+WORDS, BANDS, SINGLES, DIRECT, WIDE, LONGS = 3, 34, 16, 4, 32, 8
 HOT, LEFT_OUT = 0.001, 0.25  # share of the tables from which a cell is hot; share of a table's cells that may be left out for it
 ASKED = 200_000  # candidates that are broadcast to pick their grams
-SKETCH_SCHEMA = "kind string, id string, c1 bigint, c2 bigint, grams array<int>, u array<int>, v array<int>"
+SKETCH_SCHEMA = "kind string, id string, c1 bigint, c2 bigint, grams array<int>, bits array<bigint>, u array<int>, v array<int>"
 _MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if c < 0x3400 and unicodedata.category(chr(c))[0] in 'PS')}‼️]+")
 _HASHES = 2 * BANDS + SINGLES
 _ODD = np.random.default_rng(20240901).integers(1, 2**63, _HASHES, dtype=np.uint64) | np.uint64(1)
@@ -118,6 +119,14 @@ def _int32(x: np.ndarray) -> np.ndarray:
     return (_mix(x) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _bits(g: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A bit per element of a record, LONGS words of 64."""
+    at = ((g >> np.uint64(8)) % np.uint64(64 * LONGS)).astype(np.int64)
+    out = np.zeros((len(m), LONGS), np.uint64)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(m)), m), at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def _sketched(kind: str, ids: np.ndarray, g: np.ndarray, m: np.ndarray, sampled: np.ndarray | None = None) -> pd.DataFrame:
     """Sketch rows of records with ``m`` elements each, all in ``g``; ``sampled`` marks those that minhashes may choose."""
     starts = np.cumsum(m) - m
@@ -136,6 +145,7 @@ def _sketched(kind: str, ids: np.ndarray, g: np.ndarray, m: np.ndarray, sampled:
             "c1": a.view(np.int64),
             "c2": b.view(np.int64),
             "grams": np.split((g >> np.uint64(32)).astype(np.uint32).view(np.int32), starts[1:]),
+            "bits": list(_bits(g, m)),
             "u": list(_int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))),
             "v": list(_int32(sig[:, 2 * BANDS :])),
         }
@@ -199,9 +209,20 @@ def _least(kind: str, thresholds: dict[str, float]) -> Column:
     return F.coalesce(*(F.when(F.col(kind) == k, F.lit(t)) for k, t in thresholds.items()))
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """The pairs (a, b) that their sizes and bits do not rule out: every bit that one record has and the other lacks stands
+    for an element of the one that the other lacks."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("kind").alias(f"kind_{c}"), F.size("grams").alias(f"m_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("kind_a") == F.col("kind_b"))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"bits_{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[k]))) for k in range(LONGS)), F.lit(0))
+    most = F.least(F.col("m_a") - lacks("a", "b"), F.col("m_b") - lacks("b", "a"))
+    return both.where(most >= _least("kind_a", thresholds) * F.greatest("m_a", "m_b") - 1e-9).select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float], tmp: Scratch) -> DataFrame:
-    """The pairs (a, b) whose common elements reach the threshold of their kind. Only the candidates' grams are moved."""
-    pairs = tmp(pairs)
+    """The pairs (a, b) whose common elements reach the threshold of their kind. Only the grams of pairs that may reach it
+    are moved."""
+    pairs = tmp(_possible(pairs, nodes, thresholds))
     asked = tmp(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     few = asked.count() <= ASKED  # eight bytes a row; beyond, both sides are shuffled
     known = tmp(nodes.select("node", "kind", "grams").join(F.broadcast(asked) if few else asked, "node", "left_semi"))
@@ -209,7 +230,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float],
     least = _least("kind_a", thresholds)
     larger = F.greatest(F.size("grams_a"), F.size("grams_b"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return tmp(pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("kind_a") == F.col("kind_b")) & (common >= least * larger - 1e-9)).select("a", "b"))
+    return tmp(pairs.join(side("a"), "a").join(side("b"), "b").where(common >= least * larger - 1e-9).select("a", "b"))
 
 
 def _shared(members: DataFrame) -> DataFrame:
