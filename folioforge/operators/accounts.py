@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import blank_to_null, strip
+from folioforge.operators.store import live_sessions
 
 PRESET, PRESETS = "hybrid", ("air_gapped", "hybrid", "cloud_premium")
 #: What a preset stands for: recognition and language model.
@@ -59,5 +60,4 @@ def purged(sessions: DataFrame, now: Column, hours: int = 24 * 30) -> DataFrame:
 
 def signed_in(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """token and user of live sessions of users who are not disabled."""
-    live = sessions.where(F.col("revoked_at").isNull() & (F.col("expires_at") >= now))
-    return live.select("token", "user_id", "expires_at").join(users.where("disabled_at is null").select(F.col("id").alias("user_id"), "username"), "user_id")
+    return live_sessions(sessions, now).select("token", "user_id", "expires_at").join(users.where("disabled_at is null").select(F.col("id").alias("user_id"), "username"), "user_id")

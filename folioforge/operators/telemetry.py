@@ -99,8 +99,8 @@ def deduplicated(log: DataFrame) -> DataFrame:
 
 
 def p95(col: str) -> Column:
-    """The value at the position floor(0.95 n) (from 1) of the sorted values; null below two values. Exact: the values'
-    counts are aggregated by the engine."""
+    """The value at the position floor(0.95 n) (from 1) of the sorted values; null below two values. It gathers a
+    group's values, so it is for groups of a bounded size; ``p95_distributed`` is for the others."""
     return F.when(F.count(col) >= 2, F.try_element_at(F.array_sort(F.collect_list(col)), F.greatest(F.lit(1), F.floor(F.count(col) * 0.95).cast("int"))))
 
 

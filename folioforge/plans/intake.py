@@ -13,7 +13,7 @@ from folioforge.operators import intake as I
 from folioforge.operators import store as S
 from folioforge.operators import tables as T
 from folioforge.operators.validation import page_range, validate
-from folioforge.plans.registry import BLOCKS, CHUNKS, TABLES, any_of, blocks_of, chunks_of, images_of, query, sql_printable, sql_strip, tables_of
+from folioforge.plans.registry import BLOCKS, CHUNKS, TABLES, any_of, blocks_of, chunks_of, images_of, query, sql_printable, sql_strip, sql_thai_spacing, tables_of
 from folioforge.session import table
 
 _IMAGES = f"(SELECT id, doc_id, page, image_path AS file_path, name AS caption, bbox FROM {TABLES} WHERE image_path IS NOT NULL)"
@@ -300,3 +300,74 @@ def orphan_chunks(spark, d):
 def without_noise(spark, d):
     """Blocks outside the margins that say something."""
     return B.margins(blocks_of(spark, d)).where((F.col("margin") == "body") & X.meaningful_marks(F.col("content"))).select("id")
+
+
+_CELL = sql_thai_spacing("replace(cell, chr(0), '')")
+
+
+@query(f"SELECT DISTINCT cell, {_CELL} AS clean FROM (SELECT unnest(flatten(rows)) AS cell FROM table_blocks) WHERE cell IS NOT NULL")
+def clean_cells(spark, d):
+    """Cells without outer blanks and blanks between Thai letters."""
+    rows = table(spark, d, "table_blocks").where("rows is not null").select(F.flatten(F.filter("rows", lambda r: r.isNotNull())).alias("r"))
+    both = rows.select(F.explode(F.arrays_zip(F.col("r").alias("cell"), X.clean_cells(F.array("r"))[0].alias("clean"))).alias("x"))
+    return both.select("x.cell", "x.clean").where("cell is not null").distinct()
+
+
+_KIND = "CASE WHEN regexp_matches(upper(content), '^(WARNING|CAUTION|DANGER|คำเตือน|ข้อควรระวัง)[:\\s]') THEN 'warning' WHEN regexp_matches(upper(content), '^(NOTE|NOTICE|IMPORTANT|หมายเหตุ|สำคัญ|ข้อสังเกต)[:\\s]') THEN 'note' WHEN regexp_matches(content, '(?i)^(\\d+\\.|Step\\s+\\d+|ขั้นตอนที่\\s+\\d+|[A-Z]\\.)\\s') THEN 'procedure' ELSE 'general' END"
+
+
+@query(f"SELECT id, coalesce({_KIND}, 'general') AS scope FROM {BLOCKS}")
+def block_scopes(spark, d):
+    """What a block answers, by its layout type."""
+    return blocks_of(spark, d).select("id", C.scope_of_block(C.block_type(F.col("content"))).alias("scope"))
+
+
+@query("SELECT DISTINCT category, regexp_replace(lower(category), '[^a-z_]', '', 'g') AS label FROM table_blocks WHERE category IS NOT NULL")
+def category_labels(spark, d):
+    """A model's category in its plain form."""
+    return table(spark, d, "table_blocks").where("category is not null").select("category", X.label_cleanup(F.col("category")).alias("label")).distinct()
+
+
+_W = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+@query(f"SELECT DISTINCT query, answer, len(list_filter(list_intersect({_W.format('query')}, {_W.format('answer')}), lambda w: length(w) > 1 AND w NOT IN ('the', 'and'))) AS shared FROM qa_log WHERE query IS NOT NULL")
+def keyword_overlaps(spark, d):
+    """Words that a question and its answer share."""
+    both = table(spark, d, "qa_log").where("query is not null").select("query", "answer").distinct()
+    return both.select("query", "answer", X.keyword_overlap(F.col("query"), F.coalesce("answer", F.lit("")), ("the", "and")).cast("long").alias("shared"))
+
+
+@query("SELECT DISTINCT query, CASE WHEN length(query) % 3 = 0 THEN 'Not in the documents.' ELSE answer END AS answer FROM qa_log WHERE query IS NOT NULL")
+def refusals(spark, d):
+    """Answers refused where the grader says no; it fails open where its reply makes no sense."""
+    n = F.length("query") % 3
+    reply = F.when(n == 0, 'Sure: {"verdict": "no", "reason": "x"}').when(n == 1, "Yes, mostly").otherwise("???")
+    qa = table(spark, d, "qa_log").where("query is not null").select("query", "answer", L.verdict(reply).alias("verdict"))
+    return L.refused(qa, "Not in the documents.").select("query", "answer").distinct()
+
+
+@query("SELECT query, CAST(len(string_split(query, ' ')) AS INT) AS words, 'user' AS last_role, CAST(2 + CASE WHEN trim(answer) <> '' THEN 1 ELSE 0 END AS INT) AS messages FROM (SELECT DISTINCT query, coalesce(answer, '') AS answer FROM qa_log WHERE query IS NOT NULL)")
+def prompt_messages(spark, d):
+    """The messages of a prompt: system text, earlier turns that say something, the question."""
+    qa = table(spark, d, "qa_log").where("query is not null").select("query", F.coalesce("answer", F.lit("")).alias("answer")).distinct()
+    history = F.array(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")))
+    m = qa.select("query", F.size(F.split("query", " ", -1)).alias("words"), L.messages(F.lit("Answer from the sources."), history, F.col("query")).alias("m"))
+    return m.select("query", "words", F.element_at("m", -1)["role"].alias("last_role"), F.size("m").alias("messages"))
+
+
+@query("SELECT id, CAST(json_extract(c, '$.a') AS INT) AS a, CAST(json_extract(c, '$.b.k') AS INT) AS k, CAST(json_extract(l, '$[1]') AS INT) AS second FROM (SELECT line_no AS id, '{\"a\": ' || line_no % 10 || ', \"b\": {\"k\": ' || line_no % 7 || '}}' AS c, '[1, ' || line_no % 5 || ']' AS l FROM cost_log)")
+def json_nested(spark, d):
+    """Objects with inner objects and lists out of prose."""
+    n = F.col("line_no")
+    text = F.concat(F.lit('Here: {"a": '), n % 10, F.lit(', "b": {"k": '), n % 7, F.lit("}} done [1, "), n % 5, F.lit("] end"))
+    t = table(spark, d, "cost_log").select(n.alias("id"), text.alias("t"))
+    o, items = X.greedy_json(F.col("t"), "a int, b struct<k:int>"), X.json_list(F.col("t"), "array<int>")
+    return t.select("id", o["a"].alias("a"), o["b"]["k"].alias("k"), items[1].alias("second"))
+
+
+@query("SELECT line_no, 'token' AS event, endpoint || chr(10) || coalesce(model, '-') AS data FROM cost_log")
+def stream_frames(spark, d):
+    """Frames of a server-sent stream."""
+    raw = F.concat(F.lit("event: token\ndata: "), "endpoint", F.lit("\ndata: "), F.coalesce("model", F.lit("-")), F.lit("\n\n"))
+    return table(spark, d, "cost_log").select("line_no", F.explode(X.sse_frames(raw)).alias("f")).select("line_no", "f.event", "f.data")

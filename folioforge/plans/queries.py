@@ -686,8 +686,7 @@ def preferred_variant(spark, d):
 @query("SELECT intent, query, answer, CAST(back AS INT) AS back FROM (SELECT coalesce(intent, 'none') AS intent, query, answer, row_number() OVER (PARTITION BY coalesce(intent, 'none') ORDER BY ts DESC, query DESC) AS back FROM (SELECT DISTINCT ts, query, answer, intent FROM qa_log)) WHERE back <= 5")
 def history_tail(spark, d):
     qa = table(spark, d, "qa_log").select("ts", "query", "answer", F.coalesce("intent", F.lit("none")).alias("intent")).distinct()
-    w = Window.partitionBy("intent").orderBy(F.desc("ts"), F.desc("query"))
-    return qa.withColumn("back", F.row_number().over(w)).where("back <= 5").select("intent", "query", "answer", "back")
+    return S.history_tail(qa.withColumn("at", F.struct("ts", "query")), "intent", "at", 5).select("intent", "query", "answer", "back")
 
 
 @query("SELECT id, doc_type, source, page, array_to_string(metadata.entities, ',') AS entities, array_to_string(metadata.intent, ',') AS intents FROM chunks")
