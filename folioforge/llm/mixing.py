@@ -3,10 +3,11 @@
 Every source's documents are shuffled (by a hash of id and copy number) and queued copy after copy; a document's virtual
 finish time is the tokens of its source queued so far, itself included, divided by the source's share. Sorting all
 sources by that time serves them in proportion to their shares; the mix is cut at a total budget. The default budget is
-the largest one that no source exhausts: the least of max_repeats x tokens / share.
+the largest one that no source exhausts: the least of max_repeats x tokens / share. A larger one that is asked for is cut to it,
+with a warning, and the report names the budget kept.
 
-A document that overruns its source's share is passed over for later ones that fit, of the
-same slice of this copy or the next.
+The document with which a source would overrun its share is passed over for later ones that fit, of the same slice of the same
+copy, so that no document is served before its turn by more than a slice.
 
 Running sums are taken in two levels: the hash range is cut into slices of about SLICE documents; sums of slices are
 accumulated over a table of one row a slice, then inside each slice. No source is ever gathered in one task.
@@ -20,6 +21,8 @@ virtual time go by source, id and copy; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ def source_key(col: Column) -> Column:
 
 
 def _slices(rows: int) -> int:
-    return max(1, min(65_536, -(-rows // SLICE)))
+    return max(1, -(-rows // SLICE))
 
 
 def shares(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -55,9 +58,11 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     plan = stage(shares(docs, targets).withColumn("room", F.when(F.col("in_mix"), F.col("max_repeats") * F.col("tokens") / F.col("share"))))
     most = F.ceil(F.min("room").over(Window.partitionBy()))  # one row a source
     plan = plan.withColumn("budget", F.least(most, F.lit(budget)) if budget is not None else most)
+    if budget is not None and (kept := plan.agg(F.max("budget")).first()[0]) is not None and kept < budget:
+        warnings.warn(f"the budget of {budget} tokens is cut to {kept}: a source would be used more often than max_repeats", stacklevel=2)
     n = _slices(docs.count())
-    # Only the copies that the budget can reach, and one more to fill up from, are queued.
-    used = plan.where("in_mix").select("source", "share", "budget", F.least("max_repeats", 1 + F.ceil(F.col("budget") * F.col("share") / F.col("tokens"))).cast("int").alias("copies"))
+    # Only the copies that the budget can reach are queued.
+    used = plan.where("in_mix").select("source", "share", "budget", F.least("max_repeats", F.ceil(F.col("budget") * F.col("share") / F.col("tokens"))).cast("int").alias("copies"))
     queued = docs.join(F.broadcast(used), "source").select("doc_id", "source", "tokens", "share", "budget", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     h = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(HASHES))
     queued = queued.withColumn("h", h).withColumn("slice", F.floor(F.col("h") / F.lit(HASHES / n)).cast("int"))
@@ -71,7 +76,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     served = stage(served.withColumn("virtual_finish", finish).select("doc_id", "source", "copy", "slice", "h", "tokens", "share", "budget", "virtual_finish"))
     cut = served.where("virtual_finish > budget").groupBy("source").agg(F.min(F.struct("copy", "slice")).alias("cut"))
     done = served.where("virtual_finish <= budget").groupBy("source").agg(F.sum("tokens").alias("served"))
-    last = served.where("virtual_finish > budget").join(F.broadcast(cut), "source").where(F.col("copy").isin(F.col("cut.copy"), F.col("cut.copy") + 1) & (F.col("slice") == F.col("cut.slice"))).join(F.broadcast(done), "source", "left")
+    last = served.where("virtual_finish > budget").join(F.broadcast(cut), "source").where((F.col("copy") == F.col("cut.copy")) & (F.col("slice") == F.col("cut.slice"))).join(F.broadcast(done), "source", "left")
     out = ["doc_id", "source", "copy", "tokens", "virtual_finish"]
     filled = last.select(*out[:-1], "h", "share", "budget", F.coalesce("served", F.lit(0)).alias("served")).groupBy("source").applyInPandas(_fill, "doc_id bigint, source string, copy int, tokens bigint, virtual_finish double")
     mixed = served.where("virtual_finish <= budget").select(*out).unionByName(filled)

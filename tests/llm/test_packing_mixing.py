@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from hypothesis import given, settings
@@ -53,3 +54,11 @@ def test_tokens_round_trip():
     enc = encoding()
     for s in ("Hello  world\n", "ใบแจ้งหนี้ 12", ""):
         assert enc.decode(enc.encode_ordinary(s)) == s
+
+
+def test_budget_that_cannot_be_kept(spark):
+    df = spark.createDataFrame([(k, "a" if k % 2 else "b", 10) for k in range(100)], "doc_id long, source string, tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    with pytest.warns(UserWarning, match="cut to 1000"):
+        mixed, plan = mixing.mix(df, targets, budget=5000)
+    assert mixed.count() == 100 and {r.budget for r in plan.collect()} == {1000.0}
