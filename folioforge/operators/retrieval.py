@@ -22,7 +22,8 @@ from folioforge.session import stage
 
 K1, B, IDF_FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
 TOP_N, MIN_SCORE, BOOST, WINDOW_CHARS = 30, 0.05, 0.3, 3000
-DENSE_BLOCK, TEXT_BLOCK, CORPUS_BLOCK = 256, 64, 2048
+DENSE_BLOCK, TEXT_BLOCK = 256, 64  # queries of a block
+CORPUS_BLOCK, CORPUS_TEXTS = 2048, 256  # vectors and texts of a block
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,10 +46,10 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(work, ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in rows.schema.fields))
 
 
-def searched(corpus: DataFrame, queries: DataFrame, block: int, score: Callable[[pd.Series], np.ndarray], places: int, top: int) -> DataFrame:
+def searched(corpus: DataFrame, queries: DataFrame, block: int, score: Callable[[pd.Series], np.ndarray], places: int, top: int, rows: int | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the best ``top`` rows of ``corpus`` (doc_id, ...) for each of ``queries`` (query_id, ...).
-    ``score`` gives the matrix queries x rows of a pair of blocks; scores are rounded to ``places``, ties go to the smaller
-    doc_id."""
+    ``score`` gives the matrix queries x rows of a pair of blocks (``block`` queries, ``rows`` rows); scores are rounded to
+    ``places``, ties go to the smaller doc_id. Each block of queries passes over the corpus once."""
     kind = corpus.schema["doc_id"].dataType.simpleString()
     many = max(1, -(-queries.count() // block))
     asked = packed(queries.repartition(many, F.xxhash64("query_id")), block)
@@ -62,7 +63,7 @@ def searched(corpus: DataFrame, queries: DataFrame, block: int, score: Callable[
                     best = np.lexsort((ids, -line))[:top]
                     yield pd.DataFrame({"query_id": q, "doc_id": ids[best], "score": line[best]})
 
-    met = packed(corpus, CORPUS_BLOCK).crossJoin(asked)  # of blocks: a stated set of queries against all rows
+    met = packed(corpus, rows or CORPUS_BLOCK).crossJoin(asked)  # of blocks: a stated set of queries against all rows
     return ranked(met.mapInPandas(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double"), "query_id", top)
 
 
@@ -99,7 +100,7 @@ class TextIndex:
                     out[:, k] = weight[:, seen] @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
             return out
 
-        return searched(self.docs, q, TEXT_BLOCK, score, 6, top).where("score > 0")
+        return searched(self.docs, q, TEXT_BLOCK, score, 6, top, CORPUS_TEXTS).where("score > 0")
 
 
 _INDEXES: dict[tuple, TextIndex] = {}

@@ -151,9 +151,7 @@ def contextual_prefix(spark, d):
 )
 def summary_sample(spark, d):
     part = chunks_of(spark, d).select("doc_id", "id", F.substring(F.trim("content"), 1, 600).alias("part"))
-    # Six hundred characters a chunk: the sample ends within a document's first chunks, found without sorting the rest.
-    w = Window.partitionBy("doc_id").orderBy("id")
-    first = part.withColumn("before", F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before < 3000")
+    first = B.leading(part, "doc_id", "id", F.length("part"), 3000)
     joined = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "part"))).alias("p"))
     return joined.select("doc_id", F.substring(F.array_join(F.transform("p", lambda x: x["part"]), "\n"), 1, 3000).alias("sample"))
 
