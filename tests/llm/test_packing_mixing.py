@@ -1,6 +1,6 @@
-import pytest
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
