@@ -236,7 +236,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, thresholds: dict[str, float],
 def _shared(members: DataFrame) -> DataFrame:
     """``members`` with a key that a second member has, and how many have it (n). Keys are counted, combined before the
     shuffle, and the counts joined back, so that a key that a third of all nodes share is split over tasks."""
-    return members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # few of the keys: hashed, so the many need no sort
+    return members.join(counts.hint("shuffle_hash"), "key")
 
 
 def _buckets(nodes: DataFrame, tmp: Scratch) -> DataFrame:
