@@ -116,3 +116,17 @@ def test_store_validation_eval(spark):
     assert {"PAGE_COUNT_MISMATCH", "MISSING_FILE_NAME", "NO_TEXT_BLOCKS", "DUPLICATE_TEXT_ID", "TEXT_PAGE_OUT_OF_RANGE", "TEXT_BLOCK_VERY_SHORT", "TEXT_NO_ROLE"} <= codes
     r = spark.createDataFrame([("The cat", ["cat", "dog"]), (None, [])], "a string, k array<string>").select(E.keyword_recall(F.col("a"), F.col("k")).alias("x")).collect()
     assert [v.x for v in r] == [0.5, 1.0]
+
+
+def test_leading_rows_of_a_hot_document(spark):
+    rng = random.Random(5)
+    rows = [(f"d{k % 3 and 1}", f"{k:04d}", "x" * rng.choice([0, 1, 40, 300])) for k in range(900)] + [("n", "0", None)]
+    got = {(r.doc, r.id) for r in B.leading(spark.createDataFrame(rows, "doc string, id string, t string"), "doc", "id", F.length("t"), 900, 7).collect()}
+    want = set()
+    for d in {r[0] for r in rows}:
+        before = 0
+        for _, i, t in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]):
+            if before < 900:
+                want.add((d, i))
+            before += len(t or "")
+    assert got == want
