@@ -172,6 +172,8 @@ def table_sketches(items: DataFrame, kind: str, hot: float = HOT, left_out: floa
 
     def hashed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            if not len(pdf):
+                continue
             parts = [cells(x) for x in pdf["value"]]
             n = np.array([len(p) for p in parts])
             h = pd.util.hash_array(np.array([c for p in parts for c in p], dtype=object)).view(np.int64) if n.sum() else np.empty(0, np.int64)
@@ -292,7 +294,8 @@ def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
         more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         links2 = _verified(more, rows, thresholds, tmp)
         if not links2.isEmpty():
-            comp = components(links.unionByName(links2))
+            stars = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comp = components(stars.unionByName(links2))
 
         rep = first.select(*one, "node").join(comp, "node", "left").select(*one, F.coalesce("component", "node").alias("component"))
         grouped = tmp(rows.select("id", *one).distinct().join(rep, one).select("kind", "id", "component").distinct())

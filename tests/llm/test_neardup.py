@@ -47,6 +47,8 @@ def test_tables_and_kinds(spark):
     got = copy_groups(table_sketches(tables, "table").unionByName(text_sketches(chunks, "chunk")), {"table": 0.65, "chunk": 0.55})
     assert {tuple(r) for r in copy_pairs(got).collect()} == {("table", "t1", "t2"), ("chunk", "t1", "t9")}
     assert copy_groups(text_sketches(chunks.limit(0), "chunk"), {"chunk": 0.55}).count() == 0
+    assert copy_groups(table_sketches(tables.limit(0), "table"), {"table": 0.65}).count() == 0
+    assert copy_groups(table_sketches(tables.where("id in ('t4', 't5')"), "table"), {"table": 0.65}).count() == 0
 
 
 def test_hot_group(spark):
