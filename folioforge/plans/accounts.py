@@ -15,7 +15,6 @@ from folioforge.operators import telemetry as M
 from folioforge.plans.registry import query, sql_strip
 from folioforge.session import table
 
-NOW = "timestamp '1998-06-01 00:00:00'"
 _USERS = "(SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lower(c_name) || '@mail.test' END AS email, CASE WHEN c_custkey % 7 = 0 THEN TIMESTAMP '1997-01-01' END AS disabled_at, c_acctbal AS created_at FROM customer)"
 _SESSIONS = "(SELECT o_orderkey AS token, o_custkey AS user_id, o_orderdate AS expires_at, CASE WHEN o_orderstatus = 'P' THEN TIMESTAMP '1997-01-01' END AS revoked_at FROM orders)"
 _SETTINGS = "(SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'air_gapped' ELSE 'cloud_premium' END AS default_preset FROM customer WHERE c_custkey % 2 = 0)"
@@ -38,7 +37,9 @@ def settings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 == 0, "air_gapped").otherwise("cloud_premium").alias("default_preset"))
 
 
-_NOW = F.expr("timestamp_ntz '1998-06-01 00:00:00'")
+def _now():
+    return F.expr("timestamp_ntz '1998-06-01 00:00:00'")
+
 
 
 @query(f"SELECT u.id, count(*) OVER () AS kept, CAST(NULL AS VARCHAR) AS preset FROM {_USERS} u WHERE FALSE UNION ALL SELECT m + row_number() OVER (ORDER BY username), count(*) OVER (), 'hybrid' FROM (SELECT DISTINCT username FROM (SELECT {sql_strip('username')} AS username FROM (SELECT c_name || CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN ' ' ELSE '-new' END AS username FROM customer WHERE c_custkey % 10 < 4)) WHERE username <> '' AND username NOT IN (SELECT username FROM {_USERS})), (SELECT max(id) AS m FROM {_USERS})")
@@ -55,7 +56,7 @@ def users_insert(spark, d):
 def users_update(spark, d):
     """Some users enabled, some disabled, the others as they were."""
     u = users(spark, d)
-    changes = u.where("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 1, _NOW).alias("disabled_at"))
+    changes = u.where("id % 5 < 2").select("id", F.when(F.col("id") % 5 == 1, _now()).alias("disabled_at"))
     return A.updated(u, changes, "id", "disabled_at").select("id", "username", "disabled_at")
 
 
@@ -67,20 +68,20 @@ def user_settings(spark, d):
 @query(f"SELECT token, CASE WHEN user_id % 11 = 0 AND revoked_at IS NULL THEN TIMESTAMP '1998-06-01' ELSE revoked_at END AS revoked_at, user_id % 11 = 0 AND revoked_at IS NULL AS changed FROM {_SESSIONS} WHERE expires_at >= TIMESTAMP '1998-06-01' - INTERVAL 17520 HOUR")
 def sessions_revoked(spark, d):
     """All sessions of some users revoked, then those purged that expired more than two years ago."""
-    s = A.revoked(sessions(spark, d), F.col("user_id") % 11 == 0, _NOW)
-    return A.purged(s, _NOW, 2 * 365 * 24).select("token", "revoked_at", "changed")
+    s = A.revoked(sessions(spark, d), F.col("user_id") % 11 == 0, _now())
+    return A.purged(s, _now(), 2 * 365 * 24).select("token", "revoked_at", "changed")
 
 
 @query(f"SELECT id AS user_id, TIMESTAMP '1998-06-01' + INTERVAL 168 HOUR AS expires_at FROM {_USERS} WHERE id % 9 = 0")
 def sessions_opened(spark, d):
     ids = users(spark, d).where("id % 9 = 0").select(F.uuid().alias("token"), F.col("id").alias("user_id"))
-    return A.opened(ids, _NOW).select("user_id", "expires_at")
+    return A.opened(ids, _now()).select("user_id", "expires_at")
 
 
 @query(f"SELECT token, user_id, username FROM {_SESSIONS} s JOIN {_USERS} u ON u.id = s.user_id WHERE revoked_at IS NULL AND expires_at >= TIMESTAMP '1998-06-01' AND disabled_at IS NULL")
 def sessions_users(spark, d):
     """Live sessions and their users who are not disabled."""
-    return A.signed_in(sessions(spark, d), users(spark, d), _NOW).select("token", "user_id", "username")
+    return A.signed_in(sessions(spark, d), users(spark, d), _now()).select("token", "user_id", "username")
 
 
 @query(f"SELECT id, username, email, CAST(row_number() OVER (ORDER BY created_at, id) AS INT) AS place FROM {_USERS} QUALIFY place <= 100")
