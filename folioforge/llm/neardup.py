@@ -8,21 +8,21 @@ are formed where they divide something: a band U_i with one member has no copies
 compared as a whole (more pairs than its keys would give, never fewer), only larger ones are divided by V.
 
 The measure that decides is c = common elements / elements of the larger record. Two texts of equal size with c = t = 0.55
-have the Jaccard value J = t / (2 - t) = 0.379; unequal sizes have a larger J. All runs of words are sampled alike. Tables share
-status words and row numbers with any other table, so of the cells that stand in at least a HOT share of all tables the
-hottest are not sampled, at most LEFT_OUT of a table's cells. The order of heat is one for all tables, so two tables with
-c = t = 0.65 lose at most LEFT_OUT of their common cells and keep J = (t - LEFT_OUT) / (2 - t - LEFT_OUT) = 0.364 or more among
-the others. The keys miss such pairs with probability of at most (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.6 % of texts, 0.9 % of
-tables that just reach the threshold, less beyond.
+have the Jaccard value J = t / (2 - t) = 0.379; unequal sizes have a larger J. The keys miss such pairs with probability of
+at most (1 - J^2)^BANDS + (1 - J)^SINGLES: 0.6 % of texts that just reach the threshold, less beyond.
+
+Tables share status words and row numbers with any other table, and a copy may keep only these, so they have no minhashes:
+their keys are their rarest elements (a prefix filter). Two records that reach the threshold share one of the size -
+ceil(threshold x size) + 1 elements of each that come first in order of rarity, so no pair is lost.
 
 Candidates that the records' sizes or bit maps (a bit an element) rule out are dropped before any elements are moved; none that
 reach the threshold is. The others are verified on whole records: common / larger >= threshold, elements being 32-bit fingerprints (two different
 elements of a pair of records of a hundred agree by chance in two of a million pairs, which matters only where that one
 element decides). To link a hot bucket without all its pairs, first every member is compared with the bucket's smallest
 node; after the components of these links are known, only pairs of nodes that are still in different components are
-compared. The nodes of such buckets of more than WIDE components are compared where their rarest elements meet (a prefix
-filter): two records that reach the threshold share one of the size - ceil(threshold x size) + 1 elements of each that
-come first in order of rarity, so none is lost.
+compared. The nodes of such buckets of more than WIDE components are compared where their
+rarest elements meet, and where many nodes share such an element, by the next common element too: the k-th rarest that two
+such records have in common is among the first size - ceil(threshold x size) + k of both.
 
 Defined results: records without any word or cell (null, empty) belong to no group; texts of fewer than WORDS words are
 one run; repeated rows of an id count once; ids of different kinds are never compared; extra columns are ignored.
@@ -45,7 +45,6 @@ from folioforge.llm.textnorm import canonical, needs
 from folioforge.session import Scratch, stage
 
 WORDS, BANDS, SINGLES, DIRECT, WIDE, LONGS = 3, 34, 16, 4, 32, 8
-HOT, LEFT_OUT = 0.001, 0.25  # share of the tables from which a cell is hot; share of a table's cells that may be left out for it
 ASKED = 200_000  # candidates that are broadcast to pick their grams
 SKETCH_SCHEMA = "kind string, id string, c1 bigint, c2 bigint, grams array<int>, bits array<bigint>, u array<int>, v array<int>"
 _MARKS = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if c < 0x3400 and unicodedata.category(chr(c))[0] in 'PS')}‼️]+")
@@ -127,15 +126,15 @@ def _bits(g: np.ndarray, m: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketched(kind: str, ids: np.ndarray, g: np.ndarray, m: np.ndarray, sampled: np.ndarray | None = None) -> pd.DataFrame:
-    """Sketch rows of records with ``m`` elements each, all in ``g``; ``sampled`` marks those that minhashes may choose."""
+def _sketched(kind: str, ids: np.ndarray, g: np.ndarray, m: np.ndarray, banded: bool) -> pd.DataFrame:
+    """Sketch rows of records with ``m`` elements each, all in ``g``; without minhashes unless ``banded``."""
     starts = np.cumsum(m) - m
-    if sampled is None:
+    if banded:
         sig = _minhashes(g, starts)
+        bands = sig[:, : 2 * BANDS].reshape(len(sig), BANDS, 2)
+        u, v = list(_int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))), list(_int32(sig[:, 2 * BANDS :]))
     else:
-        left = np.add.reduceat(sampled.astype(np.int64), starts)
-        sig = _minhashes(g[sampled], np.cumsum(left) - left)
-    bands = sig[:, : 2 * BANDS].reshape(len(sig), BANDS, 2)
+        u = v = [np.empty(0, np.int32)] * len(m)
     # Two independent sums of 64 bits, one with the size, identify the whole multiset.
     a, b = np.add.reduceat(_mix(g ^ np.uint64(11)), starts), _mix(np.add.reduceat(_mix(g ^ np.uint64(13)), starts) + m.astype(np.uint64))
     return pd.DataFrame(
@@ -146,8 +145,8 @@ def _sketched(kind: str, ids: np.ndarray, g: np.ndarray, m: np.ndarray, sampled:
             "c2": b.view(np.int64),
             "grams": np.split((g >> np.uint64(32)).astype(np.uint32).view(np.int32), starts[1:]),
             "bits": list(_bits(g, m)),
-            "u": list(_int32(_mix(bands[:, :, 0]) + bands[:, :, 1] * np.uint64(3))),
-            "v": list(_int32(sig[:, 2 * BANDS :])),
+            "u": u,
+            "v": v,
         }
     )
 
@@ -161,50 +160,24 @@ def text_sketches(items: DataFrame, kind: str, run: int = WORDS) -> DataFrame:
                 part = pdf.iloc[i : i + 1000]
                 g, m = runs([words(x) for x in part["content"]], run)
                 if (m > 0).any():
-                    yield _sketched(kind, part["id"].to_numpy()[m > 0], g, m[m > 0])
+                    yield _sketched(kind, part["id"].to_numpy()[m > 0], g, m[m > 0], True)
 
     return items.where(F.col("id").isNotNull() & F.col("content").isNotNull()).select("id", "content").mapInPandas(work, SKETCH_SCHEMA)
 
 
-def table_sketches(items: DataFrame, kind: str, hot: float = HOT, left_out: float = LEFT_OUT) -> DataFrame:
-    """Sketches of ``items`` (id, rows)."""
+def table_sketches(items: DataFrame, kind: str) -> DataFrame:
+    """Sketches of ``items`` (id, rows); tables have no minhashes."""
     flat = F.array_join(F.flatten(F.filter("rows", lambda r: r.isNotNull())), "\x1f")
 
-    def hashed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            if not len(pdf):
-                continue
             parts = [cells(x) for x in pdf["value"]]
-            n = np.array([len(p) for p in parts])
-            h = pd.util.hash_array(np.array([c for p in parts for c in p], dtype=object)).view(np.int64) if n.sum() else np.empty(0, np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "cells": np.split(h, np.cumsum(n)[:-1])})[n > 0]
-
-    rows = items.where(F.col("id").isNotNull() & F.col("rows").isNotNull()).select("id", flat.alias("value"))
-    all_ = stage(rows.mapInPandas(hashed, "id string, cells array<bigint>"))
-    least = max(2, int(hot * all_.count()))
-    # At most (mean number of a table's cells) / ``hot`` rows, whatever the number of tables.
-    found = all_.select(F.explode(F.array_distinct("cells")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= least).toPandas()
-    cell = found["cell"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(cell)
-    cell, heat = cell[order], found["n"].to_numpy(np.int64)[order]
+            m = np.array([len(p) for p in parts], np.int64)
+            if m.sum():
+                h = pd.util.hash_array(np.array([c for p in parts for c in p], dtype=object))
+                yield _sketched(kind, pdf["id"].to_numpy()[m > 0], occurrences(h, np.repeat(np.arange(len(m)), m))[0], m[m > 0], False)
 
-    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            m = np.array([len(c) for c in pdf["cells"]])
-            if not len(m):
-                continue
-            h = np.concatenate(pdf["cells"].to_list()).astype(np.int64).view(np.uint64)
-            g, raw, rec = occurrences(h, np.repeat(np.arange(len(m)), m))
-            sampled = np.ones(len(g), bool)
-            if len(cell):
-                at = np.minimum(np.searchsorted(cell, raw), len(cell) - 1)
-                warm = np.where(cell[at] == raw, heat[at], 0)
-                hottest = np.lexsort((g, -warm, rec))
-                place = np.arange(len(g)) - np.repeat(np.cumsum(m) - m, m)
-                sampled[hottest] = (warm[hottest] == 0) | (place >= np.floor(left_out * np.repeat(m, m)))
-            yield _sketched(kind, pdf["id"].to_numpy(), g, m, sampled)
-
-    return all_.mapInPandas(work, SKETCH_SCHEMA)
+    return items.where(F.col("id").isNotNull() & F.col("rows").isNotNull()).select("id", flat.alias("value")).mapInPandas(work, SKETCH_SCHEMA)
 
 
 def _least(kind: str, thresholds: dict[str, float]) -> Column:
@@ -242,27 +215,61 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(counts.hint("shuffle_hash"), "key")
 
 
-def _buckets(nodes: DataFrame, tmp: Scratch) -> DataFrame:
+def _buckets(nodes: DataFrame, thresholds: dict[str, float], tmp: Scratch) -> DataFrame:
     """key, node, lo, hi, n of the buckets with a second member."""
     band = nodes.select("node", F.posexplode("u").alias("i", "h"), "kind").select("node", F.xxhash64("kind", "i", "h").alias("key"))
     shared = tmp(_shared(band).select("key", "node", "n"))
     large = shared.where(F.col("n") > DIRECT).select("node", F.col("key").alias("band"))
     full = large.join(nodes.select("node", "v"), "node").select("node", "band", F.posexplode("v").alias("j", "h"))
     tables = _shared(full.select("node", F.xxhash64("band", "j", "h").alias("key"))).select("key", "node")
-    kept = tmp(shared.where(F.col("n") <= DIRECT).select("key", "node").unionByName(tables))
+    rare = _first_keys(_ranked(nodes.where(F.size("u") == 0), thresholds)).select("key", "node")
+    kept = tmp(shared.where(F.col("n") <= DIRECT).select("key", "node").unionByName(tables).unionByName(rare))
     tmp.drop(shared)
-    return kept.join(kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")), "key")
-
-
-def rare_cells(nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """key, node, component: the rarest elements of ``nodes`` (node, component, kind, grams), so many of each that any two
-    nodes of a kind that reach its threshold have a key in common. Elements of one node form no keys."""
-    sized = nodes.withColumn("g", F.array_distinct("grams")).withColumn("prefix", F.size("g") - F.ceil(_least("kind", thresholds) * F.size("grams") - 1e-9) + 1)
-    each = sized.select("node", "component", "kind", "prefix", F.size("g").alias("all"), F.explode("g").alias("gram"))
-    counted = each.groupBy("kind", "gram").agg(F.count("*").alias("n")).where("n > 1")
-    shared = each.join(counted, ["kind", "gram"]).groupBy("node", "component", "kind", "prefix", "all").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("s"))
-    left = F.greatest(F.lit(0), F.col("prefix") - (F.col("all") - F.size("s")))  # the node's own elements are its rarest
-    return shared.select("node", "component", "kind", F.explode(F.slice("s", F.lit(1), left.cast("int"))).alias("x")).select(F.xxhash64("kind", "x.gram").alias("key"), "node", "component")
+    return kept.join(kept.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _ranked(nodes: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """node, kind, least, s: the elements (n, gram) of ``nodes`` (node, kind, grams) that other nodes have too, rarest first,
+    and how many a copy must have in common. A node's own elements come before these in the order of rarity, so of any two
+    copies the k-th rarest common element is among the first size(s) - least + k of both."""
+    least = F.ceil(_least("kind", thresholds) * F.size("grams") - 1e-9).cast("int").alias("least")
+    each = nodes.select("node", "kind", least, F.explode(F.array_distinct("grams")).alias("gram"))
+    counted = each.groupBy("kind", "gram").agg(F.count("*").alias("n")).where("n > 1").hint("shuffle_hash")
+    return each.join(counted, ["kind", "gram"]).groupBy("node", "kind", "least").agg(F.sort_array(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "gram"))).alias("s"))
+
+
+def _first_keys(ranked: DataFrame) -> DataFrame:
+    """key, node, pos: one key for each element of a node that may be the rarest it has in common with a copy."""
+    first = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.size("s") - F.col("least") + 1))
+    return ranked.select("node", "kind", F.posexplode(first).alias("pos", "x")).select(F.xxhash64("kind", "x.gram").alias("key"), "node", "pos")
+
+
+def rare_cells(nodes: DataFrame, thresholds: dict[str, float], tmp: Scratch) -> DataFrame:
+    """key, node, component: keys of the rarest elements of ``nodes`` (node, component, kind, grams), so many that any two
+    nodes of a kind and of different components that reach its threshold have a key in common. The members of a key are
+    divided by the next rarer common element, and so on, as long as that makes fewer rows than comparing them."""
+    ranked = tmp(_ranked(nodes.select("node", "kind", "grams"), thresholds))
+    known = tmp(nodes.select("node", "component"))
+    level, keys, out = 1, tmp(_first_keys(ranked).join(known, "node")), None
+    while True:
+        several = keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("pos").alias("pos")).where("lo <> hi")
+        open_ = tmp(keys.join(several.select("key", "n", F.col("pos").alias("low")), "key"))
+        tmp.drop(keys)
+        parts = open_.where((F.col("n") > WIDE) & (F.col("low") >= 0)).select("key", "component").distinct().groupBy("key").agg(F.count("*").alias("parts")).where(F.col("parts") > WIDE)
+        sized = ranked.select("node", "least", F.least(F.size("s"), F.size("s") - F.col("least") + level + 1).alias("end"))
+        wide = open_.join(parts, "key").select("key", "node", "pos", "parts").join(sized, "node")
+        divided = tmp(wide.groupBy("key").agg(F.max(F.col("end") - F.col("pos")).alias("fan"), F.max("parts").alias("parts")).where("parts > 2 * fan").select("key"))
+        whole = open_.join(divided, "key", "left_anti").select("key", "node", "component")
+        out = whole if out is None else out.unionByName(whole)
+        if divided.isEmpty():
+            return out
+        # Where two nodes have all of their common elements in the key already, they meet under its end (pos -1).
+        later = open_.join(divided, "key", "left_semi").join(ranked, "node")
+        level += 1
+        rest = F.transform(F.slice("s", F.col("pos") + 2, F.greatest(F.lit(0), F.size("s") - F.col("least") + level - F.col("pos") - 1)), lambda x, i: F.struct(F.xxhash64("key", x["gram"]).alias("key"), (F.col("pos") + 1 + i).alias("pos")))
+        end = F.when(F.col("least") < level, F.array(F.struct(F.xxhash64("key", F.lit("end")).alias("key"), F.lit(-1).alias("pos"))))
+        each = later.select("node", "component", F.explode(F.concat(rest, F.coalesce(end, F.array().cast("array<struct<key:bigint,pos:int>>")))).alias("x"))
+        keys = tmp(each.select("x.key", "node", "x.pos", "component"))
 
 
 def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -273,7 +280,7 @@ def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
         first = tmp(rows.groupBy(*one).agg(F.min(F.struct("id", "node")).alias("x")).select(*one, "x.*"))
         nodes = rows.join(first.select("node"), "node", "left_semi")
 
-        buckets = tmp(_buckets(nodes.select("node", "kind", "u", "v"), tmp))
+        buckets = tmp(_buckets(nodes.select("node", "kind", "grams", "u", "v"), thresholds, tmp))
         pair = F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("node"))
         tried = tmp(buckets.where("n > 2 or node = lo").select(F.col("lo").alias("a"), pair.alias("b")).where("a <> b").distinct())
         links = _verified(tried, rows, thresholds, tmp)
@@ -281,11 +288,12 @@ def copy_groups(sketches: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
         # What is left in bigger buckets: pairs of nodes in different components.
         open_ = buckets.where("n > 2").select("key", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.approx_count_distinct("component").alias("parts")).where("lo <> hi")
-        open_ = tmp(open_.join(several.select("key", "parts"), "key"))
-        narrow = open_.where(F.col("parts") <= WIDE).select("key", "node", "component")
-        wide = open_.where(F.col("parts") > WIDE).select("node", "component").distinct().join(rows.select("node", "kind", "grams"), "node")
-        cell = tmp(narrow.unionByName(rare_cells(wide, thresholds).select("key", "node", "component")))
+        several = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        open_ = tmp(open_.join(several.select("key", "n"), "key"))
+        wide = tmp(open_.where(F.col("n") > WIDE).select("key", "component").distinct().groupBy("key").agg(F.count("*").alias("parts")).where(F.col("parts") > WIDE).select("key"))
+        narrow = open_.join(wide, "key", "left_anti").select("key", "node", "component")
+        crowd = tmp(open_.join(wide, "key", "left_semi").select("node", "component").distinct().join(rows.select("node", "kind", "grams"), "node"))
+        cell = tmp(narrow if wide.isEmpty() else narrow.unionByName(rare_cells(crowd, thresholds, tmp)))
         # Pairs of components first, then their members: members of one component never meet.
         parts = cell.select("key", "component").distinct()
         side = lambda t, c: t.select("key", F.col("component").alias(f"c{c}"), *([F.col("node").alias(c)] if "node" in t.columns else []))

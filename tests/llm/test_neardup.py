@@ -109,3 +109,29 @@ def test_hot_cells(spark):
         rows += [(f"t{k:03d}a", [hot, own]), (f"t{k:03d}b", [own[:7] + ["new", f"n{k}"], hot])]
     got = {(r.id_a, r.id_b) for r in copy_pairs(copy_groups(table_sketches(spark.createDataFrame(rows, "id string, rows array<array<string>>"), "table"), {"table": 0.65})).collect()}
     assert got == {(f"t{k:03d}a", f"t{k:03d}b") for k in range(120)}
+
+
+def test_hot_cells_at_the_threshold(spark):
+    """Pairs that just reach the threshold, a quarter of their cells common to all tables: every one is found."""
+    rng = random.Random(4)
+    hot = ["ok", "total", "yes", "1", "2"]
+    rows = []
+    for k in range(1500):
+        own = [f"c{rng.randrange(10**9)}" for _ in range(15)]
+        rows += [(f"t{k:04d}a", [hot, own]), (f"t{k:04d}b", [own[:8] + [f"n{rng.randrange(10**9)}" for _ in range(7)], hot])]
+    got = {(r.id_a, r.id_b) for r in copy_pairs(copy_groups(table_sketches(spark.createDataFrame(rows, "id string, rows array<array<string>>"), "table"), {"table": 0.65})).collect()}
+    assert got == {(f"t{k:04d}a", f"t{k:04d}b") for k in range(1500)}
+
+
+def test_crowded_cells(spark):
+    """Tables of numbers, states and few dates: crowded cells are divided by the next common cell, and no copy is lost."""
+    rng = random.Random(6)
+    tables = {}
+    for k in range(400):
+        base = [[str(r), f"text {rng.randrange(10**9)}", f"day {rng.randrange(25)}", rng.choice(["open", "done"])] for r in range(rng.choice([4, 6]))]
+        tables[f"t{k:03d}a"] = base
+        if k % 4 == 0:  # all own texts replaced: what is left in common stands in many tables
+            tables[f"t{k:03d}b"] = [[r[0], f"new {rng.randrange(10**9)}", r[2], r[3]] for r in base]
+    items = {i: Counter(c for r in t for c in r) for i, t in tables.items()}
+    got = copy_groups(table_sketches(spark.createDataFrame(list(tables.items()), "id string, rows array<array<string>>"), "table"), {"table": 0.65})
+    assert {(r.id_a, r.id_b) for r in copy_pairs(got).collect()} == brute(items, 0.65)
