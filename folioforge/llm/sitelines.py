@@ -8,8 +8,9 @@ A leaf's template covers the documents of all its lines.
 Every step is an aggregate that merges: each partition grows its own trees (the partial aggregation), the shuffle on the
 path merges leaf with leaf, and two templates merge slot by slot. Coverage is counted over (leaf, document) pairs made
 distinct first, so that a template in every document of the largest source never meets in one task. Templates that cover
-too few documents are dropped with all their lines: a line's documents are among its template's. An exact check follows on the
-lines of the others, because a template's lines may differ in a wildcard slot: a line counts as often as its own letters.
+too few documents are dropped with all their lines: a line's documents are among its template's. The lines of the others are
+stock lines where the template has no wildcard, since then its documents are theirs. Only lines of a template with a wildcard
+go through an exact check, because there a line counts as often as its own letters.
 
 Defined results: null or empty content has no lines; lines of documents without a listed source are never cases;
 repeated rows count once per document; a source is compared without case and outer blanks; extra columns are kept, and
@@ -78,13 +79,18 @@ def _listed(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def stock_lines(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """block_id, doc_id, line_no, source of every line that stands in at least ``min_docs`` documents and ``min_share`` of
-    the documents listed for its source, found through the templates that cover so many."""
+    the documents listed for its source: all lines of the templates that cover so many and have no wildcard, and those of
+    the others that cover so many on their own."""
     sources, listed = _listed(meta)
     lines = stage(parsed_lines(blocks).join(sources, "doc_id"))
     templates = _covering(lines, listed, min_docs, min_share, "leaf").drop("docs")
     open_ = stage(lines.join(templates, ["source", "leaf"], "left_semi"))
-    exact = _covering(open_, listed, min_docs, min_share, "own", "rest").drop("docs")
-    return open_.join(exact, ["source", "own", "rest"], "left_semi").select("block_id", "doc_id", "line_no", "source")
+    fixed = open_.groupBy("source", "leaf").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("own", "rest") for f in (F.min, F.max)))
+    fixed = fixed.where("min_own = max_own and min_rest = max_rest").select("source", "leaf")
+    mixed = open_.join(fixed, ["source", "leaf"], "left_anti")
+    exact = _covering(mixed, listed, min_docs, min_share, "own", "rest").drop("docs")
+    found = open_.join(fixed, ["source", "leaf"], "left_semi").unionByName(mixed.join(exact, ["source", "own", "rest"], "left_semi").select(*open_.columns))
+    return found.select("block_id", "doc_id", "line_no", "source")
 
 
 def templates(blocks: DataFrame, meta: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from folioforge.llm import sitelines
 from folioforge.llm.sitelines import stock_lines, templates, without_stock_lines
 
 STOCK = "This copy was issued by the counter and may not be forwarded, no. {}."
@@ -43,3 +46,27 @@ def test_templates(spark):
     t = templates(blocks, meta).collect()
     assert len(t) == 1 and t[0].docs == 6 and t[0].lines == 6 and "<*>" in t[0].template and 0 < t[0].fixed < 1
     assert {r.block_id for r in stock_lines(blocks, meta).collect()} == {"b0", "b1", "b2", "b3"}
+
+
+def test_templates_decide(spark, monkeypatch):
+    """Lines of a template without a wildcard are found by the template; only those of others are counted on their own."""
+    stock, other, fixed = "Issued by the county archive for reading alpha only", "Issued by the county archive for reading gamma only", "Printed in the reading room, copy {}"
+    rows = [(f"b{k}", f"d{k}", f"{stock if k < 4 else other}\n{fixed.format(k)}") for k in range(6)] + [("own", "d0", "An entirely different line of this one document")]
+    blocks = spark.createDataFrame(rows, "id string, doc_id string, content string")
+    meta = spark.createDataFrame([(f"d{k}", "scanner") for k in range(6)], "doc_id string, source string")
+    real, counted = sitelines._covering, {}
+
+    def covering(lines, listed, min_docs, min_share, *keys):
+        counted[keys] = lines.count()
+        return real(lines, listed, min_docs, min_share, *keys)
+
+    monkeypatch.setattr(sitelines, "_covering", covering)
+    found = {(r.block_id, r.line_no) for r in stock_lines(blocks, meta).collect()}
+    assert found == {(f"b{k}", 1) for k in range(4)} | {(f"b{k}", 2) for k in range(6)}
+    assert counted == {("leaf",): 13, ("own", "rest"): 6}
+
+    def every(lines, listed, min_docs, min_share, *keys):
+        return lines.select("source", "leaf", F.lit(1).alias("docs")).distinct() if keys == ("leaf",) else real(lines, listed, min_docs, min_share, *keys)
+
+    monkeypatch.setattr(sitelines, "_covering", every)
+    assert {(r.block_id, r.line_no) for r in stock_lines(blocks, meta).collect()} == found | {("own", 1)}
