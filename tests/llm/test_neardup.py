@@ -4,8 +4,10 @@ from collections import Counter
 
 import pytest
 
+from folioforge.llm import neardup
 from folioforge.llm.components import components
 from folioforge.llm.neardup import cells, copy_groups, copy_pairs, table_sketches, text_sketches, words
+from folioforge.session import Scratch
 
 
 def brute(items, threshold):
@@ -135,3 +137,58 @@ def test_crowded_cells(spark):
     items = {i: Counter(c for r in t for c in r) for i, t in tables.items()}
     got = copy_groups(table_sketches(spark.createDataFrame(list(tables.items()), "id string, rows array<array<string>>"), "table"), {"table": 0.65})
     assert {(r.id_a, r.id_b) for r in copy_pairs(got).collect()} == brute(items, 0.65)
+
+
+def _stock_texts(rng, n, stock):
+    """Texts of stock sentences, every tenth with a copy that has one of them replaced."""
+    pool = [" ".join(f"w{rng.randrange(3000)}" for _ in range(12)) for _ in range(stock)]
+    out = {}
+    for k in range(n):
+        parts = rng.sample(pool, 8)
+        out[f"s{k:05d}a"] = ". ".join(parts)
+        if k % 10 == 0:
+            out[f"s{k:05d}b"] = ". ".join([" ".join(f"n{rng.randrange(10**6)}" for _ in range(12)), *parts[1:]])
+    return out
+
+
+@pytest.mark.parametrize("direct", [2, neardup.DIRECT])
+def test_stock_sentences(spark, monkeypatch, direct):
+    """Buckets of either way to compare them, of texts and of tables, hold the pairs that brute force finds."""
+    monkeypatch.setattr(neardup, "DIRECT", direct)
+    texts = _stock_texts(random.Random(3), 200, 150)
+    rng = random.Random(6)
+    tables = {f"t{k:03d}": [[str(r), f"day {rng.randrange(9)}", rng.choice(["open", "done"]), f"v{rng.randrange(60)}"] for r in range(4)] for k in range(250)}
+    sketches = text_sketches(spark.createDataFrame(list(texts.items()), "id string, content string"), "chunk")
+    sketches = sketches.unionByName(table_sketches(spark.createDataFrame(list(tables.items()), "id string, rows array<array<string>>"), "table"))
+    got = {tuple(r) for r in copy_pairs(copy_groups(sketches, {"chunk": 0.55, "table": 0.65})).collect()}
+    runs = {i: Counter(zip(*(words(t)[k:] for k in range(3)))) for i, t in texts.items()}
+    items = {i: Counter(c for r in t for c in r) for i, t in tables.items()}
+    assert got == {("chunk", *p) for p in brute(runs, 0.55)} | {("table", *p) for p in brute(items, 0.65)}
+
+
+def test_pairs_ruled_out_are_not_moved(spark):
+    """Pairs that meet under a key but differ in their bits are not shuffled: a larger corpus moves hardly more bytes a text."""
+
+    def moved(n):
+        df = spark.createDataFrame(list(_stock_texts(random.Random(8), n, 300).items()), "id string, content string")
+        status = spark.sparkContext._jsc.sc().statusStore()
+        before = status.executorList(True).head().totalShuffleWrite()
+        got = copy_pairs(copy_groups(text_sketches(df, "chunk"), {"chunk": 0.55})).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert got >= n // 10
+        return (status.executorList(True).head().totalShuffleWrite() - before) / n
+
+    few, many = moved(300), moved(1500)
+    assert many < 1.3 * few
+
+
+def test_linked_cells_are_not_divided(spark):
+    """Elements that always come together: dividing a key by the next of them leaves all its pairs, so it is compared whole."""
+    nodes = [(n, n, "table", [*range(10), *range(1000 + 4 * n, 1004 + 4 * n)]) for n in range(60)]
+    df = spark.createDataFrame(nodes, "node long, component long, kind string, grams array<int>")
+    with Scratch() as tmp:
+        got = [(r.key, r.node) for r in neardup.rare_cells(df, {"table": 0.5}, tmp).select("key", "node").collect()]
+    by = {}
+    for key, node in got:
+        by.setdefault(key, set()).add(node)
+    assert any(len(v) == 60 for v in by.values()) and len(got) <= 4 * 60
