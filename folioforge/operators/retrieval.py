@@ -1,9 +1,9 @@
 """Lexical, dense and fused retrieval, reranking and context expansion as DataFrame plans.
 
 A set of queries meets the corpus in blocks: queries are packed some to a row, and so are the rows of the corpus where they
-lie; each pair of blocks is scored as a matrix and gives its best rows only. So neither side need be small, no pair of rows is
-ever a row, and a block of queries (whose size is fixed) is all that is sent to a task besides the corpus. Corpus statistics
-are aggregated once, into an index that later searches reuse as long as the corpus stays the same.
+lie; each pair of blocks is scored as a matrix, and a task keeps the best rows of each query from pair to pair. So neither side
+need be small, no pair of rows is ever a row, and a block of queries (whose size is fixed) is all that is sent to a task besides
+the corpus. Corpus statistics are aggregated once, into an index that later searches reuse as long as the corpus stays the same.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +22,9 @@ from folioforge.session import stage
 
 K1, B, IDF_FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
 TOP_N, MIN_SCORE, BOOST, WINDOW_CHARS = 30, 0.05, 0.3, 3000
-DENSE_BLOCK, TEXT_BLOCK = 256, 64  # queries of a block
-CORPUS_BLOCK, CORPUS_TEXTS = 2048, 256  # vectors and texts of a block
+DENSE_BLOCK, TEXT_BLOCK = 256, 2048  # queries of a block
+CORPUS_BLOCK, CORPUS_TEXTS = 2048, 2048  # vectors and texts of a block
+DENSE_SHARE, MEETINGS = 0.002, 2_000_000  # of a matrix that a word fills to be multiplied; other meetings that are added at once
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,49 +34,165 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return exploded.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """``size`` consecutive rows of a partition as one row of arrays; nothing is moved."""
+def _one(column: pa.Array) -> pa.Array:
+    """A column as one row, an array."""
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.concat_arrays([column]))
+
+
+def _bytes(*numbers: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in numbers]
+
+
+def in_blocks(rows: DataFrame, size: int, pack: Callable[[pa.RecordBatch], list[pa.Array]], schema: str) -> DataFrame:
+    """``size`` consecutive rows of a partition as one row; nothing is moved."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i in range(0, b.num_rows, size):
-                part = b.slice(i, size)
-                ends = pa.array([0, part.num_rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in part.columns], part.schema.names)
-
-    return rows.mapInArrow(work, ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in rows.schema.fields))
+                yield pa.RecordBatch.from_arrays(pack(b.slice(i, size)), names)
 
+    return rows.mapInArrow(work, schema)
 
-def searched(corpus: DataFrame, queries: DataFrame, block: int, score: Callable[[pd.Series], np.ndarray], places: int, top: int, rows: int | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank: the best ``top`` rows of ``corpus`` (doc_id, ...) for each of ``queries`` (query_id, ...).
-    ``score`` gives the matrix queries x rows of a pair of blocks (``block`` queries, ``rows`` rows); scores are rounded to
-    ``places``, ties go to the smaller doc_id. Each block of queries passes over the corpus once."""
-    kind = corpus.schema["doc_id"].dataType.simpleString()
-    many = max(1, -(-queries.count() // block))
-    asked = packed(queries.repartition(many, F.xxhash64("query_id")), block)
 
-    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for _, pair in pdf.iterrows():
-                ids = np.array(pair["doc_id"])
-                s = np.round(score(pair), places)
-                for q, line in zip(pair["query_id"], s):
-                    best = np.lexsort((ids, -line))[:top]
-                    yield pd.DataFrame({"query_id": q, "doc_id": ids[best], "score": line[best]})
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of ``size`` rows, an array for each column."""
+    return in_blocks(rows, size, lambda part: [_one(c) for c in part.columns], ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in rows.schema.fields))
+
+
+def postings_packed(terms: DataFrame, size: int) -> DataFrame:
+    """Blocks of ``size`` documents (doc_id, t): their ids, the distinct words, in how many documents each is, and word by word
+    these documents and how often they have it; the documents' lengths and the sum of these."""
+
+    def pack(part: pa.RecordBatch) -> list[pa.Array]:
+        dl, coded = pc.list_value_length(part.column("t")).to_numpy(), part.column("t").flatten().dictionary_encode()
+        key = np.sort(coded.indices.to_numpy() * np.int64(len(dl)) + np.repeat(np.arange(len(dl)), dl))
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        df = np.bincount(key[first] // len(dl), minlength=len(coded.dictionary)).astype("int32")
+        numbers = _bytes(*(x.astype("int32") for x in (key[first] % len(dl), np.diff(first, append=len(key)), dl)))
+        return [_one(part.column("doc_id")), _one(coded.dictionary), _one(pa.array(df)), *numbers, pa.array([len(key)])]
+
+    return in_blocks(terms, size, pack, f"doc_id array<{terms.schema['doc_id'].dataType.simpleString()}>, word array<string>, df array<int>, doc binary, tf binary, dl binary, words bigint")
+
+
+def weights_packed(queries: DataFrame, size: int) -> DataFrame:
+    """Blocks of ``size`` queries (query_id, term, w): their ids, the distinct words, in how many queries each is, and word by
+    word these queries and its weights."""
+
+    def pack(part: pa.RecordBatch) -> list[pa.Array]:
+        count, coded = pc.list_value_length(part.column("term")).to_numpy(), part.column("term").flatten().dictionary_encode()
+        codes, whose = coded.indices.to_numpy(), np.repeat(np.arange(len(count), dtype="int32"), count)
+        order = np.argsort(codes, kind="stable")
+        numbers = _bytes(np.bincount(codes, minlength=len(coded.dictionary)).astype("int32"), whose[order], part.column("w").flatten().to_numpy()[order])
+        return [_one(part.column("query_id")), _one(coded.dictionary), *numbers]
+
+    return in_blocks(queries, size, pack, f"query_id array<{queries.schema['query_id'].dataType.simpleString()}>, term array<string>, qf binary, query binary, w binary")
+
+
+class _Best:
+    """The best ``top`` rows so far for each query of a block; scores are rounded to ``places``, ties go to the smaller id. With
+    ``positive``, rows scored zero or less are none."""
+
+    def __init__(self, queries: int, top: int, places: int, positive: bool) -> None:
+        self.top, self.places, self.positive = top, places, positive
+        self.query, self.score, self.ids = np.empty(0, "int64"), np.empty(0), None
+        self.low = np.full(queries, -np.inf)  # the last of the best scores, once there are ``top``
+
+    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
+        """``s``: the scores, queries x ``ids``."""
+        low = self.low.copy()
+        if s.shape[1] > self.top:
+            for k in np.flatnonzero(np.isneginf(low)):
+                low[k] = np.partition(s[k], -self.top)[-self.top]
+        least = low - 10.0**-self.places  # rounding lifts no score further
+        if self.positive:
+            least = np.maximum(least, np.nextafter(0, 1))
+        query, at = np.nonzero(s >= least[:, None])
+        score = np.round(s[query, at], self.places)
+        if self.positive:
+            query, at, score = (x[score > 0] for x in (query, at, score))
+        if not len(query):
+            return
+        found = ids[at] if self.ids is None else np.concatenate([self.ids, ids[at]])
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        order = np.lexsort((found, -score, query))
+        number = np.bincount(query, minlength=len(low))
+        kept = order[np.arange(len(order)) - np.repeat(np.cumsum(number) - number, number) < self.top]
+        self.query, self.score, self.ids = query[kept], score[kept], found[kept]
+        full = number >= self.top
+        self.low[full] = self.score[np.cumsum(np.minimum(number, self.top))[full] - 1]
+
+
+def searched(corpus: DataFrame, asked: DataFrame, score: Callable[[dict], np.ndarray], places: int, top: int, positive: bool = False) -> DataFrame:
+    """query_id, doc_id, score, rank: the best ``top`` rows of the blocks ``corpus`` (doc_id, ...) for each query of the blocks
+    ``asked`` (query_id, ...). ``score`` gives the matrix queries x rows of a pair of blocks. A task keeps the best rows of its
+    queries from pair to pair, so that ``top`` rows a query leave it however many blocks it met."""
+    kinds = [df.schema[c].dataType.elementType.simpleString() for c, df in (("query_id", asked), ("doc_id", corpus))]
 
-    met = packed(corpus, rows or CORPUS_BLOCK).crossJoin(asked)  # of blocks: a stated set of queries against all rows
-    return ranked(met.mapInPandas(work, f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {kind}, score double"), "query_id", top)
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _Best] = {}
+        for b in it:
+            types = [b.schema.field(c).type.value_type for c in ("query_id", "doc_id")]
+            for i in range(b.num_rows):
+                pair = {n: c[i].values if isinstance(c, pa.ListArray) else c[i].as_py() for n, c in zip(b.schema.names, b.columns)}
+                key = tuple(pair["query_id"].to_pylist())
+                if key not in held:
+                    held[key] = _Best(len(key), top, places, positive)
+                held[key].add(score(pair), pair["doc_id"].to_numpy(zero_copy_only=False))
+        for key, best in held.items():
+            if best.ids is not None:
+                columns = [pa.array(key, types[0]).take(pa.array(best.query)), pa.array(best.ids, types[1]), pa.array(best.score)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "score"])
+
+    met = corpus.crossJoin(asked)  # of blocks: a stated set of queries against all rows
+    return ranked(met.mapInArrow(work, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"), "query_id", top)
+
+
+def spread(queries: DataFrame, block: int) -> DataFrame:
+    """``queries`` in partitions that seldom hold more than ``block`` rows."""
+    return queries.repartition(max(1, -(-queries.count() * 10 // (block * 9))), F.xxhash64("query_id"))
+
+
+def _spans(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``count`` numbers from each ``first`` on, and the place of the first that each belongs to."""
+    whose = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(whose)) + (first - np.cumsum(count) + count)[whose], whose
+
+
+def _bm25(pair: dict, avgdl: float) -> np.ndarray:
+    """BM25 of a block of queries and one of documents: words that meet in much of the matrix by a product of matrices, the
+    others meeting by meeting."""
+    doc, tf, dl, qf, query = (np.frombuffer(pair[c], "int32") for c in ("doc", "tf", "dl", "qf", "query"))
+    df, w, shape = pair["df"].to_numpy(), np.frombuffer(pair["w"]), (len(pair["query_id"]), len(pair["doc_id"]))
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+    at = pc.fill_null(pc.index_in(pair["word"], value_set=pair["term"]), -1).to_numpy()
+    word = np.flatnonzero(at >= 0)
+    nd, nq = df[word].astype("int64"), qf[at[word]].astype("int64")
+    d0, q0 = (np.cumsum(df) - df)[word], (np.cumsum(qf) - qf)[at[word]]
+    dense = nd * nq >= DENSE_SHARE * shape[0] * shape[1]
+    (p, k), (r, j) = _spans(d0[dense], nd[dense]), _spans(q0[dense], nq[dense])
+    left, right = np.zeros((shape[0], dense.sum())), np.zeros((dense.sum(), shape[1]))
+    left[query[r], j], right[k, doc[p]] = w[r], gain[p]
+    out = (left @ right).ravel()
+    nd, nq, d0, q0 = nd[~dense], nq[~dense], d0[~dense], q0[~dense]
+    for part in np.split(np.arange(len(nd)), np.flatnonzero(np.diff(np.cumsum(nd * nq) // MEETINGS)) + 1):
+        p, k = _spans(d0[part], nd[part])
+        r, i = _spans(q0[part][k], nq[part][k])
+        p = p[i]
+        out += np.bincount(query[r] * np.int64(shape[1]) + doc[p], w[r] * gain[p], len(out))
+    return out.reshape(shape)
 
 
 class TextIndex:
-    """Terms of every document and the corpus's statistics, staged once. ``df`` is distributed; two numbers are held here."""
+    """The words of all documents in blocks and the corpus's statistics, staged once. ``df`` is distributed; two numbers are held
+    here."""
 
     def __init__(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> None:
-        t = tokens(F.coalesce(F.col(text), F.lit("")))
-        terms = docs.select(F.col(doc).alias("doc_id"), t.alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
-        self.docs = stage(terms)
-        self.n, self.avgdl = self.docs.agg(F.count("*"), F.avg("dl")).first()
-        self.df = stage(self.docs.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+        terms = docs.select(F.col(doc).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+        self.blocks = stage(postings_packed(terms, CORPUS_TEXTS))
+        self.n, self.avgdl = self.blocks.agg(F.coalesce(F.sum(F.size("doc_id")), F.lit(0)), F.sum("words") / F.sum(F.size("doc_id"))).first()
+        counts = self.blocks.select(F.explode(F.arrays_zip("word", "df")).alias("x")).groupBy(F.col("x.word").alias("token"))
+        self.df = stage(counts.agg(F.sum("x.df").alias("df")))
         idf = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         self.floor = (self.df.agg(F.avg(idf)).first()[0] or 0.0) * IDF_FLOOR
         self.weights = self.df.select("token", F.when(idf < 0, F.lit(self.floor)).otherwise(idf).alias("idf"))
@@ -85,22 +202,9 @@ class TextIndex:
         q = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
         q = q.join(self.weights, "token").groupBy("query_id").agg(F.collect_list(F.struct("token", (F.col("qtf") * F.col("idf")).alias("w"))).alias("x"))
         q = stage(q.select("query_id", F.col("x.token").alias("term"), F.col("x.w").alias("w")))  # a row a query; counted and packed
+        asked = stage(weights_packed(spread(q, TEXT_BLOCK), TEXT_BLOCK))
         avgdl = self.avgdl or 1.0
-
-        def score(pair: pd.Series) -> np.ndarray:
-            place = {t: k for k, t in enumerate(dict.fromkeys(t for terms in pair["term"] for t in terms))}
-            weight = np.zeros((len(pair["term"]), len(place)))
-            for row, terms, w in zip(weight, pair["term"], pair["w"]):
-                row[[place[t] for t in terms]] = w
-            out = np.zeros((len(weight), len(pair["doc_id"])))
-            for k, (dl, terms) in enumerate(zip(pair["dl"], pair["t"])):
-                at = [i for t in terms if (i := place.get(t)) is not None]
-                if at:
-                    seen, tf = np.unique(at, return_counts=True)
-                    out[:, k] = weight[:, seen] @ (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
-            return out
-
-        return searched(self.docs, q, TEXT_BLOCK, score, 6, top, CORPUS_TEXTS).where("score > 0")
+        return searched(self.blocks.drop("words"), asked, lambda pair: _bm25(pair, avgdl), 6, top, positive=True)
 
 
 _INDEXES: dict[tuple, TextIndex] = {}
@@ -138,8 +242,9 @@ def ranked(scored: DataFrame, by: str, top: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def _dot(pair: pd.Series) -> np.ndarray:
-    return np.stack(pair["q"]).astype(float) @ np.stack(pair["v"]).astype(float).T
+def _dot(pair: dict) -> np.ndarray:
+    q, v = (np.stack(pair[c].to_numpy(zero_copy_only=False)).astype(float) for c in ("q", "v"))
+    return q @ v.T
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP_N, where: Column | None = None, vec: str = "embedding") -> DataFrame:
@@ -148,7 +253,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = TOP_N, where:
     if where is not None:
         vectors = vectors.where(where)
     known = vectors.where(F.col(vec).isNotNull()).select("doc_id", F.col(vec).alias("v"))
-    return searched(known, queries.where("q is not null").select("query_id", "q"), DENSE_BLOCK, _dot, 5, top)
+    asked = spread(queries.where("q is not null").select("query_id", "q"), DENSE_BLOCK)
+    return searched(packed(known, CORPUS_BLOCK), packed(asked, DENSE_BLOCK), _dot, 5, top)
 
 
 def conjunction(**equal: object) -> Column:

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -71,3 +73,44 @@ def test_post_filter(spark):
     assert R.post_filter(docs, custom={"page": ""}).count() == 1 and R.post_filter(docs, sources=["table"]).count() == 1
     shown = R.sources(spark.createDataFrame([(1, "[Doc: a]\nsum\n\nbody", ""), (2, "x", "own")], "rank int, window string, orig_content string"))
     assert {r["rank"]: r.content for r in shown.collect()} == {1: "body", 2: "own"}
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return [(f"d{k:03d}", " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(40))) if k % 9 else "w1 w2 w2 rare") for k in range(n)]
+
+
+def test_texts_in_blocks(spark, monkeypatch):
+    """Blocks smaller than either side, equal texts, empty ones and words that multiply or are added give what the formula gives."""
+    monkeypatch.setattr(R, "TEXT_BLOCK", 50)
+    monkeypatch.setattr(R, "CORPUS_TEXTS", 90)
+    docs = words(400, 5)
+    asked = [(k, t) for k, (_i, t) in enumerate(docs) if k % 3 == 0]
+    got = {}
+    for r in R.bm25(spark.createDataFrame(docs, "doc_id string, text string"), asked, top=8).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    tf = {i: Counter(t.split()) for i, t in docs}
+    df = Counter(w for c in tf.values() for w in c)
+    raw = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: x if x >= 0 else R.IDF_FLOOR * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    mean = sum(map(Counter.total, tf.values())) / len(docs)
+    want = {}
+    for q, t in asked:
+        score = lambda c: round(sum(idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for w in t.split()), 6)  # noqa: E731, B023
+        best = [(-s, i) for s, i in sorted((-score(c), i) for i, c in tf.items())[:8] for s in [s] if s < 0]
+        if best:
+            want[q] = {k + 1: (i, s) for k, (s, i) in enumerate(best)}
+    assert {q: {k: i for k, (i, _s) in x.items()} for q, x in got.items()} == {q: {k: i for k, (i, _s) in x.items()} for q, x in want.items()}
+    assert all(abs(got[q][k][1] - s) < 2e-6 for q, x in want.items() for k, (_i, s) in x.items())
+
+
+def test_best_rows_are_kept_from_block_to_block(spark, monkeypatch):
+    """What leaves a search does not grow with the number of blocks: ``top`` rows a query and task."""
+    monkeypatch.setattr(R, "ranked", lambda scored, by, top: scored)
+    monkeypatch.setattr(R, "CORPUS_BLOCK", 10)
+    monkeypatch.setattr(R, "CORPUS_TEXTS", 10)
+    _rows, df = vectors(spark)
+    q = df.where("doc_id in (1, 2)").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert R.vector_topk(df.coalesce(2), q.coalesce(1), 5).count() <= 2 * 5 * 2
+    docs = spark.createDataFrame(words(400, 6), "doc_id string, text string").coalesce(2)
+    assert R.bm25(docs, [(1, "w1 w2"), (2, "w1 w3")], top=5).count() <= 2 * 5 * 2
