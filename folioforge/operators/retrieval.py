@@ -21,6 +21,7 @@ from folioforge.functions.text import sanitize_id, strip_context, tokens
 from folioforge.session import stage
 
 K1, B, IDF_FLOOR, RRF_K = 1.5, 0.75, 0.25, 60
+FEW = 500_000  # rows of keys that are broadcast
 TOP_N, MIN_SCORE, BOOST, WINDOW_CHARS = 30, 0.05, 0.3, 3000
 DENSE_BLOCK, TEXT_BLOCK = 256, 2048  # queries of a block
 CORPUS_BLOCK, CORPUS_TEXTS = 2048, 2048  # vectors and texts of a block
@@ -207,6 +208,11 @@ class TextIndex:
         return searched(self.blocks.drop("words"), asked, lambda pair: _bm25(pair, avgdl), 6, top, positive=True)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, marked to be broadcast if they are at most ``FEW``; beyond it the join that takes them gives the same rows."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 _INDEXES: dict[tuple, TextIndex] = {}
 
 
@@ -339,9 +345,11 @@ def page_window(matched: DataFrame, chunks: DataFrame, most: int = WINDOW_CHARS)
     own = ["query_id"] if "query_id" in matched.columns else []
     first = matched.withColumn("k", F.row_number().over(Window.partitionBy(*own, "doc_id", "page").orderBy("rank"))).where("k = 1").drop("k")
     near = chunks.select("doc_id", "page", F.col("chunk_id").alias("near_id"), F.col("content").alias("near"))
-    pairs = first.join(near, (first["doc_id"] == near["doc_id"]) & first["page"].eqNullSafe(near["page"]) & (F.trim("near") != "") & (F.col("near") != F.col("content")), "left")
-    pairs = pairs.select(*own, first["doc_id"], first["page"], "chunk_id", "content", "rank", "near_id", "near")
-    running = F.sum(F.length("near")).over(Window.partitionBy(*own, "chunk_id").orderBy("near_id").rowsBetween(Window.unboundedPreceding, 0))
+    room = F.length("content") < most  # else nothing fits
+    pairs = first.join(near, (first["doc_id"] == near["doc_id"]) & first["page"].eqNullSafe(near["page"]) & (F.trim("near") != "") & (F.col("near") != F.col("content")) & room, "left")
+    fits = F.when(F.length("content") + F.length("near") <= most, F.col("near"))  # of others only the length counts
+    pairs = pairs.select(*own, first["doc_id"], first["page"], "chunk_id", "content", "rank", "near_id", F.length("near").alias("size"), fits.alias("near"))
+    running = F.sum("size").over(Window.partitionBy(*own, "chunk_id").orderBy("near_id").rowsBetween(Window.unboundedPreceding, 0))
     kept = pairs.withColumn("running", running).withColumn("near", F.when(F.length("content") + F.col("running") <= most, F.col("near")))
     parts = F.array_sort(F.collect_list(F.when(F.col("near").isNotNull(), F.struct("near_id", "near"))))  # at most ``most`` characters
     return kept.groupBy(*own, "doc_id", "page", "chunk_id", "rank", "content").agg(parts.alias("p")).select(

@@ -172,12 +172,16 @@ _POOL = f""", asked AS (SELECT query_id, CASE {_WANT} END AS wanted, list_distin
 
 
 def _reranked(spark: SparkSession, d: str, ranks: DataFrame, top: int = 5) -> DataFrame:
-    """query_id, doc_id, final, rank: reranked, thresholded, boosted by intent, cut to ``top``."""
-    asked = _asked(spark, d).select("query_id", C.query_intent(F.col("query")).alias("wanted"), F.array_distinct(X.tokens(F.col("query"))).alias("words"))
-    texts = _texts(spark, d).select("doc_id", "text")
-    pairs = ranks.select("query_id", "doc_id", "rank").join(asked, "query_id").join(texts, "doc_id")
-    score = F.round(F.size(F.array_intersect("words", X.tokens(F.col("text")))) / F.size("words"), 6)
-    scored = pairs.select("query_id", "doc_id", "wanted", "rank", score.alias("score"), C.intents(F.col("text"), F.lit("")).alias("intents"))
+    """query_id, doc_id, final, rank: reranked, thresholded, boosted by intent, cut to ``top``. A document is read once however
+    many questions found it, and its text stays where it lies."""
+    asked = stage(_asked(spark, d).select("query_id", C.query_intent(F.col("query")).alias("wanted"), F.array_distinct(X.tokens(F.col("query"))).alias("words")))
+    pairs = stage(ranks.select("query_id", "doc_id", "rank")).join(asked, "query_id")
+    found = pairs.groupBy("doc_id").agg(F.max(F.col("wanted").isNotNull()).alias("boosts"))
+    texts = _texts(spark, d).select("doc_id", "text").join(R.few(found), "doc_id")
+    intents = F.when(F.col("boosts"), C.intents(F.col("text"), F.lit("")))  # only where a boost can come of them
+    facts = texts.select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("has"), intents.alias("intents"))
+    score = F.round(F.size(F.array_intersect("words", "has")) / F.size("words"), 6)
+    scored = pairs.join(facts, "doc_id").select("query_id", "doc_id", "wanted", "rank", score.alias("score"), "intents")
     order = R.Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     pool = scored.withColumn("prev_rank", F.row_number().over(order)).where(F.col("prev_rank") <= R.rerank_pool(top))
     return R.boosted(pool, top)
@@ -200,7 +204,9 @@ def rerank_boost(spark, d):
 def answer_sources(spark, d):
     """The whole path: questions and their rewrites, hybrid search, fusion, reranked pool, threshold, intent boost, window of
     the page, sources with the original content."""
-    best = _reranked(spark, d, multi(spark, d))
+    best = stage(_reranked(spark, d, multi(spark, d)))
     chunks = _texts(spark, d).select(F.col("bundle_id").alias("doc_id"), F.floor(F.col("doc_id") / 10).cast("long").alias("page"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    matched = best.select("query_id", "rank", F.col("doc_id").alias("chunk_id")).join(chunks, "chunk_id")
-    return R.sources(R.page_window(matched, chunks).withColumn("source", F.lit("text"))).withColumn("content", F.md5("content"))
+    pages = chunks.join(R.few(best.select(F.col("doc_id").alias("chunk_id")).distinct()), "chunk_id").select(F.col("doc_id").alias("d"), F.col("page").alias("p")).distinct()
+    near = stage(chunks.join(R.few(pages), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("page") == F.col("p")), "left_semi"))  # whole pages
+    matched = best.select("query_id", "rank", F.col("doc_id").alias("chunk_id")).join(near, "chunk_id")
+    return R.sources(R.page_window(matched, near).withColumn("source", F.lit("text"))).withColumn("content", F.md5("content"))
