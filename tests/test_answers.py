@@ -48,3 +48,20 @@ def test_texts_not_found_are_not_moved(spark, tables, monkeypatch):
         assert both(spark, tables, "answer_sources")[0] == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filtered_search_hands_on_best_rows_only(spark, tables, monkeypatch):
+    """However many blocks the texts lie in, ``top`` rows a question and task are ranked, and the rows are those of the twin."""
+    handed, ranked = [], R.ranked
+
+    def counted(scored, by, top):
+        handed.append((scored.count(), scored.rdd.getNumPartitions() * top * 60))
+        return ranked(scored, by, top)
+
+    monkeypatch.setattr(R, "CORPUS_TEXTS", 10)
+    monkeypatch.setattr(R, "TEXT_BLOCK", 100)
+    monkeypatch.setattr(R, "ranked", counted)
+    got, want = both(spark, tables, "hybrid_filtered")
+    assert got == want and len(got) > 200
+    rows, most = handed[-1]
+    assert 0 < rows <= most
